@@ -60,6 +60,63 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents").select("doc_id", "text"))
 
 
+#: Word shingles of three tokens, 64 runs of 4 byte positions: a pair at 0.6 is missed with probability 0.0016.
+CONTENT = dict(size=3, threshold=0.6, run=4, runs=64, least=2)
+#: Single tokens, coded exactly: no pair is missed.
+TITLE = dict(size=1, threshold=0.75, exact=True)
+
+
+def _near_content(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    from folioflow.llm import neardup
+
+    return neardup.classes_and_links(_chunks(spark, d, "content"), "chunk_id", "content", **CONTENT)
+
+
+def _near_titles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    from folioflow.llm import neardup
+
+    papers = once(table(spark, d, "papers").select("paper_id", "title").where("title IS NOT NULL"), "paper_id")
+    return neardup.classes_and_links(papers, "paper_id", "title", **TITLE)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from folioflow.llm import neardup
+
+    content = neardup.pairs(*_near_content(spark, d), "chunk_id").select(F.lit("content").alias("field"), "id_a", "id_b")
+    titles = neardup.pairs(*_near_titles(spark, d), "paper_id").select(F.lit("title").alias("field"), "id_a", "id_b")
+    return content.unionByName(titles)
+
+
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    from folioflow.llm import neardup
+
+    return neardup.summary(*_near_content(spark, d), "chunk_id")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    from folioflow.llm import spans
+
+    return spans.merge(spans.shared(table(spark, d, "documents").select("doc_id", "text")))
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    from folioflow.llm import spans
+
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    covered = spans.merge(spans.shared(docs)).groupBy("doc_id").agg(F.sum(F.col("end_at") - F.col("begin_at")).alias("n_shared"))
+    n = F.coalesce(F.length("text"), F.lit(0))
+    return docs.join(covered, "doc_id", "left").select(
+        "doc_id", F.coalesce("n_shared", F.lit(0)).cast("bigint").alias("n_shared"), F.when(n > 0, F.round(F.coalesce("n_shared", F.lit(0)) / n, 6)).otherwise(0.0).alias("share")
+    )
+
+
+def p10_removed(spark: SparkSession, d: str) -> DataFrame:
+    """Stretches to remove so that each shared passage stays in its earliest document."""
+    from folioflow.llm import spans
+
+    return spans.merge(spans.shared(table(spark, d, "documents").select("doc_id", "text")).where("later"))
+
+
 def _all() -> dict[str, Query]:
     here = globals()
     return {n: here[n] for n in sorted((n for n in here if n[0] == "p" and n[1:2].isdigit()), key=lambda n: (int(n[1:].split("_")[0]), n))}
