@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
+from pyspark.storagelevel import StorageLevel
 
 from folioflow.llm.common import mix64, slices
 
@@ -191,7 +192,7 @@ def classes_and_links(
     df: DataFrame, key: str, text: str, size: int, threshold: float, run: int = 0, runs: int = 0, least: int = 1, exact: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Membership (``key``, ``class``) and verified links (``a``, ``b``) between class representatives."""
-    signed = _signed(df, key, text, size, 0 if exact else run * runs, threshold)
+    signed = _signed(df, key, text, size, 0 if exact else run * runs, threshold).persist(StorageLevel.DISK_ONLY)
     grouped = signed.groupBy("d1", "d2").agg(F.min(key).alias("class"), F.any_value("sig").alias("sig"))
     grouped = grouped.withColumn("id", F.xxhash64(F.col("class").cast("string")))
     members = signed.select(key, "d1", "d2").distinct().join(grouped.select("d1", "d2", "class"), ["d1", "d2"]).select(key, "class")
