@@ -98,10 +98,10 @@ def _cut_table(docs: DataFrame, key: str, kind: str) -> DataFrame:
 
 
 def _window_table(asked: DataFrame, kind: str) -> DataFrame:
-    """(w, doc, start, dmin, dmax) of each window of ``LEAST`` signs around the asked positions."""
+    """(doc, low, dmin, dmax, ws): digests of the windows of ``LEAST`` signs from ``low`` on around each asked position."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["w", "doc", "start", "dmin", "dmax"]
+        names = ["doc", "low", "dmin", "dmax", "ws"]
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for b, e in slices([len(t) for t in texts], CHARS):
@@ -110,15 +110,13 @@ def _window_table(asked: DataFrame, kind: str) -> DataFrame:
                 pos = part.column(2).to_numpy(zero_copy_only=False).astype(np.int64) + x.begin
                 low = np.maximum(pos + K - LEAST, x.begin)
                 n = np.minimum(pos, x.end - LEAST) - low + 1
-                row = np.repeat(np.arange(len(n)), n)
-                start = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                ends = np.cumsum(n)
+                start = np.repeat(low - (ends - n), n) + np.arange(int(ends[-1]))
                 w = x.of(start, start + LEAST)
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(w.view(np.int64)), part.column(0).take(take), pa.array((start - x.begin[row]).astype(np.int32)), part.column(3).take(take), part.column(4).take(take)], names
-                )
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(w.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array((low - x.begin).astype(np.int32)), part.column(3), part.column(4), lists], names)
 
-    return asked.mapInArrow(run, f"w bigint, doc {kind}, start int, dmin {kind}, dmax {kind}")
+    return asked.mapInArrow(run, f"doc {kind}, low int, dmin {kind}, dmax {kind}, ws array<bigint>")
 
 
 def shared(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -128,7 +126,7 @@ def shared(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """
     kind = df.schema[key].dataType.simpleString()
     docs = df.where(F.col(key).isNotNull() & (F.length(text) >= LEAST)).select(F.col(key).alias("doc"), F.col(text).alias("_text"))
-    seeds = _cut_table(docs, key, kind).persist(StorageLevel.DISK_ONLY)
+    seeds = _cut_table(docs, key, kind)
     both = seeds.groupBy("s").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("s")
     rows = seeds.join(both, "s").persist(StorageLevel.DISK_ONLY)
     fields = rows.groupBy("s", "u").agg(F.min(F.struct("doc", "pos")).alias("first"), F.max("doc").alias("dmax"))
@@ -142,8 +140,9 @@ def shared(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     ask = fields.join(edges, "s").select("doc", "pos", "dmin", "dmax")
     texts = docs.join(ask, "doc").select("doc", "_text", "pos", "dmin", "dmax")
     windows = _window_table(texts, kind).persist(StorageLevel.DISK_ONLY)
-    hit = windows.groupBy("w").agg(F.min("dmin").alias("a"), F.max("dmax").alias("b")).where("a < b")
-    parts = windows.join(hit, "w").select("doc", F.col("start").alias("begin_at"), (F.col("start") + LEAST).alias("end_at"), (F.col("a") < F.col("doc")).alias("later"))
+    hit = windows.select(F.explode("ws").alias("w"), "dmin", "dmax").groupBy("w").agg(F.min("dmin").alias("a"), F.max("dmax").alias("b")).where("a < b")
+    own = windows.where("dmin = dmax").select("doc", "low", F.posexplode("ws").alias("i", "w")).select("w", "doc", (F.col("low") + F.col("i")).alias("start"))
+    parts = own.join(hit, "w").select("doc", F.col("start").alias("begin_at"), (F.col("start") + LEAST).alias("end_at"), (F.col("a") < F.col("doc")).alias("later"))
     ends = docs.select("doc", F.length("_text").alias("n"))
     found = whole.join(ends, "doc").select("doc", "begin_at", F.least("end_at", "n").alias("end_at"), "later").unionByName(parts)
     return found.select(F.col("doc").alias(key), "begin_at", "end_at", "later")
