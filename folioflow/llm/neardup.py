@@ -45,6 +45,10 @@ from folioflow.llm.common import mix64, slices
 
 _TOKEN = re.compile(r"[^\W_]+")
 CHARS = 1_000_000
+#: Lists of the index up to this length are joined in their partition.
+LONG_LIST = 400
+#: Pairs that met are counted, and the ids of up to so many (16 MB) are broadcast.
+MAX_BROADCAST_PAIRS = 1_000_000
 
 
 def miss(threshold: float, run: int, runs: int, least: int) -> float:
@@ -162,6 +166,49 @@ def _postings(classes: DataFrame, run_length: int, runs: int) -> DataFrame:
     return classes.select("id", "sig").mapInArrow(run, "k bigint, id bigint")
 
 
+def _met(entries: DataFrame, least: int) -> DataFrame:
+    """Pairs of ids (a < b) that share at least ``least`` keys.
+
+    Lists of the index are joined with themselves inside a partition; a list
+    longer than ``LONG_LIST`` goes to a join instead, which is split where it is
+    skewed, so no list is gathered in one task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ks, ids = [], []
+        for batch in batches:
+            ks.append(batch.column(0).to_numpy(zero_copy_only=False))
+            ids.append(batch.column(1).to_numpy(zero_copy_only=False))
+        if not ks:
+            return
+        k, i = np.concatenate(ks), np.concatenate(ids)
+        order = np.argsort(k)
+        k, i = k[order], i[order]
+        begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        size = np.diff(np.append(begin, len(k)))
+        names = ["a", "b", "k"]
+        for n in np.unique(size[size > 1]).tolist():
+            at = begin[size == n]
+            if n > LONG_LIST:
+                for b in at.tolist():
+                    yield pa.RecordBatch.from_arrays([pa.array(i[b : b + n]), pa.nulls(n, pa.int64()), pa.array(k[b : b + n])], names)
+                continue
+            x, y = np.triu_indices(n, 1)
+            step = max(1, 500_000 // len(x))
+            for c in range(0, len(at), step):
+                rows = i[at[c : c + step, None] + np.arange(n)[None, :]]
+                u, v = rows[:, x].ravel(), rows[:, y].ravel()
+                keep = u != v
+                u, v = np.minimum(u, v)[keep], np.maximum(u, v)[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int64())], names)
+
+    lists = entries.repartition("k").mapInArrow(run, "a bigint, b bigint, k bigint").persist(StorageLevel.DISK_ONLY)
+    long = lists.where("k IS NOT NULL").select("k", "a")
+    pairs_of_long = long.join(long.select("k", F.col("a").alias("b")), "k").where("a < b").select("a", "b")
+    pairs_met = lists.where("k IS NULL").select("a", "b").unionByName(pairs_of_long)
+    return pairs_met.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least).select("a", "b")
+
+
 def _rarest(classes: DataFrame) -> DataFrame:
     """(k, id): of each record the d + 1 rarest position keys, for each number of positions."""
 
@@ -197,17 +244,13 @@ def classes_and_links(
     grouped = grouped.withColumn("id", F.xxhash64(F.col("class").cast("string")))
     members = signed.select(key, "d1", "d2").distinct().join(grouped.select("d1", "d2", "class"), ["d1", "d2"]).select(key, "class")
 
-    entries = _rarest(grouped) if exact else _postings(grouped, run, runs)
-    met = (
-        entries.select("k", F.col("id").alias("a"))
-        .join(entries.select("k", F.col("id").alias("b")), "k")
-        .where("a < b")
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("shared"))
-        .where(F.col("shared") >= least)
-        .select("a", "b")
-    )
+    met = _met(_rarest(grouped) if exact else _postings(grouped, run, runs), least).persist(StorageLevel.DISK_ONLY)
+    ids = met.select(F.col("a").alias("id")).unionByName(met.select(F.col("b").alias("id"))).distinct()
+    # the records that met are few beside all records: where their number allows it, the texts of the others aren't shuffled
+    if met.count() <= MAX_BROADCAST_PAIRS:
+        ids = F.broadcast(ids)
     texts = df.select(F.xxhash64(F.col(key).cast("string")).alias("id"), F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
+    texts = texts.join(ids, "id", "left_semi").dropDuplicates(["key"])
     left = texts.select(F.col("id").alias("a"), F.col("key").alias("ka"), F.col("text").alias("ta"))
     right = texts.select(F.col("id").alias("b"), F.col("key").alias("kb"), F.col("text").alias("tb"))
     both = met.join(left, "a").join(right, "b").where("ka <> kb")

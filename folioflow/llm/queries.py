@@ -60,6 +60,27 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents").select("doc_id", "text"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from folioflow.llm import names
+
+    return names.link(table(spark, d, "authorships"), table(spark, d, "authority"))
+
+
+def p5_citation_authors(spark: SparkSession, d: str) -> DataFrame:
+    """The people of ``chunks.citation.authors``: spelling and entry, where exactly one fits."""
+    from folioflow.llm import names
+
+    spellings = table(spark, d, "chunks").select(F.explode("citation.authors").alias("spelling"))
+    fits = names.accepted(spellings, table(spark, d, "authority"), True)
+    return fits.groupBy("spelling").agg(F.max("entity_id").alias("entity_id"), F.count_distinct("entity_id").alias("n")).where("n = 1").select("spelling", "entity_id")
+
+
+def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
+    from folioflow.llm import names
+
+    return names.variants(table(spark, d, "authorships").select(F.col("name").alias("spelling")))
+
+
 #: Word shingles of three tokens, 64 runs of 4 byte positions: a pair at 0.6 is missed with probability 0.0016.
 CONTENT = dict(size=3, threshold=0.6, run=4, runs=64, least=2)
 #: Single tokens, coded exactly: no pair is missed.
@@ -69,13 +90,13 @@ TITLE = dict(size=1, threshold=0.75, exact=True)
 def _near_content(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     from folioflow.llm import neardup
 
-    return neardup.classes_and_links(_chunks(spark, d, "content"), "chunk_id", "content", **CONTENT)
+    return neardup.classes_and_links(table(spark, d, "chunks").select("chunk_id", "content"), "chunk_id", "content", **CONTENT)
 
 
 def _near_titles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     from folioflow.llm import neardup
 
-    papers = once(table(spark, d, "papers").select("paper_id", "title").where("title IS NOT NULL"), "paper_id")
+    papers = table(spark, d, "papers").select("paper_id", "title")
     return neardup.classes_and_links(papers, "paper_id", "title", **TITLE)
 
 
