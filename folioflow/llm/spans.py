@@ -32,6 +32,8 @@ LEAST = 200
 K = 100
 W = LEAST - K + 1
 CHARS = 1_000_000
+#: Units with up to so many different surroundings are compared inside a partition.
+MANY_FIELDS = 2000
 
 
 def _sliding(x: np.ndarray, w: int, op: np.ufunc, fill: int) -> np.ndarray:
@@ -98,10 +100,10 @@ def _cut_table(docs: DataFrame, key: str, kind: str) -> DataFrame:
 
 
 def _window_table(asked: DataFrame, kind: str) -> DataFrame:
-    """(doc, low, dmin, dmax, ws): digests of the windows of ``LEAST`` signs from ``low`` on around each asked position."""
+    """(s, doc, low, dmin, dmax, ws): digests of the windows of ``LEAST`` signs from ``low`` on around each asked position."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "low", "dmin", "dmax", "ws"]
+        names = ["s", "doc", "low", "dmin", "dmax", "ws"]
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for b, e in slices([len(t) for t in texts], CHARS):
@@ -114,9 +116,50 @@ def _window_table(asked: DataFrame, kind: str) -> DataFrame:
                 start = np.repeat(low - (ends - n), n) + np.arange(int(ends[-1]))
                 w = x.of(start, start + LEAST)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(w.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array((low - x.begin).astype(np.int32)), part.column(3), part.column(4), lists], names)
+                yield pa.RecordBatch.from_arrays([part.column(5), part.column(0), pa.array((low - x.begin).astype(np.int32)), part.column(3), part.column(4), lists], names)
 
-    return asked.mapInArrow(run, f"doc {kind}, low int, dmin {kind}, dmax {kind}, ws array<bigint>")
+    return asked.mapInArrow(run, f"s bigint, doc {kind}, low int, dmin {kind}, dmax {kind}, ws array<bigint>")
+
+
+def _same_windows(windows: DataFrame, kind: str) -> DataFrame:
+    """(doc, begin_at, end_at, later) of runs of windows that two records hold, found inside partitions by ``s``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        t = pa.Table.from_batches(parts).combine_chunks()
+        lists = t.column("ws").combine_chunks()
+        w = lists.flatten().to_numpy(zero_copy_only=False)
+        size = np.diff(lists.offsets.to_numpy())
+        row = np.repeat(np.arange(len(size)), size)
+        # ids as ranks, so that any type of key is compared alike
+        ids = pa.concat_arrays([t.column(c).combine_chunks() for c in ("doc", "dmin", "dmax")]).to_numpy(zero_copy_only=False)
+        rank = np.unique(ids, return_inverse=True)[1]
+        doc, low_id, high_id = np.split(rank, 3)
+        order = np.argsort(w, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(w[order]) != 0]))
+        least = np.minimum.reduceat(low_id[row[order]], first)
+        most = np.maximum.reduceat(high_id[row[order]], first)
+        group = np.cumsum(np.concatenate([[0], (np.diff(w[order]) != 0).astype(np.int64)]))
+        state = np.zeros(len(w), np.int8)
+        later = least[group] < doc[row[order]]
+        state[order] = np.where(least[group] < most[group], np.where(later, 2, 1), 0)
+        state[(low_id != high_id)[row]] = 0
+        change = np.concatenate([[True], (state[1:] != state[:-1]) | (row[1:] != row[:-1])])
+        begin = np.flatnonzero(change)
+        end = np.append(begin[1:], len(w)) - 1
+        keep = state[begin] > 0
+        begin, end = begin[keep], end[keep]
+        offset = np.cumsum(size) - size
+        low = t.column("low").to_numpy()
+        r = row[begin]
+        yield pa.RecordBatch.from_arrays(
+            [t.column("doc").combine_chunks().take(pa.array(r)), pa.array((low[r] + begin - offset[r]).astype(np.int32)), pa.array((low[r] + end - offset[r] + LEAST).astype(np.int32)), pa.array(state[begin] == 2)],
+            ["doc", "begin_at", "end_at", "later"],
+        )
+
+    return windows.repartition("s").mapInArrow(run, f"doc {kind}, begin_at int, end_at int, later boolean")
 
 
 def shared(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -136,13 +179,16 @@ def shared(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         "doc", F.greatest(F.col("pos") + K - LEAST, F.lit(0)).alias("begin_at"), (F.col("pos") + LEAST).alias("end_at"), (F.col("dmin") < F.col("doc")).alias("later")
     )
     # around the others, window by window; one record stands for all with the same field
-    edges = fields.groupBy("s").agg(F.max(F.col("dmin") == F.col("dmax")).alias("edge")).where("edge").select("s")
-    ask = fields.join(edges, "s").select("doc", "pos", "dmin", "dmax")
-    texts = docs.join(ask, "doc").select("doc", "_text", "pos", "dmin", "dmax")
-    windows = _window_table(texts, kind).persist(StorageLevel.DISK_ONLY)
+    edges = fields.groupBy("s").agg(F.max(F.col("dmin") == F.col("dmax")).alias("edge"), F.count("*").alias("n")).where("edge").select("s", "n")
+    ask = fields.join(edges, "s").select("s", "doc", "pos", "dmin", "dmax", "n")
+    few = docs.join(ask.where(F.col("n") <= MANY_FIELDS), "doc").select("doc", "_text", "pos", "dmin", "dmax", "s")
+    parts = _same_windows(_window_table(few, kind), kind)
+    # a unit with very many different fields is no group of one task: its windows are grouped one by one
+    many = docs.join(ask.where(F.col("n") > MANY_FIELDS), "doc").select("doc", "_text", "pos", "dmin", "dmax", "s")
+    windows = _window_table(many, kind).persist(StorageLevel.DISK_ONLY)
     hit = windows.select(F.explode("ws").alias("w"), "dmin", "dmax").groupBy("w").agg(F.min("dmin").alias("a"), F.max("dmax").alias("b")).where("a < b")
     own = windows.where("dmin = dmax").select("doc", "low", F.posexplode("ws").alias("i", "w")).select("w", "doc", (F.col("low") + F.col("i")).alias("start"))
-    parts = own.join(hit, "w").select("doc", F.col("start").alias("begin_at"), (F.col("start") + LEAST).alias("end_at"), (F.col("a") < F.col("doc")).alias("later"))
+    parts = parts.unionByName(own.join(hit, "w").select("doc", F.col("start").alias("begin_at"), (F.col("start") + LEAST).alias("end_at"), (F.col("a") < F.col("doc")).alias("later")))
     ends = docs.select("doc", F.length("_text").alias("n"))
     found = whole.join(ends, "doc").select("doc", "begin_at", F.least("end_at", "n").alias("end_at"), "later").unionByName(parts)
     return found.select(F.col("doc").alias(key), "begin_at", "end_at", "later")
