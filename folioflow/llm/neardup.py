@@ -9,15 +9,7 @@ a 256th of all records, so the run is as long as keeps the lists short.  The
 runs that a pair shares are tallied, pairs that reach the minimum number of
 matches are kept, and kept pairs are verified on their exact sets.
 
-For small sets the coding is exact (``exact=True``).  The positions are bins
-into which the shingles fall, the bytes of a position are the sum of its
-shingles' hashes.  Each shingle of one set only changes one position, so a pair
-at or above the threshold agrees in all but ``d`` of the ``L`` positions, where
-d = (1 - t) / t times the set's size; of each record the d + 1 rarest positions
-are indexed, and no such pair can be missed.
-
-Large sets would have to index nearly all positions that way; they are sketched,
-and the minimum is guaranteed with a stated probability: with ``runs`` runs of
+The minimum is guaranteed with a stated probability: with ``runs`` runs of
 ``run`` bytes a pair at similarity s shares each run with probability s**run,
 so a pair at the threshold is missed with probability
 P(Binomial(runs, threshold**run) < least); :func:`miss` gives the figure.
@@ -36,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from pyspark.storagelevel import StorageLevel
@@ -47,8 +39,10 @@ _TOKEN = re.compile(r"[^\W_]+")
 CHARS = 1_000_000
 #: Lists of the index up to this length are joined in their partition.
 LONG_LIST = 400
-#: Pairs that met are counted, and the ids of up to so many (16 MB) are broadcast.
-MAX_BROADCAST_PAIRS = 1_000_000
+#: Pairs that met are counted, and the ids of up to so many (16 MB at most) are broadcast.
+MAX_BROADCAST_PAIRS = 2_000_000
+#: Texts that met are broadcast for verifying up to this size, else joined by shuffle.
+MAX_BROADCAST_BYTES = 24 << 20
 
 
 def miss(threshold: float, run: int, runs: int, least: int) -> float:
@@ -98,35 +92,11 @@ def byte_rows(h: np.ndarray, counts: np.ndarray, positions: int) -> np.ndarray:
     return out
 
 
-def _places(n: float) -> int:
-    """Number of positions for sets of ``n`` shingles."""
-    return 1 << max(3, math.ceil(math.log2(max(n, 1))))
-
-
-def bin_rows(h: np.ndarray, counts: np.ndarray, threshold: float) -> list[bytes]:
-    """For each text with a shingle: d, then L and the L position keys for each L a partner may have."""
-    out, at = [], 0
-    for n in counts[counts > 0].tolist():
-        own = h[at : at + n]
-        at += n
-        parts = [np.array([int(n * (1 - threshold) / threshold + 1e-9)], np.int64)]
-        sizes, x = [], _places(math.ceil(threshold * n - 1e-9))
-        while x <= _places(math.floor(n / threshold + 1e-9)):
-            sizes.append(x)
-            x *= 2
-        for size in sizes:
-            value = np.zeros(size, np.uint64)
-            np.add.at(value, (mix64(own) % np.uint64(size)).astype(np.int64), mix64(own ^ np.uint64(0xA5A5)))
-            place = np.arange(size, dtype=np.uint64) + np.uint64(size << 32)
-            parts += [np.array([size], np.int64), mix64(value + mix64(place)).view(np.int64)]
-        out.append(np.concatenate(parts).tobytes())
-    return out
-
-
-def _signed(df: DataFrame, key: str, text: str, size: int, positions: int, threshold: float) -> DataFrame:
+def _signed(df: DataFrame, key: str, text: str, size: int, positions: int) -> DataFrame:
     """``key``, digest of the shingle set and the byte row; texts without shingles are left out.
 
-    The byte row is a sketch of ``positions`` bytes or, for 0, the exact bins.
+    For 0 ``positions`` the text itself stands for its byte row, which is then made
+    after equal sets are grouped: short texts take less room than their byte rows.
     """
     kind = df.schema[key].dataType.simpleString()
 
@@ -141,7 +111,8 @@ def _signed(df: DataFrame, key: str, text: str, size: int, positions: int, thres
                 starts = (np.cumsum(counts) - counts)[rows]
                 d1 = np.add.reduceat(mix64(h), starts)
                 d2 = np.add.reduceat(mix64(h ^ np.uint64(0x5851F42D4C957F2D)), starts)
-                bytes_ = pa.array([r.tobytes() for r in byte_rows(h, counts, positions)] if positions else bin_rows(h, counts, threshold), pa.binary())
+                made = [r.tobytes() for r in byte_rows(h, counts, positions)] if positions else [texts[b + i].encode() for i in rows.tolist()]
+                bytes_ = pa.array(made, pa.binary())
                 keys = batch.column(0).slice(b, e - b).take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([keys, pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), bytes_], [key, "d1", "d2", "sig"])
 
@@ -149,13 +120,18 @@ def _signed(df: DataFrame, key: str, text: str, size: int, positions: int, thres
     return rows.mapInArrow(run, f"{key} {kind}, d1 bigint, d2 bigint, sig binary")
 
 
-def _postings(classes: DataFrame, run_length: int, runs: int) -> DataFrame:
+def _postings(classes: DataFrame, run_length: int, runs: int, size: int, late: bool) -> DataFrame:
+    """(k, id): the index entries of each class, one for each run of byte positions."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in range(0, batch.num_rows, 4096):
-                part = batch.slice(b, 4096)
+            for b in range(0, batch.num_rows, 2048):
+                part = batch.slice(b, 2048)
                 n = part.num_rows
-                sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(n, runs * run_length).astype(np.uint64)
+                if late:
+                    sig = byte_rows(*shingle_hashes([t.decode() for t in part.column(1).to_pylist()], size), runs * run_length).astype(np.uint64)
+                else:
+                    sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(n, runs * run_length).astype(np.uint64)
                 k = np.zeros((n, runs), np.uint64)
                 for i in range(run_length):
                     k = mix64(k) + sig[:, i::run_length] if i >= 7 else (k << np.uint64(8)) | sig[:, i::run_length]
@@ -163,7 +139,7 @@ def _postings(classes: DataFrame, run_length: int, runs: int) -> DataFrame:
                 ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), runs)
                 yield pa.RecordBatch.from_arrays([pa.array(k.ravel().view(np.int64)), pa.array(ids)], ["k", "id"])
 
-    return classes.select("id", "sig").mapInArrow(run, "k bigint, id bigint")
+    return classes.select("id", "sig").mapInArrow(run, "k bigint, id int")
 
 
 def _met(entries: DataFrame, least: int) -> DataFrame:
@@ -191,7 +167,7 @@ def _met(entries: DataFrame, least: int) -> DataFrame:
             at = begin[size == n]
             if n > LONG_LIST:
                 for b in at.tolist():
-                    yield pa.RecordBatch.from_arrays([pa.array(i[b : b + n]), pa.nulls(n, pa.int64()), pa.array(k[b : b + n])], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(i[b : b + n]), pa.nulls(n, pa.int32()), pa.array(k[b : b + n])], names)
                 continue
             x, y = np.triu_indices(n, 1)
             step = max(1, 500_000 // len(x))
@@ -202,55 +178,38 @@ def _met(entries: DataFrame, least: int) -> DataFrame:
                 u, v = np.minimum(u, v)[keep], np.maximum(u, v)[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int64())], names)
 
-    lists = entries.repartition("k").mapInArrow(run, "a bigint, b bigint, k bigint").persist(StorageLevel.DISK_ONLY)
+    lists = entries.repartition("k").mapInArrow(run, "a int, b int, k bigint").persist(StorageLevel.DISK_ONLY)
     long = lists.where("k IS NOT NULL").select("k", "a")
     pairs_of_long = long.join(long.select("k", F.col("a").alias("b")), "k").where("a < b").select("a", "b")
     pairs_met = lists.where("k IS NULL").select("a", "b").unionByName(pairs_of_long)
     return pairs_met.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least).select("a", "b")
 
 
-def _rarest(classes: DataFrame) -> DataFrame:
-    """(k, id): of each record the d + 1 rarest position keys, for each number of positions."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(0, batch.num_rows, 2048):
-                part = batch.slice(row, 2048)
-                ids, places, ds, keys = [], [], [], []
-                for i, sig in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    x = np.frombuffer(sig, np.int64)
-                    at = 1
-                    while at < len(x):
-                        n = int(x[at])
-                        ids.append(np.full(n, i))
-                        places.append(np.full(n, n, np.int32))
-                        ds.append(np.full(n, x[0], np.int32))
-                        keys.append(x[at + 1 : at + 1 + n])
-                        at += 1 + n
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (ids, places, ds, keys)], ["id", "places", "d", "k"])
-
-    rows = classes.select("id", "sig").mapInArrow(run, "id bigint, places int, d int, k bigint")
-    often = rows.groupBy("k").agg(F.count("*").alias("n"))
-    ranked = rows.join(often, "k").withColumn("r", F.row_number().over(Window.partitionBy("id", "places").orderBy("n", "k")))
-    return ranked.where("r <= d + 1 AND n > 1").select("k", "id")
+def _short(key: Column) -> Column:
+    """32 bits for a key: entries stay short, and keys that share them are told apart on verifying."""
+    return F.shiftright(F.xxhash64(key.cast("string")), 32).cast("int")
 
 
 def classes_and_links(
-    df: DataFrame, key: str, text: str, size: int, threshold: float, run: int = 0, runs: int = 0, least: int = 1, exact: bool = False
+    df: DataFrame, key: str, text: str, size: int, threshold: float, run: int, runs: int, least: int, late: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Membership (``key``, ``class``) and verified links (``a``, ``b``) between class representatives."""
-    signed = _signed(df, key, text, size, 0 if exact else run * runs, threshold).persist(StorageLevel.DISK_ONLY)
+    signed = _signed(df, key, text, size, 0 if late else run * runs).persist(StorageLevel.DISK_ONLY)
     grouped = signed.groupBy("d1", "d2").agg(F.min(key).alias("class"), F.any_value("sig").alias("sig"))
-    grouped = grouped.withColumn("id", F.xxhash64(F.col("class").cast("string")))
+    grouped = grouped.withColumn("id", _short(F.col("class")))
     members = signed.select(key, "d1", "d2").distinct().join(grouped.select("d1", "d2", "class"), ["d1", "d2"]).select(key, "class")
 
-    met = _met(_rarest(grouped) if exact else _postings(grouped, run, runs), least).persist(StorageLevel.DISK_ONLY)
+    met = _met(_postings(grouped, run, runs, size, late), least).persist(StorageLevel.DISK_ONLY)
     ids = met.select(F.col("a").alias("id")).unionByName(met.select(F.col("b").alias("id"))).distinct()
     # the records that met are few beside all records: where their number allows it, the texts of the others aren't shuffled
     if met.count() <= MAX_BROADCAST_PAIRS:
         ids = F.broadcast(ids)
-    texts = df.select(F.xxhash64(F.col(key).cast("string")).alias("id"), F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
+    texts = df.select(_short(F.col(key)).alias("id"), F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
     texts = texts.join(ids, "id", "left_semi").dropDuplicates(["key"])
+    texts = texts.persist(StorageLevel.DISK_ONLY)
+    bytes_met = texts.agg(F.sum(F.octet_length("text") + F.octet_length(F.col("key").cast("string")) + 40)).first()[0] or 0
+    if bytes_met <= MAX_BROADCAST_BYTES:
+        texts = F.broadcast(texts)
     left = texts.select(F.col("id").alias("a"), F.col("key").alias("ka"), F.col("text").alias("ta"))
     right = texts.select(F.col("id").alias("b"), F.col("key").alias("kb"), F.col("text").alias("tb"))
     both = met.join(left, "a").join(right, "b").where("ka <> kb")
