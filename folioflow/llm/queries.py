@@ -81,10 +81,89 @@ def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
     return names.variants(table(spark, d, "authorships").select(F.col("name").alias("spelling")))
 
 
+def _scans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The contents that may be scans, with title and journal, and all clean contents."""
+    from folioflow.llm import scans
+
+    chunks = table(spark, d, "chunks").select("chunk_id", "content", "citation.title", "citation.journal").where("content IS NOT NULL")
+    pages = once(chunks.where(scans.scanned(F.col("content"))), "chunk_id").select(F.col("chunk_id").alias("rec_id"), "content", F.lit(False).alias("sure"), "title", "journal")
+    blocks = table(spark, d, "blocks").select("block_id", "paper_id", "content", "source").where("content IS NOT NULL")
+    papers = table(spark, d, "papers").where("paper_id IS NOT NULL").groupBy("paper_id").agg(F.any_value("title", True).alias("title"), F.any_value("journal", True).alias("journal"))
+    ocr = once(blocks.where("source = 'ocr'"), "block_id").join(papers, "paper_id", "left")
+    ocr = ocr.select(F.col("block_id").cast("string").alias("rec_id"), "content", F.lit(True).alias("sure"), "title", "journal")
+    clean = blocks.where("source <> 'ocr'").select("content").unionByName(chunks.where(~scans.scanned(F.col("content"))).select("content"))
+    return pages.unionByName(ocr), clean
+
+
+def _repaired(spark: SparkSession, d: str) -> DataFrame:
+    from folioflow.llm import scans
+
+    pages, clean = _scans(spark, d)
+    return scans.repair(pages, *scans.train(pages, scans.vocabulary(clean, "content")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _repaired(spark, d).where("kind <> 'text'").select("rec_id", "line_no", "kind")
+
+
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return _repaired(spark, d).where("kind = 'text'").select("rec_id", "text")
+
+
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    from folioflow.llm import packing
+
+    return packing.containers(table(spark, d, "documents").select("doc_id", "text"))
+
+
+def p9_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the windows are: one row per tenth of the capacity."""
+    from folioflow.llm import packing
+
+    per = p9_containers(spark, d).groupBy("container").agg(F.sum(F.col("end_tok") - F.col("begin_tok")).alias("n"))
+    return per.groupBy(F.ceil(F.col("n") * 10 / packing.CAPACITY).cast("int").alias("tenth")).agg(F.count("*").alias("containers"), F.sum("n").alias("tokens"))
+
+
+def _blocks(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    rows = table(spark, d, "blocks").where("type IN ('paragraph', 'abstract')").select("block_id", "content", *cols)
+    return once(rows, "block_id")
+
+
+def _rules(spark: SparkSession, d: str):
+    """Language machines and sentence rules; the counts take every row of the blocks."""
+    from folioflow.llm import langid, sentences
+
+    rows = table(spark, d, "blocks").where("type IN ('paragraph', 'abstract') AND content IS NOT NULL").select("block_id", "content", "language", "source")
+    machines = langid.train(rows.where("source <> 'ocr'"))
+    return sentences.learn(sentences.statistics(langid.tag(rows, "content", machines), "content", "lang")), machines
+
+
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    from folioflow.llm import langid
+
+    rules, machines = _rules(spark, d)
+    return langid.segments(_blocks(spark, d, "language"), "block_id", "content", "language", rules, machines)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _segments(spark, d).where("wrong").select("block_id", "seg_no", "lang")
+
+
+def p1_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _segments(spark, d).drop("wrong")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from folioflow.llm import sentences
+
+    rules, _ = _rules(spark, d)
+    return sentences.split(_blocks(spark, d, "source").where("source = 'grobid'"), "block_id", "content", rules)
+
+
 #: Word shingles of three tokens, 64 runs of 4 byte positions: a pair at 0.6 is missed with probability 0.0016.
 CONTENT = dict(size=3, threshold=0.6, run=4, runs=64, least=2)
-#: Single tokens, coded exactly: no pair is missed.
-TITLE = dict(size=1, threshold=0.75, exact=True)
+#: Single tokens, 160 runs of 12 byte positions: a pair at 0.75 is missed with probability 0.006, at 0.8 with 0.00001.
+TITLE = dict(size=1, threshold=0.75, run=12, runs=160, least=1, late=True)
 
 
 def _near_content(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
