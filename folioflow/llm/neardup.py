@@ -95,7 +95,7 @@ def byte_rows(h: np.ndarray, counts: np.ndarray, positions: int) -> np.ndarray:
 def _signed(df: DataFrame, key: str, text: str, size: int, positions: int) -> DataFrame:
     """``key``, digest of the shingle set and the byte row; texts without shingles are left out.
 
-    For 0 ``positions`` the text itself stands for its byte row, which is then made
+    For -1 ``positions`` there is no byte row, for 0 the text itself stands for its byte row, which is then made
     after equal sets are grouped: short texts take less room than their byte rows.
     """
     kind = df.schema[key].dataType.simpleString()
@@ -111,7 +111,10 @@ def _signed(df: DataFrame, key: str, text: str, size: int, positions: int) -> Da
                 starts = (np.cumsum(counts) - counts)[rows]
                 d1 = np.add.reduceat(mix64(h), starts)
                 d2 = np.add.reduceat(mix64(h ^ np.uint64(0x5851F42D4C957F2D)), starts)
-                made = [r.tobytes() for r in byte_rows(h, counts, positions)] if positions else [texts[b + i].encode() for i in rows.tolist()]
+                if positions < 0:
+                    made = [b""] * len(rows)
+                else:
+                    made = [r.tobytes() for r in byte_rows(h, counts, positions)] if positions else [texts[b + i].encode() for i in rows.tolist()]
                 bytes_ = pa.array(made, pa.binary())
                 keys = batch.column(0).slice(b, e - b).take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([keys, pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), bytes_], [key, "d1", "d2", "sig"])
@@ -185,6 +188,30 @@ def _met(entries: DataFrame, least: int) -> DataFrame:
     return pairs_met.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least).select("a", "b")
 
 
+def least_matches(threshold: float, positions: int, sigmas: float = 4.5) -> int:
+    """Positions in which a pair at the threshold agrees, but for a chance of 0.000004."""
+    p = threshold + (1 - threshold) / 256
+    return int(positions * p - sigmas * math.sqrt(positions * p * (1 - p)))
+
+
+def _tallied(met: DataFrame, rows: DataFrame, threshold: float, positions: int) -> DataFrame:
+    """Pairs whose byte rows agree in the least number of positions or more."""
+    ids = met.select(F.col("a").alias("id")).unionByName(met.select(F.col("b").alias("id"))).distinct()
+    if met.count() <= MAX_BROADCAST_PAIRS:
+        ids = F.broadcast(ids)
+    rows = rows.join(ids, "id", "left_semi")
+    both = met.join(rows.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(rows.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
+    least = least_matches(threshold, positions)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, positions) for i in (2, 3))
+            keep = pa.array((x == y).sum(1) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a int, b int").distinct()
+
+
 def _short(key: Column) -> Column:
     """32 bits for a key: entries stay short, and keys that share them are told apart on verifying."""
     return F.shiftright(F.xxhash64(key.cast("string")), 32).cast("int")
@@ -194,12 +221,14 @@ def classes_and_links(
     df: DataFrame, key: str, text: str, size: int, threshold: float, run: int, runs: int, least: int, late: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Membership (``key``, ``class``) and verified links (``a``, ``b``) between class representatives."""
-    signed = _signed(df, key, text, size, 0 if late else run * runs).persist(StorageLevel.DISK_ONLY)
+    signed = _signed(df, key, text, size, 0 if late else run * runs)
     grouped = signed.groupBy("d1", "d2").agg(F.min(key).alias("class"), F.any_value("sig").alias("sig"))
-    grouped = grouped.withColumn("id", _short(F.col("class")))
-    members = signed.select(key, "d1", "d2").distinct().join(grouped.select("d1", "d2", "class"), ["d1", "d2"]).select(key, "class")
+    grouped = grouped.withColumn("id", _short(F.col("class"))).persist(StorageLevel.DISK_ONLY)
+    members = _signed(df, key, text, size, -1).select(key, "d1", "d2").distinct().join(grouped.select("d1", "d2", "class"), ["d1", "d2"]).select(key, "class")
 
     met = _met(_postings(grouped, run, runs, size, late), least).persist(StorageLevel.DISK_ONLY)
+    if not late:
+        met = _tallied(met, grouped.select("id", "sig"), threshold, run * runs).persist(StorageLevel.DISK_ONLY)
     ids = met.select(F.col("a").alias("id")).unionByName(met.select(F.col("b").alias("id"))).distinct()
     # the records that met are few beside all records: where their number allows it, the texts of the others aren't shuffled
     if met.count() <= MAX_BROADCAST_PAIRS:
