@@ -180,15 +180,16 @@ def shared(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     )
     # around the others, window by window; one record stands for all with the same field
     edges = fields.groupBy("s").agg(F.max(F.col("dmin") == F.col("dmax")).alias("edge"), F.count("*").alias("n")).where("edge").select("s", "n")
-    ask = fields.join(edges, "s").select("s", "doc", "pos", "dmin", "dmax", "n")
+    ask = fields.join(edges, "s").select("s", "doc", "pos", "dmin", "dmax", "n").persist(StorageLevel.DISK_ONLY)
     few = docs.join(ask.where(F.col("n") <= MANY_FIELDS), "doc").select("doc", "_text", "pos", "dmin", "dmax", "s")
     parts = _same_windows(_window_table(few, kind), kind)
     # a unit with very many different fields is no group of one task: its windows are grouped one by one
-    many = docs.join(ask.where(F.col("n") > MANY_FIELDS), "doc").select("doc", "_text", "pos", "dmin", "dmax", "s")
-    windows = _window_table(many, kind).persist(StorageLevel.DISK_ONLY)
-    hit = windows.select(F.explode("ws").alias("w"), "dmin", "dmax").groupBy("w").agg(F.min("dmin").alias("a"), F.max("dmax").alias("b")).where("a < b")
-    own = windows.where("dmin = dmax").select("doc", "low", F.posexplode("ws").alias("i", "w")).select("w", "doc", (F.col("low") + F.col("i")).alias("start"))
-    parts = parts.unionByName(own.join(hit, "w").select("doc", F.col("start").alias("begin_at"), (F.col("start") + LEAST).alias("end_at"), (F.col("a") < F.col("doc")).alias("later")))
+    if not ask.where(F.col("n") > MANY_FIELDS).isEmpty():
+        many = docs.join(ask.where(F.col("n") > MANY_FIELDS), "doc").select("doc", "_text", "pos", "dmin", "dmax", "s")
+        windows = _window_table(many, kind).persist(StorageLevel.DISK_ONLY)
+        hit = windows.select(F.explode("ws").alias("w"), "dmin", "dmax").groupBy("w").agg(F.min("dmin").alias("a"), F.max("dmax").alias("b")).where("a < b")
+        own = windows.where("dmin = dmax").select("doc", "low", F.posexplode("ws").alias("i", "w")).select("w", "doc", (F.col("low") + F.col("i")).alias("start"))
+        parts = parts.unionByName(own.join(hit, "w").select("doc", F.col("start").alias("begin_at"), (F.col("start") + LEAST).alias("end_at"), (F.col("a") < F.col("doc")).alias("later")))
     ends = docs.select("doc", F.length("_text").alias("n"))
     found = whole.join(ends, "doc").select("doc", "begin_at", F.least("end_at", "n").alias("end_at"), "later").unionByName(parts)
     return found.select(F.col("doc").alias(key), "begin_at", "end_at", "later")
