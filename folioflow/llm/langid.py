@@ -70,9 +70,13 @@ _QUOTED = re.compile(r"«[^»]*»|“[^”]*”|„[^“”]*[“”]|\"[^\"]*\"
 def prepare(sentence: str) -> str:
     """What of a sentence tells its language: without codes, units, numbers and what stands in quotes."""
     bare = _QUOTED.sub(" ", sentence)
-    if sum(c.isalpha() for c in bare) < 12:
+    if len(bare) < len(sentence) and sum(map(str.isalpha, bare)) < 12:
         bare = sentence
-    return re.sub(r"\s+", " ", _NOISE.sub(" ", bare)).strip().lower()
+    return " ".join(_NOISE.sub(" ", bare).split()).lower()
+
+
+#: Ends that need no learning: a full word before, a capital after; other sentences stay together.
+_SURE_END = re.compile(r"(?<=\w{4}[.!?])\s+(?=[A-ZА-ЯЁЄІЇҐÀ-Ý])|(?<=[。！？।])")
 
 
 class Machines:
@@ -96,13 +100,15 @@ class Machines:
             rows.append(row[: len(g)][keep])
         return (np.concatenate(out) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(rows)
 
-    def fit(self, texts: list[str], langs: list[str], steps: int = 40, rounds: int = 3) -> None:
+    def fit(self, texts: list[str], langs: list[str], steps: int = 40, rounds: int = 4) -> None:
         """Averaged subgradient steps on the hinge loss, pair by pair, over single sentences.
 
-        Labels are partly wrong and some rows mix languages: after each round
-        the sentences that the machine puts on the other side are left out.
+        Labels are partly wrong and some rows mix languages.  Before the
+        machine is fitted, sentences whose n-grams are likelier under the other
+        label are left out, again and again: wrong labels are the minority of a label's
+        rows, so they lose; the margin would fit them instead.
         """
-        units = [(prepare(u), g) for t, g in zip(texts, langs) for u in re.split(r"(?<=[.!?。！？।])\s*(?=\S)", t) if len(u) > 25]
+        units = [(prepare(u), g) for t, g in zip(texts, langs) for u in _SURE_END.split(t) if len(u) > 25]
         units = [(u, g) for u, g in units if len(u) > 12 and FAMILIES_OF(u) == _FAMILY[g]]
         y = np.array([g for _, g in units])
         feats, rows = self.features([u for u, _ in units])
@@ -120,17 +126,23 @@ class Machines:
                 local = np.repeat(np.arange(len(own)), size)
                 x = feats[np.repeat(ends[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
                 norm = 1 / np.sqrt(np.maximum(size, 1))
-                # the first round leans to the larger class, whose labels are right more often
-                share = (1.0, 1.0) if r == 0 else tuple(len(own) / (2 * max((sign == s).sum(), 1)) for s in (1, -1))
+                if r < rounds - 1:
+                    count = [np.bincount(x, (sign == s)[local], 1 << BITS) + 0.5 for s in (1, -1)]
+                    odds = np.log(count[0] / count[0].sum()) - np.log(count[1] / count[1].sum())
+                    own = own[sign * np.bincount(local, odds[x], len(own)) > 0]
+                    continue
+                share = tuple(len(own) / (2 * max((sign == s).sum(), 1)) for s in (1, -1))
                 gain = np.where(sign > 0, share[0], share[1]) * sign * norm / len(own)
-                w, total = np.zeros(1 << BITS), np.zeros(1 << BITS)
+                # features count as much as their log-odds; the machine starts from all alike
+                count = [np.bincount(x, (sign == s)[local], 1 << BITS) + 0.5 for s in (1, -1)]
+                odds = np.log(count[0] / count[0].sum()) - np.log(count[1] / count[1].sum())
+                start = 2 / max(np.abs(np.bincount(local, odds[x], len(own)) * norm).mean(), 1e-9)
+                w, total = np.full(1 << BITS, start), np.zeros(1 << BITS)
                 for k in range(steps):
-                    bad = sign * np.bincount(local, w[x], len(own)) * norm < 1
-                    w = w * (1 - 0.5 / (k + 2)) + 60.0 / (k + 2) ** 0.5 * np.bincount(x, (gain * bad)[local], 1 << BITS)
+                    bad = sign * np.bincount(local, (w * odds)[x], len(own)) * norm < 1
+                    w = start + (w - start) * (1 - 0.5 / (k + 2)) + 20.0 / (k + 2) ** 0.5 * odds * np.bincount(x, (gain * bad)[local], 1 << BITS)
                     total += w
-                w = total / steps
-                if r < rounds - 1:
-                    own = own[sign * np.bincount(local, w[x], len(own)) > 0]
+                w = total / steps * odds
             scale = np.abs(np.bincount(local, w[x], len(own)) * norm).mean() if len(own) and w.any() else 1.0
             self.weights[a, b] = (w / max(scale, 1e-9)).astype(np.float32)
 
@@ -260,14 +272,3 @@ def segments(df: DataFrame, key: str, text: str, label: str | None, rules: Rules
 
     rows = df.select(F.col(key), F.col(text).cast("string").alias("_text"), (F.col(label) if label else F.lit(None)).cast("string").alias("_label"))
     return rows.mapInPandas(run, f"{key} {kind}, seg_no int, lang string, confidence double, begin_at int, end_at int, wrong boolean")
-
-
-def tag(df: DataFrame, text: str, m: Machines) -> DataFrame:
-    """``df`` with ``lang``, the main language of the whole text: for statistics per language."""
-    shared = df.sparkSession.sparkContext.broadcast(m)
-
-    @F.pandas_udf("string")
-    def lang(s: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.predict([t or "" for t in s])[0], index=s.index)
-
-    return df.withColumn("lang", lang(F.col(text)))

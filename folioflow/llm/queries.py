@@ -130,18 +130,18 @@ def _blocks(spark: SparkSession, d: str, *cols: str) -> DataFrame:
 
 
 def _rules(spark: SparkSession, d: str):
-    """Language machines and sentence rules; the counts take every row of the blocks."""
+    """Sentence rules; the counts take every paragraph and abstract, by the language of its label."""
     from folioflow.llm import langid, sentences
 
-    rows = table(spark, d, "blocks").where("type IN ('paragraph', 'abstract') AND content IS NOT NULL").select("block_id", "content", "language", "source")
-    machines = langid.train(rows.where("source <> 'ocr'"))
-    return sentences.learn(sentences.statistics(langid.tag(rows, "content", machines), "content", "lang")), machines
+    rows = table(spark, d, "blocks").where("type IN ('paragraph', 'abstract') AND content IS NOT NULL").select("content", "language")
+    return sentences.learn(sentences.statistics(rows, "content", "language", langid.label_code))
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
     from folioflow.llm import langid
 
-    rules, machines = _rules(spark, d)
+    rows = table(spark, d, "blocks").where("type IN ('paragraph', 'abstract') AND source <> 'ocr'").select("block_id", "content", "language")
+    rules, machines = _rules(spark, d), langid.train(rows)
     return langid.segments(_blocks(spark, d, "language"), "block_id", "content", "language", rules, machines)
 
 
@@ -156,8 +156,8 @@ def p1_segments(spark: SparkSession, d: str) -> DataFrame:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     from folioflow.llm import sentences
 
-    rules, _ = _rules(spark, d)
-    return sentences.split(_blocks(spark, d, "source").where("source = 'grobid'"), "block_id", "content", rules)
+    rows = table(spark, d, "blocks").where("type IN ('paragraph', 'abstract') AND source = 'grobid'").select("block_id", "content")
+    return sentences.split(once(rows, "block_id"), "block_id", "content", _rules(spark, d))
 
 
 #: Word shingles of three tokens, 64 runs of 4 byte positions: a pair at 0.6 is missed with probability 0.0016.

@@ -17,7 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 _L = r"(?:[^\W\d_]|[\u0300-\u036F\u0900-\u0903\u093A-\u094F])"
 _WORD = re.compile(_L + r"+(?:[.'’\-]" + _L + r"+)*|\d+(?:[.,–\-]\d+)*|[%°]")
-_LAST = re.compile(_L + r"+(?:[.'’\-]" + _L + r"+)*$|\d+(?:[.,–\-]\d+)*$|[^\w\s]$")
+_LAST = re.compile(_L + r"+(?:[.'’\-]" + _L + r"+)*\Z|\d+(?:[.,–\-]\d+)*\Z|[^\w\s]\Z")
 #: A candidate end: closing signs, then what may follow.
 _END = re.compile(r"(?:[.!?…]+|[。！？｡।॥]+|\n[ \t]*\n)")
 _OPEN = {"«": "»", "“": "”", "(": ")", "[": "]", "{": "}", "《": "》", "「": "」", "『": "』", "（": "）", "【": "】", "‹": "›"}
@@ -87,8 +87,10 @@ class Rules:
         m = _WORD.match(text, after)
         word = m.group() if m else ""
         tight = after == at + 1
-        head = text[max(0, at - 40) : at]
-        p = _LAST.search(head)
+        lo = max(0, at - 40)
+        # the word before the period: from its last sign backwards to a blank
+        b = max(text.rfind(" ", lo, at), text.rfind("\n", lo, at), lo - 1) + 1
+        p = _LAST.search(text, b, at)
         prev = p.group() if p else ""
         if not nxt:
             return True
@@ -100,7 +102,7 @@ class Rules:
             return False
         caseless = bool(word) and word[0].isalpha() and not word[0].isupper() and not word[0].islower()
         follows_initial = len(word) == 1 and word.isupper() and text[m.end() : m.end() + 1] == "."
-        before = head[: p.start()].rstrip() if p else ""
+        before = text[lo : p.start()].rstrip() if p else ""
         numbered = before[-1:].isdigit() or before[-1:] in "%"
         if len(prev) == 1 and prev.isupper():
             if tight and word[:1].isupper():
@@ -252,15 +254,19 @@ def count(text: str, into: Counter, lang: str) -> None:
             into[lang, "start", word] += 1
 
 
-def statistics(df: DataFrame, text: str, lang: str | None = None) -> DataFrame:
-    """(lang, kind, word, n) over all rows; counted per batch, then summed."""
+def statistics(df: DataFrame, text: str, lang: str | None = None, name: Callable[[str | None], str | None] = lambda x: x) -> DataFrame:
+    """(lang, kind, word, n) over all rows; counted per batch, then summed.
+
+    ``lang`` names the column of the language as given, which ``name`` brings to
+    one notation; rows without one are counted together.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             c: Counter = Counter()
             for t, g in zip(b["_text"], b["_lang"]):
                 if t:
-                    count(t, c, g or "")
+                    count(t, c, name(g) or "")
             yield pd.DataFrame([(*k, n) for k, n in c.items()], columns=["lang", "kind", "word", "n"])
 
     rows = df.select(F.col(text).cast("string").alias("_text"), (F.col(lang) if lang else F.lit("")).alias("_lang"))
