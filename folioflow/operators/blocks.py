@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from folioflow.functions.formulas import fragment_flag
 from folioflow.functions.text import clean_latex, clean_text, reference_heading, strip, title_flag
 from folioflow.schemas import FORMULA_TYPES
 
-ORDER = Window.partitionBy("paper_id").orderBy("pos", "block_id")
-SO_FAR = ORDER.rowsBetween(Window.unboundedPreceding, 0)
-BEFORE = ORDER.rowsBetween(Window.unboundedPreceding, -1)
+
+def order() -> WindowSpec:
+    return Window.partitionBy("paper_id").orderBy("pos", "block_id")
+
+
+def so_far() -> WindowSpec:
+    return order().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def is_formula(kind: Column) -> Column:
@@ -32,7 +36,7 @@ def drop_empty(blocks: DataFrame) -> DataFrame:
 def drop_repeated(blocks: DataFrame) -> DataFrame:
     """Blocks equal to the one before them (type, opening of content and latex, page) go."""
     sig = F.struct("type", F.substring(F.coalesce("content", F.lit("")), 1, 200).alias("c"), F.substring(F.coalesce("latex", F.lit("")), 1, 200).alias("l"), "page")
-    return blocks.withColumn("_s", sig).withColumn("_p", F.lag("_s").over(ORDER)).where(~F.col("_s").eqNullSafe(F.col("_p"))).drop("_s", "_p")
+    return blocks.withColumn("_s", sig).withColumn("_p", F.lag("_s").over(order())).where(~F.col("_s").eqNullSafe(F.col("_p"))).drop("_s", "_p")
 
 
 def split_sections(blocks: DataFrame) -> DataFrame:
@@ -52,14 +56,14 @@ def detect_sections(blocks: DataFrame, preserve_types: bool = False) -> DataFram
     kind = F.when(is_formula(F.col("type")), F.col("type")).when(title, F.lit("section")).otherwise(F.lit("paragraph"))
     if preserve_types:
         kind = F.when(F.col("type").isin("paragraph", "section"), kind).otherwise(F.col("type"))
-    return blocks.withColumn("type", kind).withColumn("section", F.last(F.when(F.col("type") == "section", strip(F.col("content"))), True).over(SO_FAR))
+    return blocks.withColumn("type", kind).withColumn("section", F.last(F.when(F.col("type") == "section", strip(F.col("content"))), True).over(so_far()))
 
 
 def forward_fill(blocks: DataFrame) -> DataFrame:
     """The section before fills where none is given."""
     own = F.nullif(F.col("section"), F.lit(""))
     seen = F.when(F.col("type") == "section", F.coalesce(F.nullif(F.col("content"), F.lit("")), own)).otherwise(own)
-    return blocks.withColumn("section", F.coalesce(own, F.last(seen, True).over(SO_FAR)))
+    return blocks.withColumn("section", F.coalesce(own, F.last(seen, True).over(so_far())))
 
 
 def front_matter(blocks: DataFrame) -> DataFrame:
@@ -71,12 +75,12 @@ def front_matter(blocks: DataFrame) -> DataFrame:
 def merge_paragraphs(blocks: DataFrame) -> DataFrame:
     """Runs of broken paragraphs become one: (paper_id, pos, content, pages, n)."""
     text = strip(F.coalesce("content", F.lit("")))
-    prev, prev_type = F.lag(text).over(ORDER), F.lag("type").over(ORDER)
+    prev, prev_type = F.lag(text).over(order()), F.lag("type").over(order())
     n_words = F.size(F.filter(F.split(text, r"\s+"), lambda x: x != ""))
     join = text.rlike("^[a-zа-яё]") | prev.rlike("(,|;|:| и| или)$") | (~prev.rlike("[.!?:;]$") & (n_words > 3))
     stays = (F.col("type") == "paragraph") & (prev_type == "paragraph") & join & (text != "") & (prev != "") & ~fragment_flag(text) & ~fragment_flag(prev)
     marked = blocks.withColumn("_break", F.when(F.coalesce(stays, F.lit(False)), 0).otherwise(1)).withColumn("_t", text)
-    runs = marked.withColumn("_run", F.sum("_break").over(SO_FAR))
+    runs = marked.withColumn("_run", F.sum("_break").over(so_far()))
     parts = F.sort_array(F.collect_list(F.struct("pos", "block_id", "_t", "page")))
     out = runs.groupBy("paper_id", "_run").agg(F.min("pos").alias("pos"), F.min_by("type", F.struct("pos", "block_id")).alias("type"), parts.alias("_p"))
     pages = F.array_distinct(F.array_compact(F.transform("_p", lambda x: x.page)))
@@ -86,9 +90,9 @@ def merge_paragraphs(blocks: DataFrame) -> DataFrame:
 def merge_equations(blocks: DataFrame) -> DataFrame:
     """A formula takes the paragraph before it as context and the one after it, if it explains symbols, as description."""
     kind, text = F.col("type"), strip(F.coalesce("content", F.lit("")))
-    before = F.when(F.lag("type").over(ORDER) == "paragraph", F.lag(text).over(ORDER))
-    after = F.when((F.lead("type").over(ORDER) == "paragraph") & F.lower(F.lead(text).over(ORDER)).rlike("^(где|where|здесь|here)"), F.lead(text).over(ORDER))
-    label = F.when(F.lead("type").over(ORDER) == "formula_label", F.lead(text).over(ORDER))
+    before = F.when(F.lag("type").over(order()) == "paragraph", F.lag(text).over(order()))
+    after = F.when((F.lead("type").over(order()) == "paragraph") & F.lower(F.lead(text).over(order())).rlike("^(где|where|здесь|here)"), F.lead(text).over(order()))
+    label = F.when(F.lead("type").over(order()) == "formula_label", F.lead(text).over(order()))
     rows = blocks.select("paper_id", "pos", "block_id", kind.alias("type"), "latex", "label", before.alias("context_before"), after.alias("description"), label.alias("next_label"))
     return rows.where("type = 'formula'").select("paper_id", "pos", "block_id", F.lit("equation_block").alias("type"), "latex", F.coalesce("label", "next_label").alias("label"), "context_before", "description")
 

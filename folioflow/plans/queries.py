@@ -269,9 +269,13 @@ def confidence(s, d):
 def formula_candidates(s, d):
     """Whole cascade: repair, normalise, check, confidence, variables, meaning."""
     text, sure = fx.known_repair(F.col("raw"))
-    f = _formulas(s, d).where("raw IS NOT NULL").withColumn("normal", fx.normalize(text)).withColumn("conf", F.round(fx.confidence(F.col("normal"), F.coalesce("source", F.lit("heuristic")), sure), 6))
-    f = f.where(fx.valid(F.col("normal")) & (F.col("conf") >= 0.25))
-    return f.select("id", "normal", "conf", F.round(fx.score(F.col("normal")), 6).alias("score"), fx.semantic_label(F.col("normal"), F.col("context")).alias("label"), (F.col("conf") >= 0.65).alias("use_for_index"))
+
+    def judged(n):
+        conf = F.round(fx.confidence(n, F.coalesce("source", F.lit("heuristic")), sure), 6)
+        return F.struct(n.alias("normal"), conf.alias("conf"), F.round(fx.score(n), 6).alias("score"), fx.semantic_label(n, F.col("context")).alias("label"), fx.valid(n).alias("valid"))
+
+    f = _formulas(s, d).where("raw IS NOT NULL").select("id", F.inline(F.array(fx.bind(fx.normalize(text), judged))))
+    return f.where("valid AND conf >= 0.25").select("id", "normal", "conf", "score", "label", (F.col("conf") >= 0.65).alias("use_for_index"))
 
 
 def latex_blocks(s, d):
@@ -286,7 +290,7 @@ def line_candidates(s, d):
     """Runs of neighbouring lines of a document that each look like a formula."""
     lines = _docs(s, d).where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     w = Window.partitionBy("doc_id").orderBy("i")
-    scored = lines.withColumn("hit", F.round(fx.score(fx.preclean(F.col("line"))), 6) >= 0.6)
+    scored = lines.select("doc_id", "i", F.inline(F.array(F.struct("line", (F.round(fx.score(fx.preclean(F.col("line"))), 6) >= 0.6).alias("hit")))))
     runs = scored.withColumn("run", F.sum(F.when(F.col("hit"), 0).otherwise(1)).over(w)).where("hit")
     g = runs.groupBy("doc_id", "run").agg(F.min("i").alias("first_line"), F.count("*").alias("n_lines"), F.sort_array(F.collect_list(F.struct("i", "line"))).alias("p"))
     return g.select("doc_id", "first_line", "n_lines", F.array_join(F.transform("p", lambda x: x.line), "\n").alias("candidate"))
