@@ -100,7 +100,7 @@ class Machines:
             rows.append(row[: len(g)][keep])
         return (np.concatenate(out) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(rows)
 
-    def fit(self, texts: list[str], langs: list[str], steps: int = 40, rounds: int = 4) -> None:
+    def fit(self, texts: list[str], langs: list[str], steps: int = 20, rounds: int = 4) -> None:
         """Averaged subgradient steps on the hinge loss, pair by pair, over single sentences.
 
         Labels are partly wrong and some rows mix languages.  Before the
@@ -109,7 +109,7 @@ class Machines:
         rows, so they lose; the margin would fit them instead.
         """
         units = [(prepare(u), g) for t, g in zip(texts, langs) for u in _SURE_END.split(t) if len(u) > 25]
-        units = [(u, g) for u, g in units if len(u) > 12 and FAMILIES_OF(u) == _FAMILY[g]]
+        units = [(u, g) for u, g in units if len(u) > 12 and family_of(u) == _FAMILY[g]]
         y = np.array([g for _, g in units])
         feats, rows = self.features([u for u, _ in units])
         order = np.argsort(rows, kind="stable")
@@ -196,7 +196,7 @@ def family_shares(prepared: list[str]) -> np.ndarray:
     return np.divide(out, total, out=np.zeros_like(out), where=total > 0)
 
 
-def FAMILIES_OF(prepared: str) -> str | None:
+def family_of(prepared: str) -> str | None:
     shares = family_shares([prepared])[0]
     return _ORDER[int(shares.argmax())] if shares.max() > 0.7 else None
 

@@ -87,9 +87,9 @@ def _scans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
     chunks = table(spark, d, "chunks").select("chunk_id", "content", "citation.title", "citation.journal").where("content IS NOT NULL")
     pages = once(chunks.where(scans.scanned(F.col("content"))), "chunk_id").select(F.col("chunk_id").alias("rec_id"), "content", F.lit(False).alias("sure"), "title", "journal")
-    blocks = table(spark, d, "blocks").select("block_id", "paper_id", "content", "source").where("content IS NOT NULL")
+    blocks = table(spark, d, "blocks").where("type IN ('paragraph', 'abstract') AND content IS NOT NULL").select("block_id", "paper_id", "content", "source")
     papers = table(spark, d, "papers").where("paper_id IS NOT NULL").groupBy("paper_id").agg(F.any_value("title", True).alias("title"), F.any_value("journal", True).alias("journal"))
-    ocr = once(blocks.where("source = 'ocr'"), "block_id").join(papers, "paper_id", "left")
+    ocr = once(blocks.where((F.col("source") == "ocr") & scans.scanned(F.col("content"))), "block_id").join(papers, "paper_id", "left")
     ocr = ocr.select(F.col("block_id").cast("string").alias("rec_id"), "content", F.lit(True).alias("sure"), "title", "journal")
     clean = blocks.where("source <> 'ocr'").select("content").unionByName(chunks.where(~scans.scanned(F.col("content"))).select("content"))
     return pages.unionByName(ocr), clean

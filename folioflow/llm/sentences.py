@@ -280,6 +280,7 @@ def _ll(k: float, n: float, p0: float, p1: float) -> float:
 
 def learn(stats: DataFrame) -> Rules:
     """Rules from the counts.  Words that cannot pass are dropped before they reach the driver."""
+    stats = stats.persist()
     totals = {(r["lang"], r["kind"]): r["n"] for r in stats.where("word = ''").collect()}
     million = "1e6 / greatest(w_all, 1)"
     base = stats.groupBy("lang").agg(F.max(F.when(F.col("kind") == "all", F.col("n"))).alias("w_all"))
@@ -315,6 +316,7 @@ def learn(stats: DataFrame) -> Rules:
                 abbreviations.add(w)
         if r["ordinal"] >= 2 and (lang, w) not in starters and r["ordinal"] * 1.0 >= 0.3 * max(r["capital"], 1):
             ordinals.add(w)
+    stats.unpersist()
     if len(abbreviations) + len(starters) + len(ordinals) > MAX_LEARNED:
         raise ValueError("learned lists too long to send to the workers")
     return Rules(abbreviations, {w for _, w in starters}, ordinals)
