@@ -215,43 +215,58 @@ class Rules:
 
 # ---------------------------------------------------------------- learning
 
-_TOKEN = re.compile("(" + _L + r"+(?:[.'’\-]" + _L + r"+)*)(\.?)|(\d+(?:[.,–\-]\d+)*)(\.(?=\s))?")
-
-
-def count(text: str, into: Counter, lang: str) -> None:
-    """Counts of one text: (language, kind, word)."""
-    for m in _TOKEN.finditer(text):
-        w, dot, num, num_dot = m.groups()
-        if num:
-            if num_dot:
-                nxt = _WORD.match(text, Rules._next(text, m.end()))
-                if nxt and nxt.group()[:1].isupper():
-                    into[lang, "ordinal", nxt.group()] += 1
-            continue
-        into[lang, "all", ""] += 1
-        low = w.lower()
-        if w[:1].isupper() and len(w) < 20:
-            into[lang, "capital", w] += 1
-        if not dot:
-            # codes such as NR-12 are no words
-            if len(low) < 12 and not (len(w) > 1 and w.isupper()):
-                into[lang, "bare", low] += 1
-            continue
-        into[lang, "dots", ""] += 1
-        after = Rules._next(text, m.end())
-        nxt = _WORD.match(text, after)
-        word = nxt.group() if nxt else ""
-        if len(low) < 12:
-            into[lang, "dot", low] += 1
-            x = text[after : after + 1]
-            initial = len(word) == 1 and word.isupper() and text[nxt.end() : nxt.end() + 1] == "."
-            if x and (x.isdigit() or x in ",;:(№" or (word and _lower(word)) or initial or (word and len(low) > 1 and not word[0].isupper() and not word[0].islower())):
-                into[lang, "goes_on", low] += 1
-            elif word and word[0].isupper():
-                into[lang, "then", f"{low} {word}"] += 1
-        if len(low) > 4 and _lower(w) and word[:1].isalpha() and not _lower(word):
-            into[lang, "sure", ""] += 1
-            into[lang, "start", word] += 1
+#: Runs of capitals are codes such as NR-12 and no words.
+_CAPITALS = re.compile(r"\b[A-ZА-ЯЁІЇЄҐ]{2,}\b")
+_PLAIN = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
+_ORDINAL = re.compile(r"(?<![\w.,])\d+\.\s+(?=[^\W\d_a-z])")
+
+
+def count(texts: list[str], langs: list[str]) -> Counter:
+    """Counts of a batch: (language, kind, word).  Words are tallied per text in one go; only periods are looked at singly."""
+    into: Counter = Counter()
+    met: dict[str, Counter] = {}
+    for text, lang in zip(texts, langs):
+        met.setdefault(lang, Counter()).update(_PLAIN.findall(_CAPITALS.sub(" ", text)))
+        for m in _ORDINAL.finditer(text):
+            nxt = _WORD.match(text, m.end())
+            if nxt and nxt.group()[:1].isupper():
+                into[lang, "ordinal", nxt.group()] += 1
+        at = text.find(".")
+        while at >= 0:
+            b = max(text.rfind(" ", max(0, at - 40), at), text.rfind("\n", max(0, at - 40), at), max(0, at - 40) - 1) + 1
+            m = _LAST.search(text, b, at)
+            dot, at = at, text.find(".", at + 1)
+            w = m.group() if m else ""
+            if not w[:1].isalpha():
+                continue
+            low = w.lower()
+            into[lang, "dots", ""] += 1
+            after = Rules._next(text, dot + 1)
+            nxt = _WORD.match(text, after)
+            word = nxt.group() if nxt else ""
+            if len(low) < 12:
+                into[lang, "dot", low] += 1
+                x = text[after : after + 1]
+                initial = len(word) == 1 and word.isupper() and text[nxt.end() : nxt.end() + 1] == "."
+                if x and (x.isdigit() or x in ",;:(№" or (word and _lower(word)) or initial or (word and len(low) > 1 and not word[0].isupper() and not word[0].islower())):
+                    into[lang, "goes_on", low] += 1
+                elif word and word[0].isupper():
+                    into[lang, "then", f"{low} {word}"] += 1
+            if len(low) > 4 and _lower(w) and word[:1].isalpha() and not _lower(word):
+                into[lang, "sure", ""] += 1
+                into[lang, "start", word] += 1
+    for lang, c in met.items():
+        into[lang, "all", ""] += sum(c.values())
+        for w, n in c.items():
+            low = w.lower()
+            if len(low) < 12:
+                into[lang, "bare", low] += n
+            if w[0].isupper() and len(w) < 20:
+                into[lang, "capital", w] += n
+    for (lang, kind, w), n in list(into.items()):
+        if kind == "dot" and (lang, "bare", w) in into:
+            into[lang, "bare", w] = max(0, into[lang, "bare", w] - n)
+    return into
 
 
 def statistics(df: DataFrame, text: str, lang: str | None = None, name: Callable[[str | None], str | None] = lambda x: x) -> DataFrame:
@@ -263,10 +278,8 @@ def statistics(df: DataFrame, text: str, lang: str | None = None, name: Callable
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            c: Counter = Counter()
-            for t, g in zip(b["_text"], b["_lang"]):
-                if t:
-                    count(t, c, name(g) or "")
+            rows = [(t, name(g) or "") for t, g in zip(b["_text"], b["_lang"]) if t]
+            c = count([t for t, _ in rows], [g for _, g in rows])
             yield pd.DataFrame([(*k, n) for k, n in c.items()], columns=["lang", "kind", "word", "n"])
 
     rows = df.select(F.col(text).cast("string").alias("_text"), (F.col(lang) if lang else F.lit("")).alias("_lang"))
