@@ -34,6 +34,7 @@ from pyspark.sql.window import Window
 from pyspark.storagelevel import StorageLevel
 
 from folioflow.llm.common import mix64, slices
+from folioflow.session import checkpoint
 
 _TOKEN = re.compile(r"[^\W_]+")
 CHARS = 1_000_000
@@ -185,7 +186,9 @@ def _met(entries: DataFrame, least: int) -> DataFrame:
     long = lists.where("k IS NOT NULL").select("k", "a")
     pairs_of_long = long.join(long.select("k", F.col("a").alias("b")), "k").where("a < b").select("a", "b")
     pairs_met = lists.where("k IS NULL").select("a", "b").unionByName(pairs_of_long)
-    return pairs_met.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least).select("a", "b")
+    met = checkpoint(pairs_met.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least).select("a", "b"))
+    lists.unpersist()
+    return met
 
 
 def least_matches(threshold: float, positions: int, sigmas: float = 4.5) -> int:
@@ -223,19 +226,20 @@ def classes_and_links(
     """Membership (``key``, ``class``) and verified links (``a``, ``b``) between class representatives."""
     signed = _signed(df, key, text, size, 0 if late else run * runs)
     grouped = signed.groupBy("d1", "d2").agg(F.min(key).alias("class"), F.any_value("sig").alias("sig"))
-    grouped = grouped.withColumn("id", _short(F.col("class"))).persist(StorageLevel.DISK_ONLY)
+    # tables used twice are written to the shared folder, which also keeps the plans short
+    grouped = checkpoint(grouped.withColumn("id", _short(F.col("class"))))
     members = _signed(df, key, text, size, -1).select(key, "d1", "d2").distinct().join(grouped.select("d1", "d2", "class"), ["d1", "d2"]).select(key, "class")
 
-    met = _met(_postings(grouped, run, runs, size, late), least).persist(StorageLevel.DISK_ONLY)
+    met = _met(_postings(grouped, run, runs, size, late), least)
     if not late:
-        met = _tallied(met, grouped.select("id", "sig"), threshold, run * runs).persist(StorageLevel.DISK_ONLY)
+        met = checkpoint(_tallied(met, grouped.select("id", "sig"), threshold, run * runs))
     ids = met.select(F.col("a").alias("id")).unionByName(met.select(F.col("b").alias("id"))).distinct()
     # the records that met are few beside all records: where their number allows it, the texts of the others aren't shuffled
     if met.count() <= MAX_BROADCAST_PAIRS:
         ids = F.broadcast(ids)
     texts = df.select(_short(F.col(key)).alias("id"), F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
     texts = texts.join(ids, "id", "left_semi").dropDuplicates(["key"])
-    texts = texts.persist(StorageLevel.DISK_ONLY)
+    texts = checkpoint(texts)
     bytes_met = texts.agg(F.sum(F.octet_length("text") + F.octet_length(F.col("key").cast("string")) + 40)).first()[0] or 0
     if bytes_met <= MAX_BROADCAST_BYTES:
         texts = F.broadcast(texts)
