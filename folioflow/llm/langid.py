@@ -108,8 +108,8 @@ class Machines:
         label are left out, again and again: wrong labels are the minority of a label's
         rows, so they lose; the margin would fit them instead.
         """
-        units = [(prepare(u), g) for t, g in zip(texts, langs) for u in _SURE_END.split(t) if len(u) > 25]
-        units = [(u, g) for u, g in units if len(u) > 12 and family_of(u) == _FAMILY[g]]
+        units = [(prepare(u), g) for t, g in zip(texts, langs) for u in _SURE_END.split(t) if len(u) > 8]
+        units = [(u, g) for u, g in units if len(u) > (12 if u.isascii() else 6) and family_of(u) == _FAMILY[g]]
         y = np.array([g for _, g in units])
         feats, rows = self.features([u for u, _ in units])
         order = np.argsort(rows, kind="stable")
@@ -206,7 +206,7 @@ def train(blocks: DataFrame, key: str = "block_id", text: str = "content", label
     notations = F.create_map(*[F.lit(x) for n, c in _CODE.items() for x in (n, c)])
     norm = F.lower(F.trim(F.col(label)))
     code = F.coalesce(notations[norm], notations[F.regexp_extract(norm, r"^([^\-_\s(]+)", 1)])
-    rows = blocks.select(F.xxhash64(key).alias("h"), F.col(text).alias("t"), code.alias("c")).where("c IS NOT NULL AND length(t) > 20")
+    rows = blocks.select(F.xxhash64(key).alias("h"), F.col(text).alias("t"), code.alias("c")).where("c IS NOT NULL AND length(t) > 8")
     w = Window.partitionBy("c").orderBy("h")
     sample = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= SAMPLE).select("t", "c").orderBy("c", "h").collect()
     m = Machines()

@@ -180,7 +180,9 @@ def shared(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     )
     # around the others, window by window; one record stands for all with the same field
     edges = fields.groupBy("s").agg(F.max(F.col("dmin") == F.col("dmax")).alias("edge"), F.count("*").alias("n")).where("edge").select("s", "n")
-    ask = fields.join(edges, "s").select("s", "doc", "pos", "dmin", "dmax", "n").persist(StorageLevel.DISK_ONLY)
+    # of a field in one record all places are asked for, of one in several records the first
+    places = rows.join(fields.select("s", "u", F.col("doc").alias("fdoc"), F.col("pos").alias("fpos"), "dmin", "dmax"), ["s", "u"]).where("dmin = dmax OR (doc = fdoc AND pos = fpos)")
+    ask = places.join(edges, "s").select("s", "doc", "pos", "dmin", "dmax", "n").persist(StorageLevel.DISK_ONLY)
     few = docs.join(ask.where(F.col("n") <= MANY_FIELDS), "doc").select("doc", "_text", "pos", "dmin", "dmax", "s")
     parts = _same_windows(_window_table(few, kind), kind)
     # a unit with very many different fields is no group of one task: its windows are grouped one by one
