@@ -121,3 +121,57 @@ ORACLES["hybrid_rrf"] = f"""WITH {_LISTS}, u AS (SELECT qid, id, round(sum(1.0::
 SELECT qid, id, score, CAST("rank" AS INT) "rank" FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) "rank" FROM u) WHERE "rank" <= 10"""
 ORACLES["hybrid_weighted"] = f"""WITH {_LISTS}, u AS (SELECT coalesce(la.qid, lb.qid) qid, coalesce(la.id, lb.id) id, round(0.6::DOUBLE / coalesce(la.r, 32) + 0.4::DOUBLE / coalesce(lb.r, 32), 6) score FROM la FULL JOIN lb ON la.qid = lb.qid AND la.id = lb.id)
 SELECT qid, id, score, CAST("rank" AS INT) "rank" FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) "rank" FROM u) WHERE "rank" <= 10"""
+
+from folioflow.functions.formulas import ACRONYMS, ALIASES, GARBAGE, MATH, NOT_VARIABLES, REPAIRS, SOURCE_TRUST, TERM_STOP  # noqa: E402
+from folioflow.functions.text import HEADINGS, TOPICS  # noqa: E402
+
+
+def _re(s: str) -> str:
+    return _q(s)
+
+
+ORACLES["formula_valid"] = f"""WITH {FORMULAS}, x AS (SELECT id, {_S} s FROM f), y AS (SELECT id, s, regexp_matches(s, {_re(MATH)}) m,
+  len(regexp_extract_all(s, '[А-Яа-яЁё]{{4,}}')) + len(regexp_extract_all(s, '[A-Za-z]{{5,}}')) n FROM x)
+SELECT id, length(s) BETWEEN 3 AND 700 AND NOT regexp_matches(s, {_re("|".join(GARBAGE))}) AND NOT regexp_matches(s, {_re(ACRONYMS)}) AND NOT (n > 12 AND NOT m)
+  AND (m OR regexp_matches(s, {_re(_SYM)}) OR {_any("lower(s)", KEYWORDS)}) AS valid FROM y"""
+ORACLES["known_repairs"] = f"""WITH {FORMULAS}, x AS (SELECT id, raw, {_strip(f"regexp_replace(coalesce(raw, ''), '{WS}+', ' ', 'g')")} s FROM f)
+SELECT id, CASE {" ".join(f"WHEN regexp_matches(s, {_re('(?i)' + p)}) THEN {_q(w)}" for p, w, _ in REPAIRS)} ELSE raw END repaired,
+  CASE {" ".join(f"WHEN regexp_matches(s, {_re('(?i)' + p)}) THEN {c}::DOUBLE" for p, _, c in REPAIRS)} END confidence FROM x"""
+ORACLES["confidence"] = f"""WITH {FORMULAS}, x AS (SELECT id, raw s, lower(raw) l, coalesce(source, 'heuristic') src FROM f)
+SELECT id, round(greatest(0.0, least(1.0, CASE src {" ".join(f"WHEN {_q(k)} THEN {v}" for k, v in SOURCE_TRUST.items())} ELSE 0.15 END
+  + CASE WHEN contains(s, '=') THEN 0.15 ELSE 0 END + CASE WHEN {_any("s", ("\\frac", "\\partial", "\\nabla", "\\Delta", "\\sum", "\\int", "^", "_"))} THEN 0.25 ELSE 0 END
+  + CASE WHEN regexp_matches(s, {_re(_SYM)}) THEN 0.15 ELSE 0 END + CASE WHEN {_any("l", KEYWORDS)} THEN 0.1 ELSE 0 END + CASE WHEN length(s) < 180 THEN 0.05 ELSE 0 END
+  - CASE WHEN {_WORDS.format("s", 5)} > 10 THEN 0.2 ELSE 0 END))::DOUBLE, 6) confidence FROM x"""
+ORACLES["formula_variables"] = f"""WITH {FORMULAS}, x AS (SELECT id, list_filter(list_transform(regexp_extract_all(raw, '\\\\?[A-Za-zА-Яа-я]+(?:_\\{{?[A-Za-z0-9+\\-]+\\}}?)?(?:\\^\\{{?[+\\-0-9]+\\}}?)?'), lambda v: trim(replace(v, chr(92), ''))),
+  lambda v: v <> '' AND length(v) <= 25 AND v NOT IN ({", ".join(map(_q, NOT_VARIABLES))})) v FROM f)
+SELECT id, array_to_string(list_filter(v, lambda y, i: list_position(v, y) = i), ',') variables FROM x"""
+_ALIAS = "list_sort(list_distinct(flatten([" + ", ".join("CASE WHEN " + _any("t", k) + " THEN [{0}] ELSE CAST([] AS VARCHAR[]) END".replace("{0}", "@" + str(i)) for i, (k, _, _) in enumerate(ALIASES)) + "])))"
+
+
+def _alias(english: bool) -> str:
+    x = _ALIAS
+    for i, (_, ru, en) in enumerate(ALIASES):
+        x = x.replace(f"@{i}", ", ".join(map(_q, (en if english else ru).split("|"))))
+    return x
+
+
+ORACLES["enrich_aliases"] = f"""SELECT id, array_to_string({_alias(False)}, '|') AS ru, array_to_string({_alias(True)}, '|') AS en FROM (SELECT id, lower(coalesce(description, '')) t FROM formula_kb)"""
+ORACLES["query_terms"] = f"""WITH x AS (SELECT *, lower(coalesce(description, '')) t FROM formula_kb), y AS (SELECT id, lower(concat_ws(' ', coalesce(description, ''), coalesce(context, ''), coalesce(latex, ''), array_to_string({_alias(False)}, ' '), array_to_string({_alias(True)}, ' '))) t FROM x)
+SELECT id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(t, '[a-zа-яё0-9_\\\\^{{}}+-]+'), lambda v: length(v) >= 3 AND v NOT IN ({", ".join(map(_q, TERM_STOP))})))), ' ') terms FROM y"""
+ORACLES["kb_prompt"] = """WITH x AS (SELECT *, array_to_string(list_transform(list_sort(map_keys(variables)), lambda k: k || ' — ' || variables[k]), '; ') v FROM formula_kb)
+SELECT id, concat_ws(chr(10), CASE WHEN coalesce(number, '') <> '' THEN 'Номер: ' || number END, CASE WHEN coalesce(latex, '') <> '' THEN 'LaTeX: ' || latex END, CASE WHEN coalesce(description, '') <> '' THEN 'Описание: ' || description END,
+  CASE WHEN coalesce(v, '') <> '' THEN 'Переменные: ' || v END, CASE WHEN coalesce(context, '') <> '' THEN 'Контекст: ' || context END) AS lines FROM x"""
+_TITLE = f"""(length(s) > 0 AND length(s) <= 220 AND (regexp_matches(s, {_re("(?i)^(" + "|".join(HEADINGS) + ")$")})
+  OR regexp_matches(s, {_re(r"^(Глава\s+\d+\.?\s+.+|\d+\.\d+\.\d+\s+[A-ZА-ЯЁ].+|\d+\.\d+\s+[A-ZА-ЯЁ].+|\d+\.\s+[A-ZА-ЯЁ].+|\d+\s+[A-ZА-ЯЁ][^.!?]{5,180}$)")})
+  OR (length(s) BETWEEN 8 AND 120 AND NOT ends_with(s, '.') AND regexp_matches(s, '^[A-ZА-ЯЁ]') AND len(regexp_extract_all(s, '[A-Za-zА-Яа-яЁё0-9_]+')) <= 12 AND {_any("lower(s)", TOPICS)})))"""
+ORACLES["section_title_flag"] = f"""WITH {BLOCKS}, x AS (SELECT block_id, {_strip("coalesce(content, '')")} s FROM b) SELECT block_id, {_TITLE} AS is_title FROM x"""
+ORACLES["section_detect"] = f"""WITH {BLOCKS}, x AS (SELECT *, {_strip("coalesce(content, '')")} s FROM b), y AS (SELECT *, CASE WHEN "type" IN {_FTYPES} THEN "type" WHEN {_TITLE} THEN 'section' ELSE 'paragraph' END k FROM x)
+SELECT block_id, k AS "type", last_value(CASE WHEN k = 'section' THEN s END IGNORE NULLS) OVER (PARTITION BY paper_id ORDER BY pos, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) section FROM y"""
+ORACLES["title_extract"] = f"""WITH x AS (SELECT doc_id, coalesce("text", '') t, trim(title) ti, source, list_filter(list_filter(list_transform(string_split(coalesce("text", ''), chr(10)), lambda z: {_strip("z")}), lambda z: z <> ''),
+  lambda z: length(z) > 20 AND length(z) < 200 AND NOT regexp_matches(lower(z), '^(abstract|аннотация|keywords|ключевые|doi|удк|http|received|accepted)')) ls FROM documents)
+SELECT doc_id, coalesce(CASE WHEN length(ti) > 5 THEN ti END, nullif(regexp_extract(t, '\\\\title\\{{([^}}]+)\\}}', 1), ''), ls[1], source) title_found FROM x"""
+ORACLES["dual_index_fused"] = f"""WITH v AS (SELECT vec_id, embedding, label FROM embeddings WHERE embedding IS NOT NULL), q AS (SELECT vec_id qid, embedding qe, coalesce(title, text, '') query FROM v LEFT JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 0),
+w AS (SELECT qid, qe, round(0.7 - 0.5 * m, 6) wt, round(0.3 + 0.5 * m, 6) wf FROM (SELECT qid, qe, {_math("query")} m FROM q)),
+s AS (SELECT qid, vec_id, wt, wf, CASE WHEN label % 2 = 0 THEN 'text' ELSE 'formula' END side, round(list_inner_product(CAST(qe AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) raw FROM w, v),
+k AS (SELECT *, row_number() OVER (PARTITION BY qid, side ORDER BY raw DESC, vec_id) r FROM s), u AS (SELECT qid, vec_id, side, round(raw * CASE side WHEN 'text' THEN wt ELSE wf END, 6) score FROM k WHERE r <= 30 AND raw > 0)
+SELECT qid, vec_id, side, score, CAST("rank" AS INT) AS "rank" FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id, side) AS "rank" FROM u) WHERE "rank" <= 10"""
