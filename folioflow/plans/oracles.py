@@ -173,5 +173,5 @@ SELECT doc_id, coalesce(CASE WHEN length(ti) > 5 THEN ti END, nullif(regexp_extr
 ORACLES["dual_index_fused"] = f"""WITH v AS (SELECT vec_id, embedding, label FROM embeddings WHERE embedding IS NOT NULL), q AS (SELECT vec_id qid, embedding qe, coalesce(title, text, '') query FROM v LEFT JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 0),
 w AS (SELECT qid, qe, round(0.7 - 0.5 * m, 6) wt, round(0.3 + 0.5 * m, 6) wf FROM (SELECT qid, qe, {_math("query")} m FROM q)),
 s AS (SELECT qid, vec_id, wt, wf, CASE WHEN label % 2 = 0 THEN 'text' ELSE 'formula' END side, round(list_inner_product(CAST(qe AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) raw FROM w, v),
-k AS (SELECT *, row_number() OVER (PARTITION BY qid, side ORDER BY raw DESC, vec_id) r FROM s), u AS (SELECT qid, vec_id, side, round(raw * CASE side WHEN 'text' THEN wt ELSE wf END, 6) score FROM k WHERE r <= 30 AND raw > 0)
+k AS (SELECT *, row_number() OVER (PARTITION BY qid, side ORDER BY raw DESC, vec_id) r FROM s), u AS (SELECT qid, vec_id, side, round(raw * CASE side WHEN 'text' THEN wt ELSE wf END, 9) score FROM k WHERE r <= 30 AND raw > 0)
 SELECT qid, vec_id, side, score, CAST("rank" AS INT) AS "rank" FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id, side) AS "rank" FROM u) WHERE "rank" <= 10"""
