@@ -9,8 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioflow.functions.text import filled
+from folioflow.functions.formulas import bind, chunk_garbage_flag, normalize, text_of, valid
+from folioflow.functions.text import filled, strip
 from folioflow.options import Options
+from folioflow.schemas import FORMULA
+
+#: A formula of a chunk.
+CHUNK_FORMULA = FORMULA.replace("variable_list:array<string>,", "")
 
 
 def chunk_id(paper: Column, content: Column, section: Column, pages: Column) -> Column:
@@ -59,6 +64,59 @@ def merged_formulas(existing: Column, linked: Column) -> Column:
     return unique_formulas(F.concat(existing, linked))
 
 
+def _latex(c: Column) -> Column:
+    """LaTeX as chunks show it: garbage is null, only what is valid is normalised."""
+    return bind(strip(text_of(c)), lambda x: F.when(chunk_garbage_flag(x), F.lit(None)).when(valid(x), F.nullif(normalize(x), F.lit(""))).otherwise(x))
+
+
+def _formula(latex: Column, of: dict[str, Column]) -> Column:
+    """A formula of a chunk; what ``of`` lacks is null, and there is none without LaTeX."""
+    said, meant = of.get("description", F.lit(None)), of.get("semantic_description", F.lit(None))
+    full = of | {"latex": latex, "description": F.coalesce(filled(said, meant), F.lit("")), "semantic_description": F.coalesce(filled(meant, said), F.lit(""))}
+    full |= {"variables": F.coalesce(of.get("variables", F.lit(None)), F.create_map().cast("map<string,string>")), "confidence": F.coalesce(of.get("confidence", F.lit(None)), F.lit(0.5)), "type": F.coalesce(of.get("type", F.lit(None)), F.lit("formula_candidate"))}
+    names = [x.split(":")[0] for x in CHUNK_FORMULA[len("struct<") : -1].replace("map<string,string>", "map").split(",")]
+    return F.when(latex.isNotNull(), F.struct(*[full.get(n, F.lit(None)).alias(n) for n in names]).cast(CHUNK_FORMULA))
+
+
+def normalized_formulas(formulas: Column, latex: Column, page: Column, source: Column, description: Column, semantic: Column) -> Column:
+    """The formulas of a block; the other columns fill what a formula lacks."""
+
+    def one(f: Column) -> Column:
+        return bind(_latex(filled(f.latex, latex)), lambda x: _formula(x, {
+            "id": f.id, "number": f.number, "raw": filled(f.raw, latex, x), "description": filled(f.description, f.semantic_description, description, semantic), "semantic_description": filled(f.semantic_description, f.description, semantic, description), "variables": f.variables,
+            "context": f.context, "source": filled(f.source, source), "page": F.coalesce(F.nullif(f.page, F.lit(0)), page), "confidence": f.confidence, "type": f.type, "extraction_method": f.extraction_method, "link_score": f.link_score,
+        }))
+
+    return F.array_compact(F.transform(F.coalesce(formulas, F.array().cast(f"array<{FORMULA}>")), one))
+
+
+def rendered(blocks: DataFrame) -> DataFrame:
+    """Blocks as chunks hold them: ``content`` and ``formulas`` of paragraphs, equations and formulas; other types go.
+
+    Columns that a table of blocks lacks count as null.
+    """
+    has = lambda n, t="string": (F.col(n) if n in blocks.columns else F.lit(None)).cast(t)
+    text = lambda n: F.nullif(strip(text_of(has(n))), F.lit(""))
+    equation, bare = F.col("type") == "equation_block", F.col("type").isin("formula", "formula_candidate")
+    kept = blocks.where(equation | bare | F.col("type").isin("paragraph", "section", "abstract"))
+    raw = F.when(equation, filled(text("latex"), text("normalized"))).when(bare, filled(text("latex"), text("normalized"), text("content")))
+    rows = kept.withColumns({"_raw": raw, "_latex": F.when(equation, _latex(raw)).when(bare & valid(raw), _latex(raw))})
+    context, said, meant, label = text("context_before"), text("description"), text("semantic_description"), text("label")
+    number = filled(has("number"), label)
+    own = {
+        "id": filled(has("id"), has("formula_id")), "number": number, "raw": filled(has("raw"), F.when(equation, F.col("_raw")).otherwise(F.col("_latex"))), "description": filled(said, meant, F.when(equation, context)), "semantic_description": filled(meant, said, F.when(equation, context)),
+        "variables": has("variables", "map<string,string>"), "context": filled(F.when(bare, has("context")), context), "source": has("source"), "page": has("page", "int"), "confidence": has("confidence", "double"), "type": F.col("type"), "extraction_method": has("extraction_method"), "link_score": F.when(bare, has("link_score", "double")),
+    }
+    own = F.array_compact(F.array(_formula(F.col("_latex"), own)))
+    inner = normalized_formulas(has("formulas", f"array<{FORMULA}>"), F.col("_latex"), has("page", "int"), has("source"), F.when(equation, said), F.when(equation, filled(meant, context)))
+    rows = rows.withColumn("formulas", F.when(bare, own).when(F.col("type") == "section", F.array().cast(f"array<{CHUNK_FORMULA}>")).otherwise(inner))
+    rows = rows.withColumn("formulas", F.when(equation & (F.size("formulas") == 0), own).otherwise(F.col("formulas")))
+    line = lambda n: F.concat(F.lit("Формула: "), F.col("_latex"), F.coalesce(F.concat(F.lit(" "), n), F.lit("")))
+    shown = F.when(equation, F.concat_ws("\n", context, line(label), said, F.when(~meant.eqNullSafe(said), F.concat(F.lit("Смысл формулы: "), meant))))
+    shown = shown.when(bare & F.col("_latex").isNotNull(), F.concat_ws("\n", line(number), filled(said, meant))).when(bare, F.lit(""))
+    return rows.withColumn("content", shown.otherwise(text_of(F.col("content")))).drop("_raw", "_latex")
+
+
 def split_sentences(text: str, limit: int, overlap: int) -> list[str]:
     """Pieces of whole sentences up to ``limit``; each begins with the end of the one before."""
     import re
@@ -74,7 +132,10 @@ def split_sentences(text: str, limit: int, overlap: int) -> list[str]:
 
 
 def pack(blocks: DataFrame, options: Options | None = None) -> DataFrame:
-    """(paper_id, section, n, chunk_id, content, pages) greedily packed up to the limit inside each section.
+    """(paper_id, section, n, chunk_id, content, pages, formulas) greedily packed up to the limit inside each section.
+
+    Pieces under the least size stay only if they carry formulas; the pieces of
+    a text over the limit carry all its formulas.
 
     The fold keeps state along a document, which windows can't; it runs over
     the rows of a document as they arrive sorted in its partition, so only the
@@ -86,37 +147,42 @@ def pack(blocks: DataFrame, options: Options | None = None) -> DataFrame:
         paper = section = None
         parts: list[str] = []
         pages: list[int] = []
+        formulas: dict[str, None] = {}
         n = 0
 
         def flush() -> list[tuple]:
-            nonlocal parts, pages, n
+            nonlocal parts, pages, formulas, n
             text = "\n\n".join(parts)
             made = []
+            says = f"[{','.join(formulas)}]"
             for piece in [text] if len(text) <= o.max_chunk else split_sentences(text, o.max_chunk, o.overlap):
-                if len(piece) >= o.min_chunk:
-                    made.append((paper, section, n, piece, list(dict.fromkeys(pages))))
+                if len(piece) >= o.min_chunk or formulas:
+                    made.append((paper, section, n, piece, list(dict.fromkeys(pages)), says))
                     n += 1
-            parts, pages = [], []
+            parts, pages, formulas = [], [], {}
             return made
 
         rows: list[tuple] = []
         for b in batches:
-            for p, s, t, g in zip(b["paper_id"], b["section"], b["content"], b["page"]):
+            for p, s, t, g, f in zip(b["paper_id"], b["section"], b["content"], b["page"], b["formulas"]):
                 if p != paper:
-                    rows += flush() if parts else []
+                    rows += flush() if parts or formulas else []
                     paper, section, n = p, s, 0
-                elif s != section or sum(map(len, parts)) + len(t) > o.max_chunk:
-                    rows += flush() if parts else []
+                elif s != section or (parts and sum(map(len, parts)) + len(t) > o.max_chunk):
+                    rows += flush() if parts or formulas else []
                     section = s
-                parts.append(t)
+                parts += [t] if t else []
+                formulas |= dict.fromkeys(f)
                 if g == g and g is not None:
                     pages.append(int(g))
-            yield pd.DataFrame(rows, columns=["paper_id", "section", "n", "content", "pages"])
+            yield pd.DataFrame(rows, columns=["paper_id", "section", "n", "content", "pages", "formulas"])
             rows = []
-        if parts:
-            yield pd.DataFrame(flush(), columns=["paper_id", "section", "n", "content", "pages"])
-
-    rows = blocks.where("content IS NOT NULL AND content <> '' AND paper_id IS NOT NULL").select("paper_id", F.coalesce("section", F.lit("")).alias("section"), "content", "page", "pos", "block_id")
-    ordered = rows.repartition("paper_id").sortWithinPartitions("paper_id", "pos", "block_id").select("paper_id", "section", "content", "page")
-    made = ordered.mapInPandas(run, "paper_id string, section string, n int, content string, pages array<int>")
+        if parts or formulas:
+            yield pd.DataFrame(flush(), columns=["paper_id", "section", "n", "content", "pages", "formulas"])
+
+    rows = rendered(blocks.where("paper_id IS NOT NULL")).where("content <> '' OR size(formulas) > 0")
+    rows = rows.select("paper_id", F.coalesce("section", F.lit("")).alias("section"), "content", "page", F.transform("formulas", lambda f: F.to_json(f)).alias("formulas"), "pos", "block_id")
+    ordered = rows.repartition("paper_id").sortWithinPartitions("paper_id", "pos", "block_id").select("paper_id", "section", "content", "page", "formulas")
+    made = ordered.mapInPandas(run, "paper_id string, section string, n int, content string, pages array<int>, formulas string")
+    made = made.withColumn("formulas", unique_formulas(F.from_json("formulas", f"array<{CHUNK_FORMULA}>")))
     return made.withColumn("chunk_id", chunk_id(F.col("paper_id"), F.col("content"), F.col("section"), F.col("pages")))

@@ -30,8 +30,8 @@ def _questions(s: SparkSession, d: str) -> DataFrame:
     return _docs(s, d).where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), F.coalesce("title", "text", F.lit("")).alias("query"))
 
 
-def _blocks(s: SparkSession, d: str) -> DataFrame:
-    cols = ["paper_id", "pos", "type", "content", "latex", "page", "section", "label"]
+def _blocks(s: SparkSession, d: str, *more: str) -> DataFrame:
+    cols = ["paper_id", "pos", "type", "content", "latex", "page", "section", "label", *more]
     b = table(s, d, "blocks").select("block_id", *cols)
     return b.groupBy("block_id").agg(F.any_value(F.struct(*cols)).alias("x")).select("block_id", "x.*")
 
@@ -230,8 +230,8 @@ def search_text(s, d):
 
 
 def chunk_pack(s, d):
-    b = blocks.cut_references(blocks.forward_fill(blocks.cleaned(_blocks(s, d).where("type IN ('paragraph', 'section', 'abstract')"))))
-    return chunking.pack(b).select("chunk_id", "paper_id", "section", "n", "content", "pages")
+    b = blocks.cut_references(blocks.forward_fill(blocks.cleaned(_blocks(s, d, "source", "formulas"))))
+    return chunking.pack(b).select("chunk_id", "paper_id", "section", "n", "content", "pages", "formulas")
 
 
 # ------------------------------------------------------------ formulas

@@ -114,6 +114,29 @@ def test_pack(spark, parts):
     assert chunking.split_sentences("Аб. Вг. Де.", 8, 2) == ["Аб. Вг.", "г. Де."]
 
 
+def test_pack_formulas(spark):
+    f = lambda i, latex, d=None: (i, None, latex, "raw", d, None, {"C_1": "соль"}, None, None, None, None, None, "formula", None, None)
+    rows = [
+        (0, "paragraph", "Короткий.", None, None, "A", [f("a", "∂C = 1", "поток"), f("n", "NaCl")]), (1, "paragraph", "Кратко.", None, None, "B", []), (2, "equation_block", "не читается", "C_1 = 2", "(7)", "C", []),
+        (3, "formula", None, "j_i = -D", "(8)", "C", [f("x", "y = 1")]), (4, "formula_candidate", "z_i = 3", None, None, "C", []), (5, "formula", None, "NaCl", None, "C", []), (6, "formula_fragment", "x = 1", None, None, "C", []), (7, "table", "y" * 400, None, None, "C", []),
+        (8, "paragraph", None, None, None, "D", [f("b", "k_d = 4"), f("b", "k_d = 4")]), (9, "equation_block", None, "x", None, "E", [f("e", None)]), (10, "paragraph", "Ток. " * 400, None, None, "F", [f("g", "pH = 7")]),
+    ]
+    schema = f"paper_id string, pos int, block_id int, type string, content string, latex string, page int, section string, label string, formulas array<{chunking.FORMULA}>"
+    df = spark.createDataFrame([("p", i, i, t, c, x, 1, sec, lab, fs) for i, t, c, x, lab, sec, fs in rows], schema)
+    got: dict = {}
+    for r in chunking.pack(df).orderBy("n").collect():
+        got.setdefault(r["section"], []).append((r["content"], [(x["id"], x["number"], x["latex"]) for x in r["formulas"]]))
+    assert {k: got[k] for k in "ACD"} == {
+        "A": [("Короткий.", [("a", None, r"\partial C = 1")])], "D": [("", [("b", None, "k_d = 4")])],
+        "C": [("Формула: C_1 = 2 (7)\n\nФормула: j_i = -D (8)\n\nФормула: z_i = 3", [(None, "(7)", "C_1 = 2"), (None, "(8)", "j_i = -D"), (None, None, "z_i = 3")])],
+    }
+    assert set(got) == set("ACDF") and len(got["F"]) == 2 and all(x[1] == [("g", None, "pH = 7")] for x in got["F"])
+    a = chunking.pack(df).where("section = 'A'").first()["formulas"][0]
+    assert (a["description"], a["semantic_description"], a["confidence"], a["page"], a["variables"]) == ("поток", "поток", 0.5, 1, {"C_1": "соль"})
+    e = df.where("block_id = 2").withColumns({"context_before": F.lit("До."), "description": F.lit("где C_1"), "semantic_description": F.lit("смысл")})
+    assert chunking.pack(e).first()["content"] == "До.\nФормула: C_1 = 2 (7)\nгде C_1\nСмысл формулы: смысл"
+
+
 def test_kb(spark):
     k = spark.createDataFrame([("f1", "(1)", "C_1", "поток ионов", "", {"C_1": "соль"}, None), ("f2", "(2)", "", "вода", "", {}, 3)], "id string, number string, latex string, description string, context string, variables map<string,string>, page int")
     q = spark.createDataFrame([(1, "тема")], "qid int, query string")
