@@ -223,6 +223,18 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(31)) and {got[i] for i in (100, 101, 102)} == {100}
 
 
+def test_variants(spark):
+    people = [
+        ["Olretsev Evgenii Pavlovich", "Evgenii Olretsev", "Ольрецев Е. П.", "Olretsev Zhenya", "E. P. Olretsev"], ["Samuel P. Veletrtugsmann", "Sam Veletrtugsmann", "Veletrtugsmann S."],
+        ["Глашоров Иван Петрович", "Glashorov Ivan"], ["Глашоров Игорь Данилович", "Glashorov I. D."], ["Glashorov I."], ["I. Glashorov"], ["Kruzenov J."], ["123"],
+    ]
+    df = spark.createDataFrame([(x,) for p in people for x in p] + [(None,), ("",), ("Evgenii Olretsev",)], "spelling string")
+    found: dict = {}
+    for spelling, cluster in rows(names.variants(df)):
+        found.setdefault(cluster, []).append(spelling)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, people))
+
+
 # ---------------------------------------------------------------- 6
 
 
