@@ -186,6 +186,12 @@ def test_scans():
     assert scans.examine("", [], f, e) == ([], "")
 
 
+def test_two_misread_signs_far_right():
+    e = scans.Editor({"abababababababababababababxy"})
+    e.ops = {"a": {"1", "2"}, "b": {"3", "4"}, "q": {"x"}, "w": {"y"}}
+    assert e.mend("ab" * 13 + "qw") == ("ab" * 13 + "xy", 26)
+
+
 # ---------------------------------------------------------------- 5
 
 
