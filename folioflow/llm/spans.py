@@ -145,7 +145,8 @@ def _same_windows(windows: DataFrame, kind: str) -> DataFrame:
         state = np.zeros(len(w), np.int8)
         later = least[group] < doc[row[order]]
         state[order] = np.where(least[group] < most[group], np.where(later, 2, 1), 0)
-        state[(low_id != high_id)[row]] = 0
+        # a field that recurs is found as a whole, but parts of it may be earlier elsewhere
+        state[(low_id != high_id)[row] & (state != 2)] = 0
         change = np.concatenate([[True], (state[1:] != state[:-1]) | (row[1:] != row[:-1])])
         begin = np.flatnonzero(change)
         end = np.append(begin[1:], len(w)) - 1
@@ -179,9 +180,9 @@ def shared(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         "doc", F.greatest(F.col("pos") + K - LEAST, F.lit(0)).alias("begin_at"), (F.col("pos") + LEAST).alias("end_at"), (F.col("dmin") < F.col("doc")).alias("later")
     )
     # around the others, window by window; one record stands for all with the same field
-    edges = fields.groupBy("s").agg(F.max(F.col("dmin") == F.col("dmax")).alias("edge"), F.count("*").alias("n")).where("edge").select("s", "n")
-    # of a field in one record all places are asked for, of one in several records the first
-    places = rows.join(fields.select("s", "u", F.col("doc").alias("fdoc"), F.col("pos").alias("fpos"), "dmin", "dmax"), ["s", "u"]).where("dmin = dmax OR (doc = fdoc AND pos = fpos)")
+    edges = fields.groupBy("s").agg(F.max(F.col("dmin") == F.col("dmax")).alias("edge"), F.count("*").alias("n")).where("edge OR n > 1").select("s", "n")
+    # of a field in one record all places are asked for, of one in several records those of the first
+    places = rows.join(fields.select("s", "u", F.col("doc").alias("fdoc"), "dmin", "dmax"), ["s", "u"]).where("dmin = dmax OR doc = fdoc")
     ask = places.join(edges, "s").select("s", "doc", "pos", "dmin", "dmax", "n").persist(StorageLevel.DISK_ONLY)
     few = docs.join(ask.where(F.col("n") <= MANY_FIELDS), "doc").select("doc", "_text", "pos", "dmin", "dmax", "s")
     parts = _same_windows(_window_table(few, kind), kind)
@@ -190,8 +191,8 @@ def shared(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         many = docs.join(ask.where(F.col("n") > MANY_FIELDS), "doc").select("doc", "_text", "pos", "dmin", "dmax", "s")
         windows = _window_table(many, kind).persist(StorageLevel.DISK_ONLY)
         hit = windows.select(F.explode("ws").alias("w"), "dmin", "dmax").groupBy("w").agg(F.min("dmin").alias("a"), F.max("dmax").alias("b")).where("a < b")
-        own = windows.where("dmin = dmax").select("doc", "low", F.posexplode("ws").alias("i", "w")).select("w", "doc", (F.col("low") + F.col("i")).alias("start"))
-        parts = parts.unionByName(own.join(hit, "w").select("doc", F.col("start").alias("begin_at"), (F.col("start") + LEAST).alias("end_at"), (F.col("a") < F.col("doc")).alias("later")))
+        own = windows.select("doc", "low", (F.col("dmin") == F.col("dmax")).alias("single"), F.posexplode("ws").alias("i", "w")).select("w", "doc", "single", (F.col("low") + F.col("i")).alias("start"))
+        parts = parts.unionByName(own.join(hit, "w").where("single OR a < doc").select("doc", F.col("start").alias("begin_at"), (F.col("start") + LEAST).alias("end_at"), (F.col("a") < F.col("doc")).alias("later")))
     ends = docs.select("doc", F.length("_text").alias("n"))
     found = whole.join(ends, "doc").select("doc", "begin_at", F.least("end_at", "n").alias("end_at"), "later").unionByName(parts)
     return found.select(F.col("doc").alias(key), "begin_at", "end_at", "later")

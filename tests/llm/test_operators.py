@@ -307,6 +307,27 @@ def test_shared_spans_same_as_brute_force(spark):
         spans.MANY_FIELDS = old
 
 
+def test_removed_spans_of_different_extents(spark):
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefgh \nёж") for _ in range(n))
+    long = text(1200)
+    docs = {2: text(90) + long[400:650] + text(80), 5: text(70) + long + text(60), 9: long + text(50)}
+    docs |= {3: docs[2], 7: docs[5], 10: docs[9]}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    first: dict = {}
+    for k, v in docs.items():
+        for s in range(len(v) - 199):
+            first.setdefault(v[s : s + 200], k)
+    want = {(k, i) for k, v in docs.items() for s in range(len(v) - 199) if first[v[s : s + 200]] < k for i in range(s, s + 200)}
+    old = spans.MANY_FIELDS
+    try:
+        for spans.MANY_FIELDS in (old, 0):
+            got = spans.merge(spans.shared(df).where("later")).collect()
+            assert {(r["doc_id"], i) for r in got for i in range(r["begin_at"], r["end_at"])} == want
+    finally:
+        spans.MANY_FIELDS = old
+
+
 # ---------------------------------------------------------------- 9
 
 
