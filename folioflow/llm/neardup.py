@@ -1,22 +1,25 @@
 """Near-equal records by a byte-position inverted index with count filtering.
 
 A record's set of word shingles is coded as a row of bytes, one per position:
-the low byte of the smallest value that the position's hash takes on the set.
+a byte of the smallest value that the position's hash takes on the set.
 Two records agree in a position with a probability equal to the Jaccard
 similarity of their sets (plus 1/256).  The inverted index leads from a run of
 neighbouring positions and its bytes to the records; a single byte would list
 a 256th of all records, so the run is as long as keeps the lists short.  The
-runs that a pair shares are tallied, pairs that reach the minimum number of
-matches are kept, and kept pairs are verified on their exact sets.
+runs that a pair shares are tallied and pairs that reach the minimum number of
+matches are kept; where a byte row is shorter than the set it stands for, all
+its shared bytes are tallied as well; kept pairs are verified on their exact
+sets.
 
 The minimum is guaranteed with a stated probability: with ``runs`` runs of
 ``run`` bytes a pair at similarity s shares each run with probability s**run,
 so a pair at the threshold is missed with probability
 P(Binomial(runs, threshold**run) < least); :func:`miss` gives the figure.
 
-Records with equal sets form a class that is indexed once, so a text copied to
-a third of all rows costs one entry.  Null texts and texts of fewer tokens than
-a shingle has pair with nothing.  Keys that repeat count once.
+Each text is read into its set once.  Records with equal sets form a class that
+is indexed once, so a text copied to a third of all rows costs one entry.  Null
+texts and texts of fewer tokens than a shingle has pair with nothing.  Keys that
+repeat count once.
 """
 
 from __future__ import annotations
@@ -42,8 +45,6 @@ CHARS = 1_000_000
 LONG_LIST = 400
 #: Pairs that met are counted, and the ids of up to so many (16 MB at most) are broadcast.
 MAX_BROADCAST_PAIRS = 2_000_000
-#: Texts that met are broadcast for verifying up to this size, else joined by shuffle.
-MAX_BROADCAST_BYTES = 24 << 20
 
 
 def miss(threshold: float, run: int, runs: int, least: int) -> float:
@@ -83,23 +84,26 @@ def shingle_hashes(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]
 def byte_rows(h: np.ndarray, counts: np.ndarray, positions: int) -> np.ndarray:
     """One row of ``positions`` bytes for each text with a shingle."""
     rng = np.random.default_rng(20240229)
-    factors = rng.integers(1, 2**63, positions, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    factors = rng.integers(1, 2**31, positions, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    h = (h >> np.uint64(32)).astype(np.uint32)
     some = counts[counts > 0]
     starts = np.cumsum(some) - some
-    out = np.empty((len(some), positions), np.uint8)
+    low = np.empty((positions, len(some)), np.uint32)
+    room = np.empty_like(h)
     for j in range(positions):
-        low = np.minimum.reduceat((h * factors[j]) >> np.uint64(32), starts)
-        out[:, j] = (low * np.uint64(0x9E3779B1) >> np.uint64(23)) & np.uint64(255)
-    return out
+        np.multiply(h, factors[j], out=room)
+        np.minimum.reduceat(room, starts, out=low[j])
+    return ((low * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).T.copy()
 
 
 def _signed(df: DataFrame, key: str, text: str, size: int, positions: int) -> DataFrame:
     """``key``, digest of the shingle set and the byte row; texts without shingles are left out.
 
-    For -1 ``positions`` there is no byte row, for 0 the text itself stands for its byte row, which is then made
-    after equal sets are grouped: short texts take less room than their byte rows.
+    For 0 ``positions`` the set itself stands for its byte row, which is then made after equal
+    sets are grouped: sets of short texts take less room than their byte rows.
     """
     kind = df.schema[key].dataType.simpleString()
+    form = "sig binary" if positions else "sig array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,20 +116,21 @@ def _signed(df: DataFrame, key: str, text: str, size: int, positions: int) -> Da
                 starts = (np.cumsum(counts) - counts)[rows]
                 d1 = np.add.reduceat(mix64(h), starts)
                 d2 = np.add.reduceat(mix64(h ^ np.uint64(0x5851F42D4C957F2D)), starts)
-                if positions < 0:
-                    made = [b""] * len(rows)
-                else:
-                    made = [r.tobytes() for r in byte_rows(h, counts, positions)] if positions else [texts[b + i].encode() for i in rows.tolist()]
-                bytes_ = pa.array(made, pa.binary())
+                sig = pa.array([r.tobytes() for r in byte_rows(h, counts, positions)], pa.binary()) if positions else _lists(h, counts[rows])
                 keys = batch.column(0).slice(b, e - b).take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), bytes_], [key, "d1", "d2", "sig"])
+                yield pa.RecordBatch.from_arrays([keys, pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), sig], [key, "d1", "d2", "sig"])
 
     rows = df.select(F.col(key), F.col(text).cast("string").alias("_text")).where(F.col(key).isNotNull() & F.col("_text").isNotNull())
-    return rows.mapInArrow(run, f"{key} {kind}, d1 bigint, d2 bigint, sig binary")
+    return rows.mapInArrow(run, f"{key} {kind}, d1 bigint, d2 bigint, {form}")
+
 
+def _lists(h: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(h.view(np.int64)))
 
-def _postings(classes: DataFrame, run_length: int, runs: int, size: int, late: bool) -> DataFrame:
+
+def _postings(classes: DataFrame, run_length: int, runs: int) -> DataFrame:
     """(k, id): the index entries of each class, one for each run of byte positions."""
+    late = classes.schema["sig"].dataType.typeName() == "array"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,9 +138,10 @@ def _postings(classes: DataFrame, run_length: int, runs: int, size: int, late: b
                 part = batch.slice(b, 2048)
                 n = part.num_rows
                 if late:
-                    sig = byte_rows(*shingle_hashes([t.decode() for t in part.column(1).to_pylist()], size), runs * run_length).astype(np.uint64)
+                    sets = part.column(1)
+                    sig = byte_rows(sets.flatten().to_numpy(zero_copy_only=False).view(np.uint64), sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), runs * run_length)
                 else:
-                    sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(n, runs * run_length).astype(np.uint64)
+                    sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(n, runs * run_length)
                 k = np.zeros((n, runs), np.uint64)
                 for i in range(run_length):
                     k = mix64(k) + sig[:, i::run_length] if i >= 7 else (k << np.uint64(8)) | sig[:, i::run_length]
@@ -149,29 +155,23 @@ def _postings(classes: DataFrame, run_length: int, runs: int, size: int, late: b
 def _met(entries: DataFrame, least: int) -> DataFrame:
     """Pairs of ids (a < b) that share at least ``least`` keys.
 
-    Lists of the index are joined with themselves inside a partition; a list
-    longer than ``LONG_LIST`` goes to a join instead, which is split where it is
-    skewed, so no list is gathered in one task.
+    Entries arrive sorted by key and only the list of one key is held, up to
+    ``LONG_LIST``; the entries of a longer list are handed on one by one to a
+    join, which is split where it is skewed.
     """
+    names = ["a", "b", "k"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ks, ids = [], []
-        for batch in batches:
-            ks.append(batch.column(0).to_numpy(zero_copy_only=False))
-            ids.append(batch.column(1).to_numpy(zero_copy_only=False))
-        if not ks:
-            return
-        k, i = np.concatenate(ks), np.concatenate(ids)
-        order = np.argsort(k)
-        k, i = k[order], i[order]
+    def handed_on(k: np.ndarray, i: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(i), pa.nulls(len(i), pa.int32()), pa.array(k)], names)
+
+    def pairs_of(k: np.ndarray, i: np.ndarray) -> Iterator[pa.RecordBatch]:
         begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         size = np.diff(np.append(begin, len(k)))
-        names = ["a", "b", "k"]
         for n in np.unique(size[size > 1]).tolist():
             at = begin[size == n]
             if n > LONG_LIST:
                 for b in at.tolist():
-                    yield pa.RecordBatch.from_arrays([pa.array(i[b : b + n]), pa.nulls(n, pa.int32()), pa.array(k[b : b + n])], names)
+                    yield handed_on(k[b : b + n], i[b : b + n])
                 continue
             x, y = np.triu_indices(n, 1)
             step = max(1, 500_000 // len(x))
@@ -182,7 +182,31 @@ def _met(entries: DataFrame, least: int) -> DataFrame:
                 u, v = np.minimum(u, v)[keep], np.maximum(u, v)[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int64())], names)
 
-    lists = entries.repartition("k").mapInArrow(run, "a int, b int, k bigint").persist(StorageLevel.DISK_ONLY)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_k, held_i = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        long: int | None = None
+        for batch in batches:
+            k, i = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            if long is not None:
+                n = int(np.searchsorted(k, long, "right"))
+                if n:
+                    yield handed_on(k[:n], i[:n])
+                k, i = k[n:], i[n:]
+            if not len(k):
+                continue
+            long = None
+            k, i = np.concatenate([held_k, k]), np.concatenate([held_i, i])
+            last = int(np.searchsorted(k, k[-1], "left"))
+            yield from pairs_of(k[:last], i[:last]) if last else ()
+            held_k, held_i = k[last:], i[last:]
+            if len(held_k) > LONG_LIST:
+                yield handed_on(held_k, held_i)
+                long = int(held_k[0])
+                held_k, held_i = held_k[:0], held_i[:0]
+        if len(held_k):
+            yield from pairs_of(held_k, held_i)
+
+    lists = entries.repartition("k").sortWithinPartitions("k").mapInArrow(run, "a int, b int, k bigint").persist(StorageLevel.DISK_ONLY)
     long = lists.where("k IS NOT NULL").select("k", "a")
     pairs_of_long = long.join(long.select("k", F.col("a").alias("b")), "k").where("a < b").select("a", "b")
     pairs_met = lists.where("k IS NULL").select("a", "b").unionByName(pairs_of_long)
@@ -199,10 +223,7 @@ def least_matches(threshold: float, positions: int, sigmas: float = 4.5) -> int:
 
 def _tallied(met: DataFrame, rows: DataFrame, threshold: float, positions: int) -> DataFrame:
     """Pairs whose byte rows agree in the least number of positions or more."""
-    ids = met.select(F.col("a").alias("id")).unionByName(met.select(F.col("b").alias("id"))).distinct()
-    if met.count() <= MAX_BROADCAST_PAIRS:
-        ids = F.broadcast(ids)
-    rows = rows.join(ids, "id", "left_semi")
+    rows = rows.join(_some(met), "id", "left_semi")
     both = met.join(rows.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(rows.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
     least = least_matches(threshold, positions)
 
@@ -220,40 +241,53 @@ def _short(key: Column) -> Column:
     return F.shiftright(F.xxhash64(key.cast("string")), 32).cast("int")
 
 
-def classes_and_links(
-    df: DataFrame, key: str, text: str, size: int, threshold: float, run: int, runs: int, least: int, late: bool = False
-) -> tuple[DataFrame, DataFrame]:
-    """Membership (``key``, ``class``) and verified links (``a``, ``b``) between class representatives."""
-    signed = _signed(df, key, text, size, 0 if late else run * runs)
-    grouped = signed.groupBy("d1", "d2").agg(F.min(key).alias("class"), F.any_value("sig").alias("sig"))
+def _some(met: DataFrame) -> DataFrame:
+    """The ids of the pairs that met, broadcast where their number allows it."""
+    ids = met.select(F.col("a").alias("id")).unionByName(met.select(F.col("b").alias("id"))).distinct()
+    return F.broadcast(ids) if met.count() <= MAX_BROADCAST_PAIRS else ids
+
+
+def _sets_of_texts(rows: DataFrame, size: int) -> DataFrame:
+    """(id, key, set) of texts (id, key, text)."""
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            for b, e in slices([len(t) for t in texts], CHARS):
+                h, counts = shingle_hashes(texts[b:e], size)
+                part = batch.slice(b, e - b)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _lists(h, counts)], ["id", "key", "set"])
+
+    return rows.select("id", "key", "text").mapInArrow(run, f"id int, key {kind}, set array<bigint>")
+
+
+def classes_and_links(df: DataFrame, key: str, text: str, size: int, threshold: float, run: int, runs: int, least: int, late: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Membership (``key``, ``class``) and verified links (``a``, ``b``) between class representatives.
+
+    ``late``: for texts whose set is shorter than a byte row; the set is kept and its byte row made when the index is.
+    """
     # tables used twice are written to the shared folder, which also keeps the plans short
+    signed = checkpoint(_signed(df, key, text, size, 0 if late else run * runs))
+    grouped = signed.groupBy("d1", "d2").agg(F.min(key).alias("class"), F.any_value("sig").alias("sig"))
     grouped = checkpoint(grouped.withColumn("id", _short(F.col("class"))))
-    members = _signed(df, key, text, size, -1).select(key, "d1", "d2").distinct().join(grouped.select("d1", "d2", "class"), ["d1", "d2"]).select(key, "class")
+    members = signed.select(key, "d1", "d2").distinct().join(grouped.select("d1", "d2", "class"), ["d1", "d2"]).select(key, "class")
 
-    met = _met(_postings(grouped, run, runs, size, late), least)
-    if not late:
+    met = _met(_postings(grouped, run, runs), least)
+    if late:
+        sets = grouped.join(_some(met), "id", "left_semi").select("id", F.col("class").alias("key"), F.col("sig").alias("set"))
+    else:
         met = checkpoint(_tallied(met, grouped.select("id", "sig"), threshold, run * runs))
-    ids = met.select(F.col("a").alias("id")).unionByName(met.select(F.col("b").alias("id"))).distinct()
-    # the records that met are few beside all records: where their number allows it, the texts of the others aren't shuffled
-    if met.count() <= MAX_BROADCAST_PAIRS:
-        ids = F.broadcast(ids)
-    texts = df.select(_short(F.col(key)).alias("id"), F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
-    texts = texts.join(ids, "id", "left_semi").dropDuplicates(["key"])
-    texts = checkpoint(texts)
-    bytes_met = texts.agg(F.sum(F.octet_length("text") + F.octet_length(F.col("key").cast("string")) + 40)).first()[0] or 0
-    if bytes_met <= MAX_BROADCAST_BYTES:
-        texts = F.broadcast(texts)
-    left = texts.select(F.col("id").alias("a"), F.col("key").alias("ka"), F.col("text").alias("ta"))
-    right = texts.select(F.col("id").alias("b"), F.col("key").alias("kb"), F.col("text").alias("tb"))
+        # the records that met are few beside all records: where their number allows it, the texts of the others aren't shuffled
+        texts = df.select(_short(F.col(key)).alias("id"), F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
+        sets = _sets_of_texts(texts.join(_some(met), "id", "left_semi").dropDuplicates(["key"]), size)
+    sets = checkpoint(sets)
+    left = sets.select(F.col("id").alias("a"), F.col("key").alias("ka"), F.col("set").alias("sa"))
+    right = sets.select(F.col("id").alias("b"), F.col("key").alias("kb"), F.col("set").alias("sb"))
     both = met.join(left, "a").join(right, "b").where("ka <> kb")
-    kind = df.schema[key].dataType.simpleString()
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            ok = [_jaccard(x, y, size) >= threshold - 1e-12 for x, y in zip(p["ta"], p["tb"])]
-            yield pd.DataFrame({"a": p["ka"][ok], "b": p["kb"][ok]})
-
-    links = both.mapInPandas(verify, f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    shared = F.size(F.array_intersect("sa", "sb"))
+    alike = shared / (F.size("sa") + F.size("sb") - shared) >= threshold - 1e-12
+    links = both.where(alike).select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
     return members, links
 
 

@@ -162,8 +162,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 #: Word shingles of three tokens, 64 runs of 4 byte positions: a pair at 0.6 is missed with probability 0.0016.
 CONTENT = dict(size=3, threshold=0.6, run=4, runs=64, least=2)
-#: Single tokens, 160 runs of 12 byte positions: a pair at 0.75 is missed with probability 0.006, at 0.8 with 0.00001.
-TITLE = dict(size=1, threshold=0.75, run=12, runs=160, least=1, late=True)
+#: Single tokens, 192 runs of 10 byte positions: a pair at 0.75 is missed with probability 0.0002.
+TITLE = dict(size=1, threshold=0.75, run=10, runs=192, least=2, late=True)
 
 
 def _near_content(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -193,6 +193,12 @@ def p6_classes(spark: SparkSession, d: str) -> DataFrame:
     return neardup.summary(*_near_content(spark, d), "chunk_id")
 
 
+def p6_title_classes(spark: SparkSession, d: str) -> DataFrame:
+    from folioflow.llm import neardup
+
+    return neardup.summary(*_near_titles(spark, d), "paper_id")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     from folioflow.llm import spans
 

@@ -267,7 +267,7 @@ def test_near_duplicates_same_as_brute_force(spark):
 
 def test_near_titles(spark):
     t = [("p1", "Effect of salt on flow in the Ermat cell 5 at low load today"), ("p2", "Effect of salt on flow in the Ermat cell 5 at low load"), ("p3", "Another title"), ("p4", None), ("p5", "другое название статьи"), ("p6", "Другое название: статьи")]
-    m, l = neardup.classes_and_links(spark.createDataFrame(t, "paper_id string, title string"), "paper_id", "title", size=1, threshold=0.75, run=12, runs=160, least=1, late=True)
+    m, l = neardup.classes_and_links(spark.createDataFrame(t, "paper_id string, title string"), "paper_id", "title", size=1, threshold=0.75, run=10, runs=192, least=2, late=True)
     assert set(rows(neardup.pairs(m, l, "paper_id"))) == {("p1", "p2"), ("p5", "p6")}
 
 
