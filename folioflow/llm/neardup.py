@@ -27,6 +27,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -45,6 +46,8 @@ CHARS = 1_000_000
 LONG_LIST = 400
 #: Pairs that met are counted, and the ids of up to so many (16 MB at most) are broadcast.
 MAX_BROADCAST_PAIRS = 2_000_000
+#: Digests of classes of several rows are broadcast up to so many (some 40 MB at most).
+MAX_BROADCAST_CLASSES = 500_000
 
 
 def miss(threshold: float, run: int, runs: int, least: int) -> float:
@@ -262,16 +265,31 @@ def _sets_of_texts(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("id", "key", "text").mapInArrow(run, f"id int, key {kind}, set array<bigint>")
 
 
-def classes_and_links(df: DataFrame, key: str, text: str, size: int, threshold: float, run: int, runs: int, least: int, late: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Membership (``key``, ``class``) and verified links (``a``, ``b``) between class representatives.
+class Near(NamedTuple):
+    """``keys``: all keys with a set; ``copies`` (key, ``class``): the members of classes of several rows, each other
+    key being its own class; ``links`` (``a``, ``b``) between class representatives."""
+
+    keys: DataFrame
+    copies: DataFrame
+    links: DataFrame
+
+
+def near(df: DataFrame, key: str, text: str, size: int, threshold: float, run: int, runs: int, least: int, late: bool = False) -> Near:
+    """Classes of equal sets and verified links between them.
 
     ``late``: for texts whose set is shorter than a byte row; the set is kept and its byte row made when the index is.
     """
     # tables used twice are written to the shared folder, which also keeps the plans short
     signed = checkpoint(_signed(df, key, text, size, 0 if late else run * runs))
-    grouped = signed.groupBy("d1", "d2").agg(F.min(key).alias("class"), F.any_value("sig").alias("sig"))
-    grouped = checkpoint(grouped.withColumn("id", _short(F.col("class"))))
-    members = signed.select(key, "d1", "d2").distinct().join(grouped.select("d1", "d2", "class"), ["d1", "d2"]).select(key, "class")
+    several = checkpoint(signed.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(key).alias("class")).where("n > 1").drop("n"))
+    few = several.count() <= MAX_BROADCAST_CLASSES
+    digests = F.broadcast(several) if few else several
+    single = signed.join(digests.select("d1", "d2"), ["d1", "d2"], "left_anti").select(F.col(key).alias("class"), "sig")
+    first = signed.join(digests, ["d1", "d2"]).groupBy("class").agg(F.any_value("sig").alias("sig"))
+    grouped = single.unionByName(first).withColumn("id", _short(F.col("class")))
+    if not few:
+        grouped = checkpoint(grouped)
+    copies = signed.select(key, "d1", "d2").join(digests, ["d1", "d2"]).select(key, "class").distinct()
 
     met = _met(_postings(grouped, run, runs), least)
     if late:
@@ -287,8 +305,8 @@ def classes_and_links(df: DataFrame, key: str, text: str, size: int, threshold:
     both = met.join(left, "a").join(right, "b").where("ka <> kb")
     shared = F.size(F.array_intersect("sa", "sb"))
     alike = shared / (F.size("sa") + F.size("sb") - shared) >= threshold - 1e-12
-    links = both.where(alike).select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
-    return members, links
+    links = checkpoint(both.where(alike).select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct())
+    return Near(signed.select(key), copies, links)
 
 
 def _set(text: str, size: int) -> set:
@@ -301,19 +319,20 @@ def _jaccard(x: str, y: str, size: int) -> float:
     return len(a & b) / len(a | b) if a and b else 0.0
 
 
-def pairs(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
+def pairs(found: Near, key: str) -> DataFrame:
     """All near-equal pairs of keys: links spread over their classes, and pairs inside classes."""
-    a = members.select(F.col(key).alias("x"), F.col("class").alias("a"))
-    b = members.select(F.col(key).alias("y"), F.col("class").alias("b"))
-    across = links.join(a, "a").join(b, "b").select("x", "y")
+    a = found.copies.select(F.col(key).alias("x"), F.col("class").alias("a"))
+    b = found.copies.select(F.col(key).alias("y"), F.col("class").alias("b"))
+    across = found.links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
     inside = a.join(b.withColumnRenamed("b", "a"), "a").where("x < y").select("x", "y")
     return across.unionByName(inside).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
-def summary(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
+def summary(found: Near, key: str) -> DataFrame:
     """One row per key: its class of equal sets, the class's size and its number of links."""
+    members = found.keys.distinct().join(found.copies, key, "left").select(key, F.coalesce("class", key).alias("class"))
     sizes = members.groupBy("class").agg(F.count("*").alias("copies"))
-    ends = links.select(F.col("a").alias("class"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("class"), F.col("a").alias("other")))
+    ends = found.links.select(F.col("a").alias("class"), F.col("b").alias("other")).unionByName(found.links.select(F.col("b").alias("class"), F.col("a").alias("other")))
     far = ends.join(sizes.select(F.col("class").alias("other"), "copies"), "other").groupBy("class").agg(F.sum("copies").alias("far"))
     per = sizes.join(far, "class", "left").select("class", "copies", (F.col("copies") - 1 + F.coalesce("far", F.lit(0))).cast("bigint").alias("n_links"))
     return members.join(per, "class").select(key, F.col("class").alias("class_id"), "copies", "n_links")

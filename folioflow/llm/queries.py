@@ -162,41 +162,40 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 #: Word shingles of three tokens, 64 runs of 4 byte positions: a pair at 0.6 is missed with probability 0.0016.
 CONTENT = dict(size=3, threshold=0.6, run=4, runs=64, least=2)
-#: Single tokens, 192 runs of 10 byte positions: a pair at 0.75 is missed with probability 0.0002.
-TITLE = dict(size=1, threshold=0.75, run=10, runs=192, least=2, late=True)
+#: Single tokens, 256 runs of 12 byte positions: a pair at 0.75 is missed with probability 0.0025, at 0.8 with 0.0000001.
+TITLE = dict(size=1, threshold=0.75, run=12, runs=256, least=2, late=True)
 
 
-def _near_content(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _near_content(spark: SparkSession, d: str):
     from folioflow.llm import neardup
 
-    return neardup.classes_and_links(table(spark, d, "chunks").select("chunk_id", "content"), "chunk_id", "content", **CONTENT)
+    return neardup.near(table(spark, d, "chunks").select("chunk_id", "content"), "chunk_id", "content", **CONTENT)
 
 
-def _near_titles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _near_titles(spark: SparkSession, d: str):
     from folioflow.llm import neardup
 
-    papers = table(spark, d, "papers").select("paper_id", "title")
-    return neardup.classes_and_links(papers, "paper_id", "title", **TITLE)
+    return neardup.near(table(spark, d, "papers").select("paper_id", "title"), "paper_id", "title", **TITLE)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     from folioflow.llm import neardup
 
-    content = neardup.pairs(*_near_content(spark, d), "chunk_id").select(F.lit("content").alias("field"), "id_a", "id_b")
-    titles = neardup.pairs(*_near_titles(spark, d), "paper_id").select(F.lit("title").alias("field"), "id_a", "id_b")
+    content = neardup.pairs(_near_content(spark, d), "chunk_id").select(F.lit("content").alias("field"), "id_a", "id_b")
+    titles = neardup.pairs(_near_titles(spark, d), "paper_id").select(F.lit("title").alias("field"), "id_a", "id_b")
     return content.unionByName(titles)
 
 
 def p6_classes(spark: SparkSession, d: str) -> DataFrame:
     from folioflow.llm import neardup
 
-    return neardup.summary(*_near_content(spark, d), "chunk_id")
+    return neardup.summary(_near_content(spark, d), "chunk_id")
 
 
 def p6_title_classes(spark: SparkSession, d: str) -> DataFrame:
     from folioflow.llm import neardup
 
-    return neardup.summary(*_near_titles(spark, d), "paper_id")
+    return neardup.summary(_near_titles(spark, d), "paper_id")
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

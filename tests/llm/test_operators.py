@@ -257,18 +257,25 @@ def test_near_duplicates_same_as_brute_force(spark):
     texts = {f"c{i:03d}": _noisy(rng, bases[i % 12], rng.randrange(0, 6)) for i in range(120)}
     texts |= {"x1": texts["c000"], "x2": texts["c000"].upper(), "e1": "", "e2": "a b", "e3": None}
     df = spark.createDataFrame([(k, v, 1) for k, v in texts.items()] + [("c000", texts["c000"], 1)], "chunk_id string, content string, sig int")
-    members, links = neardup.classes_and_links(df, "chunk_id", "content", size=3, threshold=0.6, run=4, runs=64, least=2)
-    got = set(rows(neardup.pairs(members, links, "chunk_id")))
+    found = neardup.near(df, "chunk_id", "content", size=3, threshold=0.6, run=4, runs=64, least=2)
+    got = set(rows(neardup.pairs(found, "chunk_id")))
     want = {(a, b) for a in texts for b in texts if a < b and texts[a] and texts[b] and neardup._jaccard(texts[a], texts[b], 3) >= 0.6}
     assert got == want and ("c000", "x1") in got
-    links_of = {r["chunk_id"]: r["n_links"] for r in neardup.summary(members, links, "chunk_id").collect()}
+    links_of = {r["chunk_id"]: r["n_links"] for r in neardup.summary(found, "chunk_id").collect()}
     assert links_of["x1"] == sum("x1" in p for p in want)
+    # every list handed on to the join, and every broadcast left out
+    old = neardup.LONG_LIST, neardup.MAX_BROADCAST_PAIRS, neardup.MAX_BROADCAST_CLASSES
+    neardup.LONG_LIST, neardup.MAX_BROADCAST_PAIRS, neardup.MAX_BROADCAST_CLASSES = 3, 0, 0
+    try:
+        assert set(rows(neardup.pairs(neardup.near(df, "chunk_id", "content", size=3, threshold=0.6, run=4, runs=64, least=2), "chunk_id"))) == want
+    finally:
+        neardup.LONG_LIST, neardup.MAX_BROADCAST_PAIRS, neardup.MAX_BROADCAST_CLASSES = old
 
 
 def test_near_titles(spark):
     t = [("p1", "Effect of salt on flow in the Ermat cell 5 at low load today"), ("p2", "Effect of salt on flow in the Ermat cell 5 at low load"), ("p3", "Another title"), ("p4", None), ("p5", "другое название статьи"), ("p6", "Другое название: статьи")]
-    m, l = neardup.classes_and_links(spark.createDataFrame(t, "paper_id string, title string"), "paper_id", "title", size=1, threshold=0.75, run=10, runs=192, least=2, late=True)
-    assert set(rows(neardup.pairs(m, l, "paper_id"))) == {("p1", "p2"), ("p5", "p6")}
+    found = neardup.near(spark.createDataFrame(t, "paper_id string, title string"), "paper_id", "title", size=1, threshold=0.75, run=12, runs=256, least=2, late=True)
+    assert set(rows(neardup.pairs(found, "paper_id"))) == {("p1", "p2"), ("p5", "p6")}
 
 
 # ---------------------------------------------------------------- 10
