@@ -81,25 +81,20 @@ def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
     return names.variants(table(spark, d, "authorships").select(F.col("name").alias("spelling")))
 
 
-def _scans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The contents that may be scans, with title and journal, and all clean contents."""
+def _repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks that may be scans and all blocks of OCR, with title and journal, against all clean contents."""
     from folioflow.llm import scans
 
-    chunks = table(spark, d, "chunks").select("chunk_id", "content", "citation.title", "citation.journal").where("content IS NOT NULL")
-    pages = once(chunks.where(scans.scanned(F.col("content"))), "chunk_id").select(F.col("chunk_id").alias("rec_id"), "content", F.lit(False).alias("sure"), "title", "journal")
-    blocks = table(spark, d, "blocks").where("type IN ('paragraph', 'abstract') AND content IS NOT NULL").select("block_id", "paper_id", "content", "source")
+    chunks = table(spark, d, "chunks").select("chunk_id", "content", F.col("source").alias("paper_id"), F.col("citation.title").alias("t"), F.col("citation.journal").alias("j")).where("content IS NOT NULL")
+    blocks = table(spark, d, "blocks").where("content IS NOT NULL").select("block_id", "paper_id", "type", "content", "source")
     papers = table(spark, d, "papers").where("paper_id IS NOT NULL").groupBy("paper_id").agg(F.any_value("title", True).alias("title"), F.any_value("journal", True).alias("journal"))
-    ocr = once(blocks.where((F.col("source") == "ocr") & scans.scanned(F.col("content"))), "block_id").join(papers, "paper_id", "left")
+    pages = once(chunks.where(scans.scanned(F.col("content"))), "chunk_id").join(papers, "paper_id", "left")
+    pages = pages.select(F.col("chunk_id").alias("rec_id"), "content", F.lit(False).alias("sure"), F.coalesce("t", "title").alias("title"), F.coalesce("j", "journal").alias("journal"))
+    ocr = once(blocks.where("source = 'ocr'"), "block_id").join(papers, "paper_id", "left")
     ocr = ocr.select(F.col("block_id").cast("string").alias("rec_id"), "content", F.lit(True).alias("sure"), "title", "journal")
-    clean = blocks.where("source <> 'ocr'").select("content").unionByName(chunks.where(~scans.scanned(F.col("content"))).select("content"))
-    return pages.unionByName(ocr), clean
-
-
-def _repaired(spark: SparkSession, d: str) -> DataFrame:
-    from folioflow.llm import scans
-
-    pages, clean = _scans(spark, d)
-    return scans.repair(pages, *scans.train(pages, scans.vocabulary(clean, "content")))
+    running = blocks.where("source <> 'ocr' AND type IN ('paragraph', 'abstract')").select("content")
+    clean = running.unionByName(chunks.where(~scans.scanned(F.col("content"))).select("content"))
+    return scans.repair(pages.unionByName(ocr), clean)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

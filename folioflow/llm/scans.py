@@ -1,38 +1,54 @@
 """Repair of text from scanned pages.
 
-Running headers and page numbers are found by an averaged perceptron on the
-lines' position on the page, their shape and their likeness to the title and
-journal of the record; broken words are joined and misread characters mended by
-an averaged-perceptron editor that predicts, sign by sign, to keep, replace,
-delete or insert, or to join two lines.  Both are trained here: the editor on
-words that one confusion parts from a word of the corpus's own vocabulary (a
-bounded sample of ``TRAIN_PAGES`` pages), the line model on lines that show the
-record's own title or journal.  The vocabulary counts all clean text; words
-rarer than ``RATE`` of all words are not in it, so it has at most 1 / ``RATE``
-words however large the corpus is.
-
-Defined results: null and empty contents have no lines; contents without line
-breaks inside paragraphs and with markup are no scans.
+Lines are told apart as text, running headers and page numbers by averaged
+perceptrons on their position on the page, their shape and their likeness to
+the title and journal of the record.  Characters are mended by an
+averaged-perceptron editor: for each word it scores every replacement, deletion
+and insertion that the confusions of the corpus allow against keeping the word
+as it is, and for each line that ends in a broken word joining without the
+sign, joining with it, and keeping.  How often a word is met in clean text is a
+feature of the editor, not a condition.
+
+Counts cover all data and stay distributed: the vocabulary of the clean text,
+the words of the scanned pages, the confusions (met in ``LEAST_MET`` words of
+all pages) and each word's candidates are tables that meet by equi-joins.  Sent
+to the driver are the confusions (pairs of up to two signs), journals of at
+least a five-hundredth of the pages, words of at least ``FREQUENT`` of all
+words (so 1 / ``FREQUENT`` at most), and bounded samples for the weights:
+``TRAIN_PAGES`` pages and ``TRAIN_WORDS`` words of each label.
+
+Defined results: null and empty contents have no lines; a chunk is scanned if
+its line ends lie where the next word would not have fitted.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.session import checkpoint
+
 TRAIN_PAGES = 3000
-RATE = 1.5e-6
+TRAIN_WORDS = 8000
+FREQUENT = 2e-5
+LEAST_MET = 3
+#: Least share of a page's line ends that a wrapped line explains, and the share of lines with markup that speaks against it.
+WRAPPED, MARKED = 0.6, 0.5
 _STRIP = " \t.,;:!?()[]{}«»„“”\"'’…–—-¬­"
 _CODE = re.compile(r"[A-ZА-Я]{1,4}-?\d[\d.]*")
 _BREAK = re.compile(r"(?<=[^\W\d_])[-‐¬­][ \t]*$")
 _PAGE = re.compile(r"[ \t]*(?:[-—–\[(]?[ \t]*\d{1,4}[ \t]*[-—–\])]?|(?:p|pp|page|стр|с|s|seite|pág|página)\.?[ \t]*\d{1,4}|第?\d{1,4}[頁页])[ \t]*", re.I)
+_OUTER = " \t.,;:?()[]{}«»„“”\"…–—-¬­"
+_NUMBER = re.compile(r"[\d.,–-]+\D?")
 _SIDE = re.compile(r"^[ \t]*[\d,.]{1,5}[ \t]{2,}(?=\S)|[ \t]{2,}[\d,.]{1,5}[ \t]*$")
 _MARKUP = re.compile(r"</?[a-zA-Z]|\\[a-zA-Z]{2,}|^#|\*\*|__|```|~~~|\{\{|\[\[|'''|\]\(|\$\$|^[=-]{4,}$|^[*+] |^\d+\. |^- \D", re.M)
 
@@ -43,37 +59,96 @@ def scanned(content: Column) -> Column:
 
 
 def is_scan(content: str) -> bool:
-    if "\n" not in content or _MARKUP.search(content):
+    """Whether the line ends of a page are those of a text column: the next line's first word would not have fitted."""
+    lines = [x.rstrip() for x in content.split("\n")]
+    full = sorted(len(x) for x in lines if x.strip())
+    if len(full) < 2:
         return False
-    lines = [x for x in content.split("\n") if x.strip()]
-    return len(lines) > 1 and max(map(len, lines)) <= 120
+    # one line of eight may be wider than the column
+    width = full[-max(1, len(full) // 8)]
+    ends = [(x, y) for x, y in zip(lines, lines[1:]) if x.strip() and y.strip()]
+    fitted = sum(len(x) + 1 + len(y.split(None, 1)[0]) >= width or bool(_BREAK.search(x)) for x, y in ends)
+    marked = sum(bool(_MARKUP.search(x)) for x in lines)
+    return fitted >= WRAPPED * max(len(ends), 1) and marked < MARKED * len(full)
+
+
+# ---------------------------------------------------------------- words
 
 
-def words(text: str) -> list[str]:
+def spellings(token: str) -> list[str]:
+    """The forms under which a token as printed is looked up, lower case: without marks, and without the outer ones only."""
     out = []
-    for w in text.split():
-        w = w.strip(_STRIP)
-        if len(w) > 2 and not _CODE.fullmatch(w) and w[0].isalpha() and "/" not in w:
-            out.append(w.lower())
+    for w in (token.strip(_STRIP), token.strip(_OUTER)):
+        low = w.lower()
+        if len(low) < 3 or "/" in low or _CODE.fullmatch(w) or _NUMBER.fullmatch(low) or sum(c.isalpha() for c in low) < 2 or low in out:
+            continue
+        out.append(low)
     return out
 
 
-def vocabulary(clean: DataFrame, text: str) -> set[str]:
-    """Words of all clean texts that are at least ``RATE`` of all words."""
+def counted(texts: list[str]) -> Counter:
+    """Tally of the words of clean texts; tokens are tallied as they are first and looked at once each."""
+    raw: Counter = Counter()
+    for t in texts:
+        raw.update(t.split())
+    out: Counter = Counter()
+    for t, n in raw.items():
+        w = t.strip(_STRIP)
+        if len(w) > 2 and w[0].isalpha() and "/" not in w and not _CODE.fullmatch(w):
+            out[w.lower()] += n
+    return out
+
+
+def vocabulary(clean: DataFrame, text: str) -> DataFrame:
+    """(w, n): how often each word is met in all clean texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # partial counts of each batch, so the shuffle has words and not texts
         for b in batches:
-            c: Counter = Counter()
-            for t in b["t"]:
-                c.update(words(t))
+            c = counted(b["t"].tolist())
             yield pd.DataFrame({"w": list(c.keys()), "n": list(c.values())})
 
-    counts = clean.select(F.col(text).alias("t")).where("t IS NOT NULL").mapInPandas(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).persist()
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    found = {r[0] for r in counts.where(F.col("n") >= max(2.0, RATE * total)).select("w").collect()}
-    counts.unpersist()
-    return found
+    return clean.select(F.col(text).alias("t")).where("t IS NOT NULL").mapInPandas(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def broken(lines: list[str]) -> Iterator[tuple[int, int, str, str, str]]:
+    """(line, next line with text or -1, sign, part before, part after) of lines that may end in a broken word."""
+    for a, x in enumerate(lines):
+        if _BREAK.search(x):
+            bare = x.rstrip()
+            b = next((j for j in range(a + 1, len(lines)) if lines[j].strip()), -1)
+            yield a, b, bare[-1], bare[:-1].split()[-1].lstrip(_STRIP).lower(), lines[b].split()[0] if b >= 0 else ""
+
+
+def joined_forms(head: str, after: str) -> dict[str, str]:
+    """What two parts of a broken word are looked up as."""
+    tail = after.strip(_STRIP).lower()
+    return {"whole": head + tail, "compound": f"{head}-{tail}", "last": head.rsplit("-", 1)[-1] + tail.split("-", 1)[0], "head": head, "tail": tail}
+
+
+def lookups(content: str, frequent: set[str] | frozenset[str]) -> dict[str, bool]:
+    """Words of a page whose decision is asked for, and whether they matter even if they are kept.
+
+    The line after a broken one is looked for past each of the next lines, as what is furniture is decided later.
+    """
+    out: dict[str, bool] = {}
+    lines = content.split("\n")
+    for line in lines:
+        for t in line.split():
+            for w in spellings(t):
+                if w not in frequent:
+                    out.setdefault(w, False)
+                    if "-" in w:
+                        for p in w.split("-"):
+                            if len(p) > 2 and p not in frequent:
+                                out[p] = True
+    for a, _, _, head, _ in broken(lines):
+        for b in range(a + 1, min(a + 6, len(lines))):
+            if lines[b].strip():
+                for w in joined_forms(head, lines[b].split()[0]).values():
+                    if len(w) > 1 and w not in frequent:
+                        out[w] = True
+    return out
 
 
 class Perceptron:
@@ -97,7 +172,7 @@ class Perceptron:
         self._n += 1
 
     def average(self) -> None:
-        self.w = {f: v - self._sum[f] / self._n for f, v in self.w.items()}
+        self.w = {f: v - self._sum[f] / self._n for f, v in self.w.items() if v or self._sum[f]}
 
 
 # ---------------------------------------------------------------- furniture
@@ -107,23 +182,51 @@ def _letters(s: str) -> str:
     return re.sub(r"[\W\d_]+", " ", s.lower()).strip()
 
 
-def resembles(line: str, names: list[str]) -> bool:
+@lru_cache(20_000)
+def _core_letters(line: str) -> str:
+    return _letters(_SIDE.sub("", line).strip())
+
+
+class Names:
+    """Titles and journals by their first signs, so that a line is compared with few of them."""
+
+    def __init__(self, names: list[str]):
+        self.names = names
+        self.first: dict[str, list[int]] = defaultdict(list)
+        for i, n in enumerate(names):
+            low = n.lower()
+            self.first[low[:1]].append(i)
+            self.first["." + low[1:3]].append(i)
+
+    def near(self, raw: str) -> list[str]:
+        return [self.names[i] for i in sorted({*self.first.get(raw[:1], ()), *self.first.get("." + raw[1:3], ())})]
+
+
+def resembles(line: str, names: Names) -> bool:
     """Whether a line shows the beginning of one of the names, misread signs allowed."""
     core = _SIDE.sub("", line).strip()
-    low = _letters(core)
-    if len(low) < 6:
+    if len(_letters(core)) < 6:
         return False
     raw = core.lower()
-    for name in names:
-        head = name[: len(raw)].lower()
-        if (raw[:1] != head[:1] and raw[1:3] != head[1:3]) or len(raw) > len(name) + 4:
+    for name in names.near(raw):
+        if len(raw) > len(name) + 4:
             continue
+        head = name[: len(raw)].lower()
         same = sum(x == y for x, y in zip(raw, head))
-        if same >= 0.8 * max(len(raw), 1) or (same >= 0.25 * len(raw) and SequenceMatcher(None, raw, head, False).ratio() >= 0.84):
+        if same >= 0.8 * max(len(raw), 1):
             return True
+        if same >= 0.25 * len(raw):
+            m = SequenceMatcher(None, raw, head, False)
+            if m.quick_ratio() >= 0.84 and m.ratio() >= 0.84:
+                return True
     return False
 
 
+def _shape(core: str) -> str:
+    """A short line's signs: 9 for a digit, a for a letter."""
+    return "".join("9" if c.isdigit() else "a" if c.isalpha() else c for c in core) if len(core) < 12 else "long"
+
+
 def line_features(lines: list[str], i: int, shown: bool, typical: float) -> list:
     line = lines[i]
     core = _SIDE.sub("", line).strip()
@@ -131,189 +234,248 @@ def line_features(lines: list[str], i: int, shown: bool, typical: float) -> list
     alpha = [c for c in core if c.isalpha()]
     nxt = next((x.strip() for x in lines[i + 1 :] if x.strip()), "")
     prv = next((x.strip() for x in reversed(lines[:i]) if x.strip()), "")
-    f = ["bias", ("first", i == 0), ("last", i == len(lines) - 1), ("side", bool(_SIDE.search(line))), ("len", min(int(len(core) / max(typical, 1) * 5), 7))]
+    side = bool(_SIDE.search(line))
+    f = ["bias", ("first", i == 0), ("last", i == len(lines) - 1), ("side", side), ("len", min(int(len(core) / max(typical, 1) * 5), 7))]
     f += [("caps", len(alpha) > 5 and sum(c.isupper() for c in alpha) > 0.8 * len(alpha)), ("end", core[-1:] in ".!?:;,)%"), ("begin", core[:1].isupper())]
-    f += [("digits", bool(re.search(r"\d", core))), ("next", nxt[:1].islower()), ("prev_open", bool(prv) and prv[-1] not in ".!?"), ("page_near", bool(_PAGE.fullmatch(nxt or "x") or _PAGE.fullmatch(prv or "x")))]
-    f += [("shown", shown), ("shown_side", shown, bool(_SIDE.search(line))), ("w1", toks[0] if toks else ""), ("w2", " ".join(toks[:2])), ("wl", toks[-1] if toks else ""), ("flow", nxt[:1].islower(), prv[-1:] in ".!?", core[:1].isupper(), core[-1:] in ".!?")]
+    f += [("digits", bool(re.search(r"\d", core))), ("next", nxt[:1].islower()), ("prev_open", bool(prv) and prv[-1] not in ".!?")]
+    f += [("shown", shown), ("shown_side", shown, side), ("w1", toks[0] if toks else ""), ("w2", " ".join(toks[:2])), ("wl", toks[-1] if toks else ""), ("flow", nxt[:1].islower(), prv[-1:] in ".!?", core[:1].isupper(), core[-1:] in ".!?")]
+    numeric = lambda x: bool(x) and len(x) < 12 and any(c.isdigit() for c in x) and sum(c.isalpha() for c in x) < 6 and x[-1] not in ".,;%"
+    own = _core_letters(line)
+    f += [("again", len(own) > 5 and sum(_core_letters(x) == own for x in lines) > 1)]
+    f += [("page_near", numeric(nxt) or numeric(prv)), ("numeric", numeric(line.strip())), ("numeric", numeric(line.strip()), prv[-1:] in ".!?", nxt[:1].islower()), ("edge", i == 0 or i == len(lines) - 1, numeric(line.strip()))]
+    shape = _shape(line.strip())
+    f += [("shape", shape), ("few", len(alpha) < 6, shape != "long"), ("word", re.sub(r"[\d\W_]+", "", line).lower() if shape != "long" else ""), ("number", bool(re.search(r"\d", line)), len(alpha) < 6, shape != "long")]
     return f
 
 
 class Furniture:
-    def __init__(self) -> None:
-        self.model = Perceptron()
-        #: Journals met in several of the training pages.
-        self.journals: list[str] = []
+    """What each line is: ``header``, ``page_number`` or ``text``, the best of three scores."""
+
+    KINDS = ("header", "page_number")
+
+    def __init__(self, journals: list[str] | None = None) -> None:
+        self.models = {k: Perceptron() for k in self.KINDS}
+        #: Journals met on many pages.
+        self.journals = journals or []
+
+    def names(self, own: list[str]) -> Names:
+        return Names([*own, *(j for j in self.journals if j not in own)])
 
     def fit(self, pages: list[tuple[str, list[str]]], epochs: int = 5) -> None:
+        """Labels by rule: lines that show the record's own title or journal, and lines that are only a number."""
         rows = []
-        met = Counter(n for _, names in pages for n in set(names))
-        self.journals = sorted(n for n, k in met.items() if k >= max(5, 0.002 * len(pages)))
-        for content, names in pages:
-            both = len(names) > 1
-            names = [*names, *(j for j in self.journals if j not in names)]
+        for content, own in pages:
+            names = self.names(own)
             lines = content.split("\n")
             typical = float(np.median([len(x) for x in lines if x.strip()] or [1]))
             for i, line in enumerate(lines):
-                if not line.strip() or _PAGE.fullmatch(line):
+                if not line.strip():
                     continue
                 shown = resembles(line, names)
-                if shown or both:
-                    rows.append((line_features(lines, i, shown, typical), line_features(lines, i, False, typical), 1 if shown else -1))
+                if _PAGE.fullmatch(line):
+                    kind = "page_number"
+                elif shown:
+                    kind = "header"
+                else:
+                    # without both names, a line may be a header or not
+                    kind = "text" if len(own) > 1 else "no_number"
+                rows.append((line_features(lines, i, shown, typical), line_features(lines, i, False, typical), kind))
         rng = np.random.default_rng(3)
         for _ in range(epochs):
             for k in rng.permutation(len(rows)).tolist():
-                seen, blind, y = rows[k]
+                seen, blind, kind = rows[k]
                 # every other time without the name, as records without title and journal have it
                 f = seen if rng.random() < 0.5 else blind
-                if y * self.model.score(f) <= 0:
-                    self.model.learn(f, y)
-                self.model.tick()
-        self.model.average()
-
-    def kinds(self, content: str, names: list[str]) -> list[str]:
+                for name, m in self.models.items():
+                    if kind == "no_number" and name == "header":
+                        continue
+                    y = 1 if kind == name else -1
+                    if y * m.score(f) <= 0:
+                        m.learn(f, y)
+                    m.tick()
+        for m in self.models.values():
+            m.average()
+
+    def kinds(self, content: str, own: list[str]) -> list[str]:
         """``page_number``, ``header``, ``blank`` or ``text`` for each line."""
         lines = content.split("\n")
         typical = float(np.median([len(x) for x in lines if x.strip()] or [1]))
-        names = [*names, *(j for j in self.journals if j not in names)]
+        names = self.names(own)
         out = []
+        # a single line is no page and has nothing that runs above or below it
+        page = sum(bool(x.strip()) for x in lines) > 1
         for i, line in enumerate(lines):
             if not line.strip():
                 out.append("blank")
-            elif _PAGE.fullmatch(line):
-                out.append("page_number")
-            else:
-                shown = resembles(line, names)
-                out.append("header" if self.model.score(line_features(lines, i, shown, typical)) > 0 else "text")
+                continue
+            if not page:
+                out.append("text")
+                continue
+            f = line_features(lines, i, resembles(line, names), typical)
+            score, kind = max((m.score(f), k) for k, m in self.models.items())
+            out.append(kind if score > 0 else "text")
         return out
 
 
 # ---------------------------------------------------------------- the editor
 
 
+def difference(word: str, known: str) -> tuple[int, str, str]:
+    """Position, wrong and right signs that part two words."""
+    i = 0
+    while i < min(len(word), len(known)) and word[i] == known[i]:
+        i += 1
+    j = 0
+    while j < min(len(word), len(known)) - i and word[-1 - j] == known[-1 - j]:
+        j += 1
+    return i, word[i : len(word) - j], known[i : len(known) - j]
+
+
+def holes(word: str) -> set[str]:
+    """The word with none, one or two neighbouring signs left out; words that one edit parts share one."""
+    return {f"{word[:i]}\0{word[i + k :]}" for k in (0, 1, 2) for i in range(len(word) - k + 1)}
+
+
 class Editor:
-    """Proposes edits of single signs in words that the vocabulary lacks."""
+    """Averaged perceptrons that choose among the edits of a word, and among the ways of joining a broken one."""
 
-    def __init__(self, vocabulary: set[str]):
-        self.known = vocabulary
-        self.ops: dict[str, set[str]] = {}
+    def __init__(self, ops: dict[str, set[str]], total: int = 1_000_000):
+        self.ops = ops
+        self.total = max(total, 1)
         self.model = Perceptron()
-        self.cache: dict[str, tuple[str, int] | None] = {}
-
-    @staticmethod
-    def features(word: str, i: int, wrong: str, right: str) -> list:
+        self.joiner = Perceptron()
+
+    def rate(self, n: float) -> int:
+        """How often a word is met in clean text: 0 for never, else by powers of four a hundred million words."""
+        return 0 if n < 1 else 1 + int(math.log(n * 1e8 / self.total + 1, 4))
+
+    def edits(self, word: str) -> Iterator[tuple[int, str, str]]:
+        """(position, wrong, right): replacements, deletions and insertions of one or two signs."""
+        for i in range(len(word) + 1):
+            for k in (0, 1, 2):
+                if i + k <= len(word):
+                    for right in self.ops.get(word[i : i + k], ()):
+                        yield i, word[i : i + k], right
+
+    def candidates(self, word: str, twice: bool = False) -> set[str]:
+        once = [(i, w, r, word[:i] + r + word[i + len(w) :]) for i, w, r in self.edits(word)]
+        if not twice:
+            return {made for *_, made in once}
+        return {made[:j] + r + made[j + len(w) :] for i, _, first, made in once for j, w, r in self.edits(made) if j >= i + len(first)}
+
+    def features(self, word: str, known: str, own: float, n: float, rivals: int) -> list:
+        i, wrong, right = difference(word, known)
         j = i + len(wrong)
-        p, n = (word[i - 1 : i] or "^"), (word[j : j + 1] or "$")
-        return [(wrong, right), (wrong, right, p), (wrong, right, "", n), (wrong, right, p, n), (len(wrong), len(right))]
-
-    def mine(self, unknown: Counter) -> list[tuple[str, int, str, str]]:
-        """(word, position, wrong, right) of unknown words that one edit parts from exactly one known word."""
-        holes: dict[str, list[str]] = defaultdict(list)
-        for w in self.known:
-            if 4 <= len(w) <= 30:
-                for i in range(len(w)):
-                    holes[f"{w[:i]}\0{w[i + 1 :]}"].append(w)
-                    if i + 2 <= len(w):
-                        holes[f"{w[:i]}\0{w[i + 2 :]}"].append(w)
-        out = []
-        for w in unknown:
-            found = []
-            for i in range(len(w)):
-                for size in (1, 2):
-                    if i + size > len(w):
-                        continue
-                    for k in holes.get(f"{w[:i]}\0{w[i + size :]}", ()):
-                        right = k[i : len(k) - (len(w) - i - size)]
-                        if size + len(right) < 4 and right[:1] != w[i] and right[-1:] != w[i + size - 1]:
-                            found.append((w, i, w[i : i + size], right))
-            if found:
-                short = [f for f in found if len(f[2]) + len(f[3]) == 2] or found
-                if len({f[0][: f[1]] + f[3] + f[0][f[1] + len(f[2]) :] for f in short}) == 1:
-                    out.append(short[0])
-        return out
+        p, x = (word[i - 1 : i] or "^"), (word[j : j + 1] or "$")
+        kind = "insert" if not wrong else "delete" if not right else "replace"
+        t, o = self.rate(n), self.rate(own)
+        odd = not wrong.isalpha() if wrong else False
+        f = ["bias", kind, (wrong, right), (wrong, right, p), (wrong, right, "", x), ("rate", t), ("own", o), ("rates", o > 0, t), ("odd", odd), ("rivals", min(rivals, 3)), ("length", min(len(word), 9))]
+        return [*f, ("kind", kind, o > 0), ("inside", "-" in word, odd), ("more", min(max(t - o, -1), 5), o > 0)]
+
+    def choose(self, word: str, own: float, found: list[tuple[str, float]]) -> tuple[str, float] | None:
+        """The candidate (known word, times met) that scores best, or None where keeping the word is best."""
+        best, top = None, 0.0
+        for known, n in sorted(found):
+            s = self.model.score(self.features(word, known, own, n, len(found)))
+            if s > top:
+                best, top = (known, n), s
+        return best
 
-    def fit(self, unknown: Counter, least: int = 3, epochs: int = 4) -> None:
-        mined = self.mine(unknown)
-        often = Counter((w, r) for _, _, w, r in mined)
-        self.ops = defaultdict(set)
-        for (wrong, right), n in often.items():
-            # a confusion met in several words, or one that puts a digit or a mark for a letter
-            if n >= least or (n and not wrong.isalpha() and right.isalpha()):
-                self.ops[wrong].add(right)
-        self.ops = dict(self.ops)
+    def fit(self, rows: list[tuple[str, float, list[tuple[str, float]], str | None]], epochs: int = 4) -> None:
+        """Rows (word, times met elsewhere, candidates, right word or None to keep it)."""
         rng = np.random.default_rng(4)
-        rows = [(*m, 1) for m in mined if m[3] in self.ops.get(m[2], ())]
-        sample = sorted(w for w in self.known if len(w) > 3)
-        pick = rng.choice(len(sample), min(len(sample), 2 * len(rows) + 1), replace=False) if sample else []
-        for k in pick:
-            w = sample[int(k)]
-            spots = [(i, s, r) for i in range(len(w)) for s in (1, 2) for r in self.ops.get(w[i : i + s], ()) if i + s <= len(w)]
-            if spots:
-                i, s, r = spots[int(rng.integers(len(spots)))]
-                rows.append((w, i, w[i : i + s], r, -1))
+        made = [([(k, self.features(w, k, own, n, len(found))) for k, n in sorted(found)], right) for w, own, found, right in rows if found]
         for _ in range(epochs):
-            for k in rng.permutation(len(rows)).tolist() if rows else []:
-                w, i, wrong, right, y = rows[k]
-                f = self.features(w, i, wrong, right)
-                if y * self.model.score(f) <= 0:
-                    self.model.learn(f, y)
+            for r in rng.permutation(len(made)).tolist() if made else []:
+                options, right = made[r]
+                scored = [(self.model.score(f), k, f) for k, f in options]
+                top = max(scored, key=lambda x: x[0])
+                chosen = top[1] if top[0] > 0 else None
+                if chosen != right:
+                    if chosen is not None:
+                        self.model.learn(top[2], -1)
+                    for s, k, f in scored:
+                        if k == right:
+                            self.model.learn(f, 1)
                 self.model.tick()
         self.model.average()
 
-    def mend(self, word: str) -> tuple[str, int] | None:
-        """The known word that an edit makes of an unknown one, and the place of the edit."""
-        if word in self.cache:
-            return self.cache[word]
-        best, top = None, -1e9
-        edits = [(i, word[i : i + s], r) for i in range(len(word)) for s in (1, 2) for r in self.ops.get(word[i : i + s], ()) if i + s <= len(word)]
-        for i, wrong, right in edits:
-            made = word[:i] + right + word[i + len(wrong) :]
-            if made in self.known:
-                score = self.model.score(self.features(word, i, wrong, right)) + (2.0 if not wrong.isalpha() else 0.0)
-                if score > top:
-                    best, top = (made, i), score
-        if best is None and len(word) > 5:
-            for i, wrong, right in edits:
-                first = word[:i] + right + word[i + len(wrong) :]
-                for j in range(i + len(right), len(first)):
-                    for s in (1, 2):
-                        for r in self.ops.get(first[j : j + s], ()):
-                            made = first[:j] + r + first[j + s :]
-                            if made in self.known:
-                                best = (made, i)
-                                break
-        if len(self.cache) > 300_000:
-            self.cache.clear()
-        self.cache[word] = best
-        return best
+    # -- joins
+
+    def join_features(self, sign: str, forms: dict[str, str], after: str, known: "Known", blind: bool = False) -> dict[str, list]:
+        """Features of each way: ``join`` without the sign, ``compound`` with it."""
+        r = {k: min(self.rate(known.times(w)), 8) for k, w in forms.items()}
+        mends = {k: known.mended(forms[k]) is not None for k in ("whole", "compound", "last")}
+        base = [("sign", sign), ("capital", after[:1].isupper()), ("digit", after[:1].isdigit()), ("head", r["head"] > 0, r["tail"] > 0), ("sides", sign, r["head"] > 0, r["tail"] > 0), ("short", len(forms["tail"]) < 3)]
+        if not blind:
+            base += [("known", r["whole"] > 0, r["compound"] > 0), ("more", (r["whole"] > r["compound"]) - (r["whole"] < r["compound"])), ("last", r["last"] > 0), ("mends", mends["whole"], mends["compound"], mends["last"], sign)]
+        return {way: [("way", way), *((way, *f) for f in base)] for way in ("join", "compound")}
 
-    def misread(self, token: str) -> tuple[str, int] | None:
-        """The mended form of a token as printed, if it is misread."""
-        for w in (token.strip(_STRIP), token.strip(" \t.,;:?()[]{}«»„“”\"…–—-¬­")):
-            low = w.lower()
-            if len(low) < 3 or "/" in low or low in self.known or _CODE.fullmatch(w) or sum(c.isalpha() for c in low) < 2 or re.fullmatch(r"[\d.,–-]+\D?", low):
+    def fit_joins(self, rows: list[tuple[dict[str, list], dict[str, list], str]], epochs: int = 5) -> None:
+        rng = np.random.default_rng(5)
+        for _ in range(epochs):
+            for k in rng.permutation(len(rows)).tolist() if rows else []:
+                seen, blind, right = rows[k]
+                # every third time without the words, so that the signs and sides are learned too
+                f = blind if rng.random() < 0.33 else seen
+                scored = {way: self.joiner.score(x) for way, x in f.items()}
+                other = "compound" if right == "join" else "join"
+                if scored[right] <= max(scored[other], 0):
+                    self.joiner.learn(f[right], 1)
+                    self.joiner.learn(f[other], -1)
+                self.joiner.tick()
+        self.joiner.average()
+
+    def way(self, sign: str, forms: dict[str, str], after: str, known: "Known") -> str | None:
+        """``join``, ``compound``, or None where the line is left as it is."""
+        scored = [(self.joiner.score(f), way) for way, f in self.join_features(sign, forms, after, known).items()]
+        top = max(scored)
+        return top[1] if top[0] > 0 else None
+
+
+class Known:
+    """What is known of a page's words: times met in clean text, and the mended form with its first place."""
+
+    def __init__(self, rows: list[tuple[str, float, str | None]], frequent: dict[str, int]):
+        self.rows = {w: (n, m) for w, n, m in rows}
+        self.frequent = frequent
+
+    def times(self, w: str) -> float:
+        return self.frequent.get(w) or self.rows.get(w, (0, None))[0]
+
+    def mended(self, w: str) -> tuple[str, int] | None:
+        m = self.rows.get(w, (0, None))[1]
+        return (m, difference(w, m)[0]) if m else None
+
+    def misread(self, token: str) -> tuple[str, str] | None:
+        """The form of a token that is misread and what it is mended to."""
+        for low in spellings(token):
+            if low in self.frequent:
                 continue
-            if "-" in low and all(p in self.known or len(p) < 3 for p in low.split("-")):
+            parts = low.split("-")
+            if len(parts) > 1 and all(len(p) < 3 or self.times(p) > 1 for p in parts):
                 continue
-            m = self.mend(low)
-            if m is None and "-" in low:
-                at = 0
-                for part in low.split("-"):
-                    if len(part) > 3 and part not in self.known:
-                        k = self.mend(part)
-                        if k:
-                            m = (low[:at] + k[0] + low[at + len(part) :], at + k[1])
-                            break
-                    at += len(part) + 1
+            m = self.mended(low)
             if m is not None:
-                return m
+                return low, m[0]
+            if len(parts) > 1:
+                made = [self.mended(p) if len(p) > 3 and self.times(p) < 2 else None for p in parts]
+                if any(made):
+                    return low, "-".join(m[0] if m else p for p, m in zip(parts, made))
         return None
 
 
-def examine(content: str, names: list[str], furniture: Furniture, editor: Editor) -> tuple[list[tuple[int, str]], str]:
+def _like(new: str, old: str) -> str:
+    """``new`` in the case of ``old``."""
+    return new.upper() if len(old) > 1 and old.isupper() else new.capitalize() if old[:1].isupper() else new
+
+
+def examine(content: str, own: list[str], furniture: Furniture, editor: Editor, known: Known) -> tuple[list[tuple[int, str]], str]:
     """(line number from 1, kind) of every finding, and the text in continuous paragraphs."""
     lines = content.split("\n")
-    kinds = furniture.kinds(content, names)
-    found: list[tuple[int, str]] = [(i + 1, k) for i, k in enumerate(kinds) if k in ("header", "page_number")]
+    kinds = furniture.kinds(content, own)
+    found: list[tuple[int, str]] = [(i + 1, k) for i, k in enumerate(kinds) if k in Furniture.KINDS]
     body = [i for i, k in enumerate(kinds) if k == "text"]
     join: dict[int, tuple[str, int]] = {}
     misread: set[int] = set()
@@ -321,61 +483,52 @@ def examine(content: str, names: list[str], furniture: Furniture, editor: Editor
     for a, b in zip(body, [*body[1:], -1]):
         if not _BREAK.search(lines[a]):
             continue
-        sign = lines[a].rstrip()[-1]
-        left = lines[a].rstrip()[:-1].split()[-1]
-        right = lines[b].split()[0] if b >= 0 and lines[b].split() else ""
+        _, _, sign, head, _ = next(broken([lines[a]]))
+        after = lines[b].split()[0] if b >= 0 else ""
         if b < 0:
             if sign in "¬­":
                 found.append((a + 1, "hyphen"))
             continue
-        tail = right.strip(_STRIP).lower()
-        head = left.lstrip(_STRIP).lower()
-        whole, compound = head + tail, f"{head}-{tail}"
-        known = editor.known
-        if not (right[:1].isalpha() or right[:1].isdigit() or right[:1] in "!'"):
+        forms = joined_forms(head, after)
+        way = editor.way(sign, forms, after, known)
+        if way is None:
             continue
-        if whole in known:
-            hyphen = True
-        elif compound in known and sign == "-":
-            hyphen = False
-        else:
-            last = head.rsplit("-", 1)[-1] + tail.split("-", 1)[0]
-            m = editor.mend(whole) or (editor.mend(last) if last != whole else None)
-            c = editor.mend(compound) if m is None and sign == "-" else None
-            if m is not None and m[0]:
-                hyphen = True
-                shift = len(head) - len(head.rsplit("-", 1)[-1]) if editor.mend(whole) is None else 0
-                misread.add(a if m[1] + shift < len(head) else b)
-            elif c is not None:
-                hyphen = False
-                misread.add(a if c[1] < len(head) else b)
-            else:
-                parts = sum(x in known for x in (head, tail))
-                hyphen = sign != "-" or last in known or parts < 2
-        if right[:1].isupper() and sign == "-" and whole not in known:
-            hyphen = False
-        if hyphen:
+        if way == "join":
             found.append((a + 1, "hyphen"))
-        join[a] = ("" if hyphen else "-", b)
+        join[a] = ("" if way == "join" else "-", b)
+        name = "whole" if way == "join" else "compound"
+        m = known.mended(forms[name]) if known.times(forms[name]) < 2 else None
+        shift = 0
+        if m is None and forms["last"] != forms["whole"] and known.times(forms["last"]) < 2:
+            m, shift = known.mended(forms["last"]), len(head) - len(head.rsplit("-", 1)[-1])
+        elif m is not None:
+            # the mended word stands on the first line
+            last = len(lines[a].split()) - 1
+            left = lines[a].split()[last].rstrip("-‐¬­")
+            core = left.lstrip(_STRIP)
+            mended[a, last] = left[: len(left) - len(core)] + _like(m[0], core[:1] if not core.isupper() else core)
+            mended[b, 0] = after[len(after.rstrip(_STRIP)) :]
+            join[a] = ("", b)
+        if m is not None:
+            misread.add(a if m[1] + shift < len(head) else b)
     joined = set(join)
-    after = {b for _, b in join.values()}
+    after_join = {b for _, b in join.values()}
     for i in body:
         toks = lines[i].split()
         for k, t in enumerate(toks):
-            if (k == len(toks) - 1 and i in joined) or (k == 0 and i in after):
+            if (k == len(toks) - 1 and i in joined) or (k == 0 and i in after_join):
                 continue
-            m = editor.misread(t)
+            m = known.misread(t)
             if m is not None:
                 misread.add(i)
-                core = t.strip(_STRIP)
-                new = m[0].capitalize() if core[:1].isupper() else m[0]
-                mended[i, k] = t.replace(core, new) if core else t
+                at = t.lower().find(m[0])
+                mended[i, k] = t[:at] + _like(m[1], t[at : at + len(m[0])]) + t[at + len(m[0]) :]
     found += [(i + 1, "misread") for i in sorted(misread)]
     # continuous paragraphs
     out: list[str] = []
     glue, prev = "", None
     for i in body:
-        toks = [mended.get((i, k), t) for k, t in enumerate(lines[i].split())]
+        toks = [x for x in (mended.get((i, k), t) for k, t in enumerate(lines[i].split()))]
         if not toks:
             continue
         new = prev is not None and any(kinds[j] == "blank" for j in range(prev + 1, i)) and prev not in joined or lines[i].startswith("   ") and prev is not None and prev not in joined
@@ -391,38 +544,149 @@ def examine(content: str, names: list[str], furniture: Furniture, editor: Editor
     return sorted(found), "".join(out)
 
 
-def train(pages: DataFrame, known: set[str]) -> tuple[Furniture, Editor]:
-    """Both models, from ``TRAIN_PAGES`` pages (least hash of the id first)."""
-    sample = pages.orderBy(F.xxhash64("rec_id"), "rec_id").limit(TRAIN_PAGES).select("content", "title", "journal").collect()
-    listed = [(r["content"], [x for x in (r["title"], r["journal"]) if x]) for r in sample if is_scan(r["content"])]
-    furniture = Furniture()
-    furniture.fit(listed)
-    unknown: Counter = Counter()
-    for content, names in listed:
-        kinds = furniture.kinds(content, names)
-        for line, k in zip(content.split("\n"), kinds):
-            if k == "text":
-                toks = line.split()
-                unknown.update(w for t in toks[1:-1] for w in [t.strip(_STRIP).lower()] if len(w) > 3 and w not in known and not _CODE.fullmatch(t.strip(_STRIP)) and sum(c.isalpha() for c in w) > 2)
-    editor = Editor(known)
-    editor.fit(unknown)
-    return furniture, editor
-
-
-def repair(pages: DataFrame, furniture: Furniture, editor: Editor) -> DataFrame:
-    """(rec_id, line_no, kind, text): one row per finding, and one with kind ``text`` and line 0 for the repaired page."""
-    shared = pages.sparkSession.sparkContext.broadcast((furniture, editor))
+# ---------------------------------------------------------------- Spark
+
+
+def _confusions(words: DataFrame, vocab: DataFrame) -> tuple[dict[str, set[str]], DataFrame]:
+    """Signs and what they stand for, and (w, right) of words that one edit parts from exactly one known word.
+
+    Words and vocabulary meet by the holes that leaving out signs makes, hashed to 64 bits and compared after.
+    """
+
+    def holed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            pairs = [(h, w) for w in b["w"] for h in holes(w)]
+            h = pd.util.hash_array(np.array([x for x, _ in pairs], dtype=object), categorize=False).view(np.int64) if pairs else np.zeros(0, np.int64)
+            yield pd.DataFrame({"h": h, "w": [w for _, w in pairs]})
+
+    def parted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            d = [difference(w, k) for w, k in zip(b["w"], b["k"])]
+            out = b.assign(wrong=[x[1] for x in d], right=[x[2] for x in d])
+            n = out["wrong"].str.len() + out["right"].str.len()
+            yield out[(n > 0) & (n < 4) & (out["wrong"].str.len() < 3) & (out["right"].str.len() < 3)]
+
+    fit = F.length("w").between(4, 30)
+    a = words.where(fit).select("w").mapInPandas(holed, "h bigint, w string")
+    b = vocab.where(fit & (F.col("n") > 1)).select("w").mapInPandas(holed, "h bigint, w string").withColumnRenamed("w", "k")
+    met = a.join(b, "h").select("w", "k").distinct().mapInPandas(parted, "w string, k string, wrong string, right string")
+    one = (F.length("wrong") + F.length("right") == 2) & (F.length("wrong") == 1)
+    per = met.groupBy("w").agg(F.sum(one.cast("int")).alias("n1"), F.count("*").alias("n"), F.max(F.when(one, F.struct("k", "wrong", "right"))).alias("x1"), F.max(F.struct("k", "wrong", "right")).alias("x"))
+    pick = F.when(F.col("n1") == 1, F.col("x1")).when((F.col("n1") == 0) & (F.col("n") == 1), F.col("x"))
+    mined = checkpoint(per.select("w", pick.alias("p")).where("p IS NOT NULL").select("w", F.col("p.k").alias("right_word"), "p.wrong", "p.right"))
+    often = mined.groupBy("wrong", "right").agg(F.count("*").alias("n"))
+    letters = r"^\p{L}+$"
+    rows = often.where((F.col("n") >= LEAST_MET) | (~F.col("wrong").rlike(letters) & (F.col("wrong") != "") & F.col("right").rlike(letters))).collect()
+    ops: dict[str, set[str]] = defaultdict(set)
+    for r in rows:
+        ops[r["wrong"]].add(r["right"])
+    return dict(ops), mined.select("w", F.col("right_word").alias("right"))
+
+
+def _candidates(words: DataFrame, vocab: DataFrame, editor: Editor, twice: bool = False) -> DataFrame:
+    """(w, own, found): the words with their candidates that clean text has, as structs (k, n)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(w, own, c) for w, own in zip(b["w"], b["own"]) for c in editor.candidates(w, twice) if c != w]
+            yield pd.DataFrame(rows, columns=["w", "own", "k"])
+
+    made = words.select("w", "own").mapInPandas(run, "w string, own bigint, k string")
+    return made.join(vocab.select(F.col("w").alias("k"), "n"), "k").groupBy("w", "own").agg(F.collect_list(F.struct("k", "n")).alias("found"))
+
+
+def _chosen(found: DataFrame, editor: Editor) -> DataFrame:
+    """(w, m): words that the editor does not keep, and what it makes of them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        furniture, editor = shared.value
         for b in batches:
             rows = []
-            for r, c, s, t, j in zip(b["rec_id"], b["content"], b["sure"], b["title"], b["journal"]):
-                if not s and not is_scan(c):
-                    continue
-                found, text = examine(c, [x for x in (t, j) if x], furniture, editor)
-                rows += [(r, n, k, None) for n, k in found]
-                rows.append((r, 0, "text", text))
-            yield pd.DataFrame(rows, columns=["rec_id", "line_no", "kind", "text"])
+            for w, own, f in zip(b["w"], b["own"], b["found"]):
+                best = editor.choose(w, own, [(x["k"], x["n"]) for x in f])
+                if best:
+                    rows.append((w, best[0]))
+            yield pd.DataFrame(rows, columns=["w", "m"])
+
+    return found.mapInPandas(run, "w string, m string")
+
+
+def _sample(df: DataFrame, key: str, n: int) -> DataFrame:
+    """At most ``n`` rows, least hash of the key first."""
+    return df.orderBy(F.xxhash64(key), key).limit(n)
+
 
-    return pages.select("rec_id", "content", "sure", "title", "journal").mapInPandas(run, "rec_id string, line_no int, kind string, text string")
+def repair(pages: DataFrame, clean: DataFrame, text: str = "content") -> DataFrame:
+    """(rec_id, line_no, kind, text): one row per finding, and one with kind ``text`` and line 0 for the repaired page.
+
+    ``pages``: rec_id, content, sure (known to be scanned), title, journal; ``clean``: all texts that are no scans.
+    """
+    sc = pages.sparkSession.sparkContext
+    vocab = checkpoint(vocabulary(clean, text))
+    total = vocab.agg(F.sum("n")).first()[0] or 0
+    frequent = {r["w"]: r["n"] for r in vocab.where(F.col("n") >= max(2.0, FREQUENT * total)).collect()}
+    common = sc.broadcast(frequent)
+
+    def scans_only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[[bool(s) or is_scan(c) for c, s in zip(b["content"], b["sure"])]]
+
+    kinds = "rec_id string, content string, sure boolean, title string, journal string"
+    pages = checkpoint(pages.select("rec_id", "content", "sure", "title", "journal").mapInPandas(scans_only, kinds))
+
+    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(r, w, x) for r, c in zip(b["rec_id"], b["content"]) for w, x in lookups(c, common.value.keys()).items()]
+            yield pd.DataFrame(rows, columns=["rec_id", "w", "always"])
+
+    asks = checkpoint(pages.mapInPandas(asked, "rec_id string, w string, always boolean"))
+    own = F.coalesce("n", F.lit(0)).alias("own")
+    words = checkpoint(asks.groupBy("w").agg(F.max("always").alias("always")).join(vocab, "w", "left").select("w", "always", own))
+    ops, mined = _confusions(words.where("own = 0"), vocab)
+    editor = Editor(ops, total)
+
+    # weights from bounded samples: words that one known word explains, and words of clean text, which are to be kept
+    found = checkpoint(_candidates(words, vocab, editor))
+    wrong = _sample(found.join(mined, "w"), "w", TRAIN_WORDS).select("w", "own", "found", "right")
+    right = _candidates(_sample(vocab.where(F.length("w") > 3), "w", TRAIN_WORDS).select("w", (F.col("n") - 1).alias("own")), vocab, editor).select("w", "own", "found", F.lit(None).cast("string").alias("right"))
+    rows = [(r["w"], r["own"], [(x["k"], x["n"]) for x in r["found"]], r["right"]) for r in [*wrong.collect(), *right.collect()]]
+    rows.sort(key=lambda r: (r[0], r[3] or ""))
+    editor.fit(rows)
+    first = _chosen(found, editor)
+    # words that no single edit makes a word of clean text may have two misread signs
+    rest = words.where("own = 0 AND length(w) > 5").join(found.select("w"), "w", "left_anti")
+    second = _chosen(_candidates(rest, vocab, editor, twice=True), editor)
+    mends = checkpoint(first.unionByName(second))
+    told = words.join(mends, "w", "left").where("m IS NOT NULL OR (always AND own > 0)").select("w", "own", "m")
+    # at most a row for each word of a page
+    per = asks.select("rec_id", "w").join(told, "w").groupBy("rec_id").agg(F.collect_list(F.struct("w", "own", "m")).alias("known"))
+    whole = pages.join(per, "rec_id", "left")
+
+    share = 1.0 / 500
+    n_pages = pages.count()
+    journals = [r[0] for r in pages.where("journal IS NOT NULL").groupBy("journal").count().where(F.col("count") >= max(5, share * n_pages)).orderBy("journal").collect()]
+    furniture = Furniture(journals)
+    sample = [(r["content"], [x for x in (r["title"], r["journal"]) if x], r["known"]) for r in _sample(whole, "rec_id", TRAIN_PAGES).collect()]
+    furniture.fit([(c, n) for c, n, _ in sample])
+    joins = []
+    for content, _, k in sample:
+        known = Known([(x["w"], x["own"], x["m"]) for x in k or []], frequent)
+        for _, _, sign, head, after in broken(content.split("\n")):
+            forms = joined_forms(head, after)
+            one, two = known.times(forms["whole"]) > 1, known.times(forms["compound"]) > 1
+            if one != two:
+                joins.append((editor.join_features(sign, forms, after, known), editor.join_features(sign, forms, after, known, True), "join" if one else "compound"))
+    editor.fit_joins(joins)
+    shared = sc.broadcast((furniture, editor))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        furniture, editor = shared.value
+        for b in batches:
+            out = []
+            for r, c, t, j, k in zip(b["rec_id"], b["content"], b["title"], b["journal"], b["known"]):
+                known = Known([(x["w"], x["own"], x["m"]) for x in (k if k is not None else [])], common.value)
+                found, text = examine(c, [x for x in (t, j) if x], furniture, editor, known)
+                out += [(r, n, kind, None) for n, kind in found]
+                out.append((r, 0, "text", text))
+            yield pd.DataFrame(out, columns=["rec_id", "line_no", "kind", "text"])
+
+    return whole.select("rec_id", "content", "title", "journal", "known").mapInPandas(run, "rec_id string, line_no int, kind string, text string")
