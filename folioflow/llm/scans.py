@@ -41,6 +41,8 @@ TRAIN_PAGES = 3000
 TRAIN_WORDS = 8000
 FREQUENT = 2e-5
 LEAST_MET = 3
+#: Two misread signs in a word are sought among confusions that explain at least this share of the words that one sign explains.
+USUAL = 0.005
 #: Least share of a page's line ends that a wrapped line explains, and the share of lines with markup that speaks against it.
 WRAPPED, MARKED = 0.6, 0.5
 _STRIP = " \t.,;:!?()[]{}«»„“”\"'’…–—-¬­"
@@ -126,28 +128,37 @@ def joined_forms(head: str, after: str) -> dict[str, str]:
     return {"whole": head + tail, "compound": f"{head}-{tail}", "last": head.rsplit("-", 1)[-1] + tail.split("-", 1)[0], "head": head, "tail": tail}
 
 
-def lookups(content: str, frequent: set[str] | frozenset[str]) -> dict[str, bool]:
-    """Words of a page whose decision is asked for, and whether they matter even if they are kept.
+def lookups(content: str, frequent: set[str] | frozenset[str]) -> dict[str, tuple[bool, bool]]:
+    """Words of a page whose decision is asked for: whether they matter even if they are kept, and whether they are printed whole.
 
     The line after a broken one is looked for past each of the next lines, as what is furniture is decided later.
     """
-    out: dict[str, bool] = {}
+    out: dict[str, tuple[bool, bool]] = {}
+
+    def ask(w: str, always: bool, plain: bool) -> None:
+        x = out.get(w, (False, False))
+        out[w] = (x[0] or always, x[1] or plain)
+
     lines = content.split("\n")
+    after = False
     for line in lines:
-        for t in line.split():
+        toks = line.split()
+        ends = bool(_BREAK.search(line))
+        for k, t in enumerate(toks):
+            whole = not (after and k == 0) and not (ends and k == len(toks) - 1)
             for w in spellings(t):
                 if w not in frequent:
-                    out.setdefault(w, False)
-                    if "-" in w:
-                        for p in w.split("-"):
-                            if len(p) > 2 and p not in frequent:
-                                out[p] = True
+                    ask(w, False, whole)
+                    for p in w.split("-") if "-" in w else ():
+                        if len(p) > 2 and p not in frequent:
+                            ask(p, True, whole)
+        after = ends if toks else after
     for a, _, _, head, _ in broken(lines):
         for b in range(a + 1, min(a + 6, len(lines))):
             if lines[b].strip():
                 for w in joined_forms(head, lines[b].split()[0]).values():
                     if len(w) > 1 and w not in frequent:
-                        out[w] = True
+                        ask(w, True, False)
     return out
 
 
@@ -261,7 +272,7 @@ class Furniture:
     def names(self, own: list[str]) -> Names:
         return Names([*own, *(j for j in self.journals if j not in own)])
 
-    def fit(self, pages: list[tuple[str, list[str]]], epochs: int = 5) -> None:
+    def fit(self, pages: list[tuple[str, list[str]]], epochs: int = 3) -> None:
         """Labels by rule: lines that show the record's own title or journal, and lines that are only a number."""
         rows = []
         for content, own in pages:
@@ -339,8 +350,8 @@ def holes(word: str) -> set[str]:
 class Editor:
     """Averaged perceptrons that choose among the edits of a word, and among the ways of joining a broken one."""
 
-    def __init__(self, ops: dict[str, set[str]], total: int = 1_000_000):
-        self.ops = ops
+    def __init__(self, usual: dict[str, list[str]], total: int = 1_000_000):
+        self.usual = usual
         self.total = max(total, 1)
         self.model = Perceptron()
         self.joiner = Perceptron()
@@ -350,18 +361,20 @@ class Editor:
         return 0 if n < 1 else 1 + int(math.log(n * 1e8 / self.total + 1, 4))
 
     def edits(self, word: str) -> Iterator[tuple[int, str, str]]:
-        """(position, wrong, right): replacements, deletions and insertions of one or two signs."""
+        """(position, wrong, right) of the usual confusions."""
         for i in range(len(word) + 1):
             for k in (0, 1, 2):
                 if i + k <= len(word):
-                    for right in self.ops.get(word[i : i + k], ()):
+                    for right in self.usual.get(word[i : i + k], ()):
                         yield i, word[i : i + k], right
 
-    def candidates(self, word: str, twice: bool = False) -> set[str]:
-        once = [(i, w, r, word[:i] + r + word[i + len(w) :]) for i, w, r in self.edits(word)]
-        if not twice:
-            return {made for *_, made in once}
-        return {made[:j] + r + made[j + len(w) :] for i, _, first, made in once for j, w, r in self.edits(made) if j >= i + len(first)}
+    def twice(self, word: str) -> set[str]:
+        """What two edits by usual confusions make of a word."""
+        out = set()
+        for i, wrong, right in self.edits(word):
+            made = word[:i] + right + word[i + len(wrong) :]
+            out |= {made[:j] + r + made[j + len(w) :] for j, w, r in self.edits(made) if j >= i + len(right)}
+        return out - {word}
 
     def features(self, word: str, known: str, own: float, n: float, rivals: int) -> list:
         i, wrong, right = difference(word, known)
@@ -382,6 +395,20 @@ class Editor:
                 best, top = (known, n), s
         return best
 
+    def choose_twice(self, word: str, found: list[tuple[str, float]]) -> tuple[str, float] | None:
+        """The same where two edits lead to the known word, each of which has to beat keeping."""
+        best, top = None, 0.0
+        for known, n in sorted(found):
+            for i, wrong, right in self.edits(word):
+                made = word[:i] + right + word[i + len(wrong) :]
+                j, w, r = difference(made, known)
+                if made == known or j < i or r not in self.usual.get(w, ()):
+                    continue
+                s = [self.model.score(self.features(x, y, 0, n, len(found))) for x, y in ((word, made), (made, known))]
+                if min(s) > 0 and sum(s) > top:
+                    best, top = (known, n), sum(s)
+        return best
+
     def fit(self, rows: list[tuple[str, float, list[tuple[str, float]], str | None]], epochs: int = 4) -> None:
         """Rows (word, times met elsewhere, candidates, right word or None to keep it)."""
         rng = np.random.default_rng(4)
@@ -417,8 +444,8 @@ class Editor:
         for _ in range(epochs):
             for k in rng.permutation(len(rows)).tolist() if rows else []:
                 seen, blind, right = rows[k]
-                # every third time without the words, so that the signs and sides are learned too
-                f = blind if rng.random() < 0.33 else seen
+                # every other time without the words, so that the signs and sides are learned too
+                f = blind if rng.random() < 0.5 else seen
                 scored = {way: self.joiner.score(x) for way, x in f.items()}
                 other = "compound" if right == "join" else "join"
                 if scored[right] <= max(scored[other], 0):
@@ -547,17 +574,20 @@ def examine(content: str, own: list[str], furniture: Furniture, editor: Editor,
 # ---------------------------------------------------------------- Spark
 
 
-def _confusions(words: DataFrame, vocab: DataFrame) -> tuple[dict[str, set[str]], DataFrame]:
-    """Signs and what they stand for, and (w, right) of words that one edit parts from exactly one known word.
+def _neighbours(words: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(w, k, n, wrong, right): the words of clean text that one edit parts from each word.
 
     Words and vocabulary meet by the holes that leaving out signs makes, hashed to 64 bits and compared after.
     """
 
     def holed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            pairs = [(h, w) for w in b["w"] for h in holes(w)]
-            h = pd.util.hash_array(np.array([x for x, _ in pairs], dtype=object), categorize=False).view(np.int64) if pairs else np.zeros(0, np.int64)
-            yield pd.DataFrame({"h": h, "w": [w for _, w in pairs]})
+        for whole in batches:
+            for c in range(0, len(whole), 2000):
+                b = whole.iloc[c : c + 2000]
+                of = [holes(w) for w in b["w"]]
+                size = [len(x) for x in of]
+                h = pd.util.hash_array(np.array([x for xs in of for x in xs], dtype=object), categorize=False).view(np.int64) if sum(size) else np.zeros(0, np.int64)
+                yield pd.DataFrame({"h": h, "w": np.repeat(b["w"].to_numpy(dtype=object), size), "n": np.repeat(b["n"].to_numpy(), size)})
 
     def parted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -567,42 +597,44 @@ def _confusions(words: DataFrame, vocab: DataFrame) -> tuple[dict[str, set[str]]
             yield out[(n > 0) & (n < 4) & (out["wrong"].str.len() < 3) & (out["right"].str.len() < 3)]
 
     fit = F.length("w").between(4, 30)
-    a = words.where(fit).select("w").mapInPandas(holed, "h bigint, w string")
-    b = vocab.where(fit & (F.col("n") > 1)).select("w").mapInPandas(holed, "h bigint, w string").withColumnRenamed("w", "k")
-    met = a.join(b, "h").select("w", "k").distinct().mapInPandas(parted, "w string, k string, wrong string, right string")
-    one = (F.length("wrong") + F.length("right") == 2) & (F.length("wrong") == 1)
-    per = met.groupBy("w").agg(F.sum(one.cast("int")).alias("n1"), F.count("*").alias("n"), F.max(F.when(one, F.struct("k", "wrong", "right"))).alias("x1"), F.max(F.struct("k", "wrong", "right")).alias("x"))
+    a = words.where(fit).select("w", F.lit(0).cast("bigint").alias("n")).mapInPandas(holed, "h bigint, w string, n bigint").select("h", "w")
+    b = vocab.where(fit & (F.col("n") > 1)).select("w", "n").mapInPandas(holed, "h bigint, w string, n bigint").select("h", F.col("w").alias("k"), "n")
+    met = a.join(b, "h").where("w <> k").select("w", "k", "n").distinct()
+    return met.mapInPandas(parted, "w string, k string, n bigint, wrong string, right string")
+
+
+def _mined(met: DataFrame) -> DataFrame:
+    """(w, right_word, wrong, right) of the words that exactly one neighbour explains, by a single sign first."""
+    one = (F.length("wrong") == 1) & (F.length("right") == 1)
+    x = F.struct("k", "wrong", "right")
+    per = met.groupBy("w").agg(F.sum(one.cast("int")).alias("n1"), F.count("*").alias("n"), F.max(F.when(one, x)).alias("x1"), F.max(x).alias("x"))
     pick = F.when(F.col("n1") == 1, F.col("x1")).when((F.col("n1") == 0) & (F.col("n") == 1), F.col("x"))
-    mined = checkpoint(per.select("w", pick.alias("p")).where("p IS NOT NULL").select("w", F.col("p.k").alias("right_word"), "p.wrong", "p.right"))
-    often = mined.groupBy("wrong", "right").agg(F.count("*").alias("n"))
-    letters = r"^\p{L}+$"
-    rows = often.where((F.col("n") >= LEAST_MET) | (~F.col("wrong").rlike(letters) & (F.col("wrong") != "") & F.col("right").rlike(letters))).collect()
-    ops: dict[str, set[str]] = defaultdict(set)
-    for r in rows:
-        ops[r["wrong"]].add(r["right"])
-    return dict(ops), mined.select("w", F.col("right_word").alias("right"))
+    return per.select("w", pick.alias("p")).where("p IS NOT NULL").select("w", F.col("p.k").alias("right_word"), "p.wrong", "p.right")
 
 
-def _candidates(words: DataFrame, vocab: DataFrame, editor: Editor, twice: bool = False) -> DataFrame:
-    """(w, own, found): the words with their candidates that clean text has, as structs (k, n)."""
+def _twice(words: DataFrame, vocab: DataFrame, editor: Editor) -> DataFrame:
+    """(w, own, found): words with what two usual confusions make of them and clean text has."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(w, own, c) for w, own in zip(b["w"], b["own"]) for c in editor.candidates(w, twice) if c != w]
-            yield pd.DataFrame(rows, columns=["w", "own", "k"])
+        for whole in batches:
+            for c in range(0, len(whole), 500):
+                rows = [(w, x) for w in whole["w"].iloc[c : c + 500] for x in sorted(editor.twice(w))]
+                yield pd.DataFrame(rows, columns=["w", "k"])
 
-    made = words.select("w", "own").mapInPandas(run, "w string, own bigint, k string")
-    return made.join(vocab.select(F.col("w").alias("k"), "n"), "k").groupBy("w", "own").agg(F.collect_list(F.struct("k", "n")).alias("found"))
+    made = words.select("w").mapInPandas(run, "w string, k string")
+    met = made.join(vocab.select(F.col("w").alias("k"), "n"), "k")
+    return met.groupBy("w").agg(F.collect_list(F.struct("k", "n")).alias("found")).select("w", F.lit(0).cast("bigint").alias("own"), "found")
 
 
-def _chosen(found: DataFrame, editor: Editor) -> DataFrame:
+def _chosen(found: DataFrame, editor: Editor, twice: bool = False) -> DataFrame:
     """(w, m): words that the editor does not keep, and what it makes of them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for w, own, f in zip(b["w"], b["own"], b["found"]):
-                best = editor.choose(w, own, [(x["k"], x["n"]) for x in f])
+                known = [(x["k"], x["n"]) for x in f]
+                best = editor.choose_twice(w, known) if twice else editor.choose(w, own, known)
                 if best:
                     rows.append((w, best[0]))
             yield pd.DataFrame(rows, columns=["w", "m"])
@@ -635,26 +667,39 @@ def repair(pages: DataFrame, clean: DataFrame, text: str = "content") -> DataFra
 
     def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(r, w, x) for r, c in zip(b["rec_id"], b["content"]) for w, x in lookups(c, common.value.keys()).items()]
-            yield pd.DataFrame(rows, columns=["rec_id", "w", "always"])
+            rows = [(r, w, x, y) for r, c in zip(b["rec_id"], b["content"]) for w, (x, y) in lookups(c, common.value.keys()).items()]
+            yield pd.DataFrame(rows, columns=["rec_id", "w", "always", "plain"])
 
-    asks = checkpoint(pages.mapInPandas(asked, "rec_id string, w string, always boolean"))
+    asks = checkpoint(pages.mapInPandas(asked, "rec_id string, w string, always boolean, plain boolean"))
     own = F.coalesce("n", F.lit(0)).alias("own")
-    words = checkpoint(asks.groupBy("w").agg(F.max("always").alias("always")).join(vocab, "w", "left").select("w", "always", own))
-    ops, mined = _confusions(words.where("own = 0"), vocab)
-    editor = Editor(ops, total)
-
-    # weights from bounded samples: words that one known word explains, and words of clean text, which are to be kept
-    found = checkpoint(_candidates(words, vocab, editor))
-    wrong = _sample(found.join(mined, "w"), "w", TRAIN_WORDS).select("w", "own", "found", "right")
-    right = _candidates(_sample(vocab.where(F.length("w") > 3), "w", TRAIN_WORDS).select("w", (F.col("n") - 1).alias("own")), vocab, editor).select("w", "own", "found", F.lit(None).cast("string").alias("right"))
+    words = checkpoint(asks.groupBy("w").agg(F.max("always").alias("always"), F.max("plain").alias("plain")).join(vocab, "w", "left").select("w", "always", "plain", own))
+    # words of clean text, which are to be kept, with the times they are met elsewhere
+    kept = checkpoint(_sample(vocab.where(F.length("w") > 3), "w", TRAIN_WORDS).select("w", (F.col("n") - 1).alias("own")))
+    met = checkpoint(_neighbours(words.select("w").unionByName(kept.select("w")).distinct(), vocab))
+    mined = checkpoint(_mined(met.join(words.where("own = 0 AND plain").select("w"), "w")))
+    often = mined.groupBy("wrong", "right").agg(F.count("*").alias("n"))
+    letters = r"^\p{L}+$"
+    # a confusion is met in several words, or puts a digit or a mark for a letter
+    ops = often.where((F.col("n") >= LEAST_MET) | (~F.col("wrong").rlike(letters) & (F.col("wrong") != "") & F.col("right").rlike(letters))).collect()
+    usual: dict[str, list[str]] = defaultdict(list)
+    for r in sorted(ops, key=lambda r: (r["wrong"], r["right"])):
+        if r["n"] >= max(LEAST_MET, USUAL * sum(x["n"] for x in ops)):
+            usual[r["wrong"]].append(r["right"])
+    editor = Editor(dict(usual), total)
+    signs = [f"{r['wrong']}\0{r['right']}" for r in ops]
+    allowed = met.where(F.concat("wrong", F.lit("\0"), "right").isin(signs) if signs else F.lit(False))
+    found = checkpoint(allowed.groupBy("w").agg(F.collect_list(F.struct("k", "n")).alias("found")))
+
+    # weights from bounded samples
+    wrong = _sample(found.join(mined.select("w", F.col("right_word").alias("right")), "w"), "w", TRAIN_WORDS).select("w", F.lit(0).cast("bigint").alias("own"), "found", "right")
+    right = found.join(kept, "w").select("w", "own", "found", F.lit(None).cast("string").alias("right"))
     rows = [(r["w"], r["own"], [(x["k"], x["n"]) for x in r["found"]], r["right"]) for r in [*wrong.collect(), *right.collect()]]
     rows.sort(key=lambda r: (r[0], r[3] or ""))
     editor.fit(rows)
-    first = _chosen(found, editor)
+    first = _chosen(found.join(words.select("w", "own"), "w").select("w", "own", "found"), editor)
     # words that no single edit makes a word of clean text may have two misread signs
-    rest = words.where("own = 0 AND length(w) > 5").join(found.select("w"), "w", "left_anti")
-    second = _chosen(_candidates(rest, vocab, editor, twice=True), editor)
+    rest = words.where("own = 0 AND plain AND length(w) > 5").join(found.select("w"), "w", "left_anti")
+    second = _chosen(_twice(rest, vocab, editor), editor, twice=True)
     mends = checkpoint(first.unionByName(second))
     told = words.join(mends, "w", "left").where("m IS NOT NULL OR (always AND own > 0)").select("w", "own", "m")
     # at most a row for each word of a page

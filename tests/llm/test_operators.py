@@ -235,9 +235,11 @@ def test_scans_without_rows(spark):
 
 
 def test_edits():
-    e = scans.Editor({"1": {"i"}, "rn": {"m"}, "": {"t"}, "q": {""}})
-    assert "membrane" in e.candidates("mernbrane") and "diffusion" in e.candidates("diffus1on") and "unit" in e.candidates("uni") and "ab" in e.candidates("aqb")
-    assert "limiting membrane" in e.candidates("lim1ting mernbrane", True)
+    e = scans.Editor({"1": ["i"], "rn": ["m"]})
+    e.model.w["bias"] = 1.0
+    assert "limiting membrane" in e.twice("lim1ting mernbrane") and e.choose_twice("lim1ting mernbrane", [("limiting membrane", 5)]) == ("limiting membrane", 5)
+    far = "ab" * 13
+    assert scans.Editor({"q": ["x"], "w": ["y"]}).twice(far + "qw") == {far + "xy"}
     assert scans.difference("mernbrane", "membrane") == (2, "rn", "m") and scans.holes("ab") & scans.holes("abc")
 
 
