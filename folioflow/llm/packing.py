@@ -20,6 +20,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,20 +129,31 @@ def pack(ids: list, texts: list[str], sizes: np.ndarray, capacity: int) -> list[
     return out
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(path: str, shared: Broadcast) -> Encoder:
+    """The vocabulary is read once in each Python worker."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = Encoder(Vocabulary(shared.value))
+    return _ENCODERS[path]
+
+
 def containers(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """(container, key, piece, begin_tok, end_tok) of every document; sizes in tokens of the public tokenizer."""
     spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
-    shared = spark.sparkContext.broadcast(load_vocabulary(path or f"{TOKENIZER_DIR}/byte_bpe_50k.json"))
+    path = path or f"{TOKENIZER_DIR}/byte_bpe_50k.json"
+    shared = spark.sparkContext.broadcast(load_vocabulary(path))
     rows = df.where(F.col(key).isNotNull()).select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     volume = rows.agg(F.sum(F.length("_text")).alias("c"), F.count("*").alias("n")).first()
     shards = max(1, -(-max(volume["c"] or 0, 200 * (volume["n"] or 0)) // SHARD_CHARS))
-    encoder: list[Encoder] = []
 
     def run(whole: pd.DataFrame) -> pd.DataFrame:
         whole = whole.sort_values(key)
         texts = whole["_text"].tolist()
-        e = encoder[0] if encoder else Encoder(Vocabulary(shared.value))
+        e = _encoder(path, shared)
         sizes = np.concatenate([e.encode(texts[x:y])[1] for x, y in slices([len(t) for t in texts], CHARS)])
         ids = whole[key].tolist()
         placed = pack(ids, texts, sizes, capacity)
@@ -151,5 +163,6 @@ def containers(df: DataFrame, key: str = "doc_id", text: str = "text", capacity:
             "piece": [p for _, _, p, _, _ in placed], "begin_tok": [x for *_, x, _ in placed], "end_tok": [x for *_, x in placed],
         })
 
-    sharded = rows.withColumn("_shard", F.pmod(F.xxhash64(key), F.lit(shards)))
+    # a partition for each shard: the number given keeps shards from being gathered in one task
+    sharded = rows.withColumn("_shard", F.pmod(F.xxhash64(key), F.lit(shards))).repartition(int(shards), "_shard")
     return sharded.groupBy("_shard").applyInPandas(run, f"container string, {key} {kind}, piece int, begin_tok int, end_tok int")

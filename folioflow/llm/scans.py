@@ -642,9 +642,15 @@ def _chosen(found: DataFrame, editor: Editor, twice: bool = False) -> DataFrame:
     return found.mapInPandas(run, "w string, m string")
 
 
-def _sample(df: DataFrame, key: str, n: int) -> DataFrame:
-    """At most ``n`` rows, least hash of the key first."""
-    return df.orderBy(F.xxhash64(key), key).limit(n)
+def _sample(df: DataFrame, key: str, n: int, total: int) -> DataFrame:
+    """At most ``n`` of ``total`` rows, least hash of the key first.
+
+    Rows whose hash is far beyond the n-th are dropped first, so that no task hands on more than its share.
+    """
+    h = F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    if total > 2 * n:
+        df = df.where(h < int((1 << 40) * 2 * n / total))
+    return df.orderBy(h, key).limit(n)
 
 
 def repair(pages: DataFrame, clean: DataFrame, text: str = "content") -> DataFrame:
@@ -674,7 +680,8 @@ def repair(pages: DataFrame, clean: DataFrame, text: str = "content") -> DataFra
     own = F.coalesce("n", F.lit(0)).alias("own")
     words = checkpoint(asks.groupBy("w").agg(F.max("always").alias("always"), F.max("plain").alias("plain")).join(vocab, "w", "left").select("w", "always", "plain", own))
     # words of clean text, which are to be kept, with the times they are met elsewhere
-    kept = checkpoint(_sample(vocab.where(F.length("w") > 3), "w", TRAIN_WORDS).select("w", (F.col("n") - 1).alias("own")))
+    long = vocab.where(F.length("w") > 3)
+    kept = checkpoint(_sample(long, "w", TRAIN_WORDS, long.count()).select("w", (F.col("n") - 1).alias("own")))
     met = checkpoint(_neighbours(words.select("w").unionByName(kept.select("w")).distinct(), vocab))
     mined = checkpoint(_mined(met.join(words.where("own = 0 AND plain").select("w"), "w")))
     often = mined.groupBy("wrong", "right").agg(F.count("*").alias("n"))
@@ -691,7 +698,7 @@ def repair(pages: DataFrame, clean: DataFrame, text: str = "content") -> DataFra
     found = checkpoint(allowed.groupBy("w").agg(F.collect_list(F.struct("k", "n")).alias("found")))
 
     # weights from bounded samples
-    wrong = _sample(found.join(mined.select("w", F.col("right_word").alias("right")), "w"), "w", TRAIN_WORDS).select("w", F.lit(0).cast("bigint").alias("own"), "found", "right")
+    wrong = _sample(found.join(mined.select("w", F.col("right_word").alias("right")), "w"), "w", TRAIN_WORDS, mined.count()).select("w", F.lit(0).cast("bigint").alias("own"), "found", "right")
     right = found.join(kept, "w").select("w", "own", "found", F.lit(None).cast("string").alias("right"))
     rows = [(r["w"], r["own"], [(x["k"], x["n"]) for x in r["found"]], r["right"]) for r in [*wrong.collect(), *right.collect()]]
     rows.sort(key=lambda r: (r[0], r[3] or ""))
@@ -710,7 +717,7 @@ def repair(pages: DataFrame, clean: DataFrame, text: str = "content") -> DataFra
     n_pages = pages.count()
     journals = [r[0] for r in pages.where("journal IS NOT NULL").groupBy("journal").count().where(F.col("count") >= max(5, share * n_pages)).orderBy("journal").collect()]
     furniture = Furniture(journals)
-    sample = [(r["content"], [x for x in (r["title"], r["journal"]) if x], r["known"]) for r in _sample(whole, "rec_id", TRAIN_PAGES).collect()]
+    sample = [(r["content"], [x for x in (r["title"], r["journal"]) if x], r["known"]) for r in _sample(whole, "rec_id", TRAIN_PAGES, n_pages).collect()]
     furniture.fit([(c, n) for c, n, _ in sample])
     joins = []
     for content, _, k in sample:
