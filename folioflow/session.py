@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -32,14 +33,19 @@ def ship(spark: SparkSession) -> None:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder.
 
-    The folder is the one named in ``spark.checkpoint.dir``; only where that is
-    unset (local tests) a folder of the warehouse is taken.
+    The folder is the one named in ``spark.checkpoint.dir``.  Where that is unset
+    a local master takes a folder of its own; a cluster has to name one that all
+    its machines share.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(where or os.path.join(tempfile.gettempdir(), "folioflow-checkpoints"))
+        if where is None:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all machines of the cluster share")
+            where = os.path.join(tempfile.gettempdir(), "folioflow-checkpoints")
+        sc.setCheckpointDir(where)
     return df.checkpoint(eager=True)
 
 
