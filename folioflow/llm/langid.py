@@ -29,6 +29,8 @@ from folioflow.llm.sentences import Rules
 #: Labelled rows per language on which the machines are fitted.
 SAMPLE = 400
 BITS = 17
+#: Steps on the hinge loss: how fast weights fade, and how far the first step goes.
+REGULAR, RATE = 0.1, 20.0
 FAMILIES = {"latin": ("de", "en", "es", "fr"), "cyrillic": ("ru", "uk"), "east": ("ja", "zh"), "devanagari": ("hi",)}
 # Notations of the languages' names, after lower-casing and cutting a region off.
 NOTATIONS = {
@@ -67,10 +69,20 @@ _NOISE = re.compile(r"\b[A-Z]{1,4}-?\d+\b|\b(?:mA|cm|mm|mol|kV|mV|pH|Hz|kHz|nm|V
 _QUOTED = re.compile(r"«[^»]*»|“[^”]*”|„[^“”]*[“”]|\"[^\"]*\"|「[^」]*」|《[^》]*》|『[^』]*』|\([^()]*\)|（[^（）]*）")
 
 
+#: Lines that run above or below a page: a name beside a number, or capitals only.
+_RUNNING = re.compile(r"^[ \t]*\d{1,5}[ \t]{2,}\S.*$|^.*\S[ \t]{2,}\d{1,5}[ \t]*$|^[^a-zа-яёіїєґà-ÿ\n]*[A-ZА-ЯЁІЇЄҐ]{3}[^a-zа-яёіїєґà-ÿ\n]*$", re.M)
+#: How a sentence ends that is not the last one.
+_CLOSED = tuple(".!?…。！？｡।॥»”“\"')]}》」』）】›:;")
+
+
 def prepare(sentence: str) -> str:
-    """What of a sentence tells its language: without codes, units, numbers and what stands in quotes."""
+    """What of a sentence tells its language: without codes, units, numbers, running lines and what stands in quotes."""
+    if "\n" in sentence:
+        body = _RUNNING.sub(" ", sentence)
+        sentence = body if sum(map(str.isalpha, body)) > 7 else sentence
     bare = _QUOTED.sub(" ", sentence)
-    if len(bare) < len(sentence) and sum(map(str.isalpha, bare)) < 12:
+    # what is quoted counts where little else is said
+    if len(bare) < len(sentence) and sum(map(str.isalpha, bare)) < max(12, sum(map(str.isalpha, sentence)) / 3):
         bare = sentence
     return " ".join(_NOISE.sub(" ", bare).split()).lower()
 
@@ -100,7 +112,7 @@ class Machines:
             rows.append(row[: len(g)][keep])
         return (np.concatenate(out) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(rows)
 
-    def fit(self, texts: list[str], langs: list[str], steps: int = 20, rounds: int = 4) -> None:
+    def fit(self, texts: list[str], langs: list[str], steps: int = 60, rounds: int = 4) -> None:
         """Averaged subgradient steps on the hinge loss, pair by pair, over single sentences.
 
         Labels are partly wrong and some rows mix languages.  Before the
@@ -133,14 +145,14 @@ class Machines:
                     continue
                 share = tuple(len(own) / (2 * max((sign == s).sum(), 1)) for s in (1, -1))
                 gain = np.where(sign > 0, share[0], share[1]) * sign * norm / len(own)
-                # features count as much as their log-odds; the machine starts from all alike
+                # features count as much as their log-odds; the machine starts from zero
                 count = [np.bincount(x, (sign == s)[local], 1 << BITS) + 0.5 for s in (1, -1)]
                 odds = np.log(count[0] / count[0].sum()) - np.log(count[1] / count[1].sum())
-                start = 2 / max(np.abs(np.bincount(local, odds[x], len(own)) * norm).mean(), 1e-9)
-                w, total = np.full(1 << BITS, start), np.zeros(1 << BITS)
+                odds /= max(np.abs(np.bincount(local, odds[x], len(own)) * norm).mean(), 1e-9)
+                w, total = np.zeros(1 << BITS), np.zeros(1 << BITS)
                 for k in range(steps):
                     bad = sign * np.bincount(local, (w * odds)[x], len(own)) * norm < 1
-                    w = start + (w - start) * (1 - 0.5 / (k + 2)) + 20.0 / (k + 2) ** 0.5 * odds * np.bincount(x, (gain * bad)[local], 1 << BITS)
+                    w = w * (1 - REGULAR / (k + 2)) + RATE / (k + 2) ** 0.5 * odds * np.bincount(x, (gain * bad)[local], 1 << BITS)
                     total += w
                 w = total / steps * odds
             scale = np.abs(np.bincount(local, w[x], len(own)) * norm).mean() if len(own) and w.any() else 1.0
@@ -180,7 +192,7 @@ class Machines:
             margin = (ordered[:, -1] - ordered[:, -2]) / 2
             for i, c in zip(rows_of.tolist(), best.tolist()):
                 langs[i] = members[c]
-            sure[rows_of] = top[rows_of] / (1 + np.exp(-4 * margin))
+            sure[rows_of] = top[rows_of] / (1 + np.exp(-8 * margin))
         return langs, sure
 
 
@@ -196,6 +208,11 @@ def family_shares(prepared: list[str]) -> np.ndarray:
     return np.divide(out, total, out=np.zeros_like(out), where=total > 0)
 
 
+def family_weight(prepared: str) -> float:
+    """Letters of a text, those of the eastern scripts counting more."""
+    return float(_WEIGHT[_SCRIPTS[code_points(prepared)]].sum()) if prepared else 0.0
+
+
 def family_of(prepared: str) -> str | None:
     shares = family_shares([prepared])[0]
     return _ORDER[int(shares.argmax())] if shares.max() > 0.7 else None
@@ -215,18 +232,25 @@ def train(blocks: DataFrame, key: str = "block_id", text: str = "content", label
 
 
 #: A sentence whose language is less sure than this takes that of its neighbours in the same family.
-DOUBT = 0.75
+DOUBT = 0.62
+#: A piece of fewer letters than this beside others takes their language.
+LEAST_LETTERS = 8
 
 
-def segments_of(texts: list[str], rules: Rules, m: Machines) -> list[list[tuple[str, float, int, int]]]:
+def segments_of(texts: list[str], rules: Rules, m: Machines, labels: list[str | None] | None = None) -> list[list[tuple[str, float, int, int]]]:
     """(language, confidence, begin, end) of the longest one-language runs of whole sentences of each text."""
-    spans = [rules.spans(t) if t else [] for t in texts]
+    spans = [rules.spans(t, label_code(g)) if t else [] for t, g in zip(texts, labels or [None] * len(texts))]
     langs, sure = m.predict([t[b:e] for t, ss in zip(texts, spans) for b, e in ss])
     out, at = [], 0
     for t, ss in zip(texts, spans):
         n = len(ss)
         own, conf = langs[at : at + n], sure[at : at + n].tolist()
         at += n
+        for i in range(n if n > 1 else 0):
+            # what lacks its end and is not last is no sentence but a heading or a running line; a word or two tell nothing
+            piece = t[ss[i][0] : ss[i][1]]
+            if (i < n - 1 and not piece.endswith(_CLOSED)) or (len(piece) < 40 and family_weight(prepare(piece)) < LEAST_LETTERS):
+                own[i], conf[i] = "und", 0.0
         if n > 1:
             weight: dict[str, float] = {}
             for (b, e), g, c in zip(ss, own, conf):
@@ -265,7 +289,7 @@ def segments(df: DataFrame, key: str, text: str, label: str | None, rules: Rules
             for c in range(0, len(whole), 1000):
                 b = whole.iloc[c : c + 1000]
                 rows = []
-                for k, lab, runs in zip(b[key], b["_label"], segments_of(b["_text"].tolist(), rules, m)):
+                for k, lab, runs in zip(b[key], b["_label"], segments_of(b["_text"].tolist(), rules, m, b["_label"].tolist())):
                     wrong = len(runs) > 1 or (len(runs) == 1 and label_code(lab) != runs[0][0])
                     rows += [(k, i + 1, g, round(float(s), 4), x, y, wrong) for i, (g, s, x, y) in enumerate(runs)]
                 yield pd.DataFrame(rows, columns=[key, "seg_no", "lang", "confidence", "begin_at", "end_at", "wrong"])

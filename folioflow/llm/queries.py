@@ -149,10 +149,10 @@ def p1_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    from folioflow.llm import sentences
+    from folioflow.llm import langid, sentences
 
-    rows = table(spark, d, "blocks").where("type IN ('paragraph', 'abstract') AND source = 'grobid'").select("block_id", "content")
-    return sentences.split(once(rows, "block_id"), "block_id", "content", _rules(spark, d))
+    rows = table(spark, d, "blocks").where("type IN ('paragraph', 'abstract') AND source = 'grobid'").select("block_id", "content", "language")
+    return sentences.split(once(rows, "block_id"), "block_id", "content", _rules(spark, d), "language", langid.label_code)
 
 
 #: Word shingles of three tokens, 64 runs of 4 byte positions: a pair at 0.6 is missed with probability 0.0016.

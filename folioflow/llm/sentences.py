@@ -16,8 +16,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,11 +30,13 @@ _LAST = re.compile(_L + r"+(?:[.'’\-]" + _L + r"+)*\Z|\d+(?:[.,–\-]\d+)*\Z|[
 _END = re.compile(r"(?:[.!?…]+|[。！？｡।॥]+|\n[ \t]*\n)")
 _OPEN = {"«": "»", "“": "”", "(": ")", "[": "]", "{": "}", "《": "》", "「": "」", "『": "』", "（": "）", "【": "】", "‹": "›"}
 _CLOSERS = "»”“\"')]}》」』）】›"
-#: Learned lists beyond these sizes are refused: they are sent to all workers.
-MAX_LEARNED = 50_000
 # Dunning's reference rate of a period after an abbreviation, the least score of one,
-# the least share of its periods that a sentence goes on after, the least score of a starter.
-RATE, ABBREVIATION, GOES_ON, STARTER = 0.99, 0.3, 0.12, 6.0
+# the least share of its periods that a sentence goes on after, the least score of a starter and of a collocation.
+RATE, ABBREVIATION, GOES_ON, STARTER, COLLOCATION = 0.99, 0.3, 0.12, 6.0, 7.88
+#: Signs on either side of a period whose words tell the language, and a word's least log-odds and occurrences a million words to do so.
+AROUND, TELLING, PROFILE = 150, 1.0, 300.0
+#: Occurrences from which on a language that has not learned a word denies it; the name under which rows of other languages are counted.
+EVIDENCE, MIXED = 5, "other"
 
 
 def brackets(text: str) -> list[tuple[int, int]]:
@@ -69,27 +71,72 @@ def brackets(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _token_begin(text: str, at: int) -> int:
+    return max(text.rfind(" ", 0, at), text.rfind("\n", 0, at)) + 1
+
+
 def _lower(word: str) -> bool:
     """Begins in lower case; ``pH`` and the like count as capitals."""
     return word[:1].islower() and not (len(word) > 1 and word[1:2].isupper())
 
 
+ROLES = ("abbreviations", "starters", "ordinals")
+
+
+class Lists:
+    """What is learned of one language: abbreviations, sentence starters, words that follow a number with a period.
+
+    ``denied``: by role, the words that another language knows and this one has evidence against.
+    """
+
+    def __init__(self, abbreviations: Iterable[str] = (), starters: Iterable[str] = (), ordinals: Iterable[str] = (), denied: dict[str, set[str]] | None = None):
+        self.abbreviations, self.starters, self.ordinals = set(abbreviations), set(starters), set(ordinals)
+        self.denied = denied or {}
+
+
 class Rules:
-    """Learned lists; classifies the candidate ends of a text."""
+    """Learned lists by language; classifies the candidate ends of a text.
 
-    def __init__(self, abbreviations: set[str], starters: set[str], ordinals: set[str]):
-        self.abbreviations, self.starters, self.ordinals = abbreviations, starters, ordinals
+    A word that one language has learned holds in all, except where a language
+    has evidence against it.  Which language is spoken around a period, the
+    words there tell (``profile``: word, language, log-odds), else the text's
+    label does.
+    """
+
+    def __init__(self, lists: dict[str, Lists], profile: dict[str, dict[str, float]] | None = None):
+        self.lists, self.profile = lists, profile or {}
+        for role in ROLES:
+            setattr(self, role, set().union(*(getattr(x, role) for x in lists.values())))
+        self.deniers: dict[tuple[str, str], set[str]] = defaultdict(set)
+        for g, x in lists.items():
+            for role, words in x.denied.items():
+                for w in words:
+                    self.deniers[role, w].add(g)
+        self.deniers = dict(self.deniers)
+
+    def _language(self, text: str, at: int, label: str | None) -> str | None:
+        """The language around a place of a text."""
+        score: dict[str, float] = {}
+        for w in _PLAIN.findall(text, max(0, at - AROUND), at + AROUND):
+            for g, x in self.profile.get(w.lower(), {}).items():
+                score[g] = score.get(g, 0.0) + x
+        return max(sorted(score), key=score.__getitem__) if score else label
+
+    def _in(self, role: str, word: str, text: str, at: int, label: str | None) -> bool:
+        if word not in getattr(self, role):
+            return False
+        against = self.deniers.get((role, word))
+        return not against or self._language(text, at, label) not in against
 
-    def _period(self, text: str, at: int, after: int) -> bool:
+    def _period(self, text: str, at: int, after: int, label: str | None) -> bool:
         """Whether the period at ``at`` ends a sentence, the next sign being at ``after``."""
         n = len(text)
         nxt = text[after : after + 1]
         m = _WORD.match(text, after)
         word = m.group() if m else ""
         tight = after == at + 1
-        lo = max(0, at - 40)
         # the word before the period: from its last sign backwards to a blank
-        b = max(text.rfind(" ", lo, at), text.rfind("\n", lo, at), lo - 1) + 1
+        b = _token_begin(text, at)
         p = _LAST.search(text, b, at)
         prev = p.group() if p else ""
         if not nxt:
@@ -102,7 +149,7 @@ class Rules:
             return False
         caseless = bool(word) and word[0].isalpha() and not word[0].isupper() and not word[0].islower()
         follows_initial = len(word) == 1 and word.isupper() and text[m.end() : m.end() + 1] == "."
-        before = text[lo : p.start()].rstrip() if p else ""
+        before = text[max(0, p.start() - 3) : p.start()].rstrip() if p else ""
         numbered = before[-1:].isdigit() or before[-1:] in "%"
         if len(prev) == 1 and prev.isupper():
             if tight and word[:1].isupper():
@@ -111,22 +158,22 @@ class Rules:
                 return True
             if nxt.isdigit() or follows_initial:
                 return False
-            return caseless or word in self.starters or not word or (len(word) == 1 and word.isupper()) or nxt in "«“„\"(《"
+            return caseless or self._in("starters", word, text, at, label) or not word or (len(word) == 1 and word.isupper()) or nxt in "«“„\"(《"
         if prev[:1].isalpha():
             low = prev.lower()
             if tight and word[:1].isupper() and len(prev) < 3:
                 return False
-            if low in self.abbreviations or (len(prev) == 1 and not numbered):
+            if (len(prev) == 1 and not numbered) or self._in("abbreviations", low, text, at, label):
                 if nxt.isdigit() or follows_initial or nxt in "(№#":
                     return False
-                return word in self.starters or nxt in "«“„"
+                return self._in("starters", word, text, at, label) or nxt in "«“„"
             return True
-        if prev[:1].isdigit() and not tight and word in self.ordinals and word not in self.starters:
+        if prev[:1].isdigit() and not tight and self._in("ordinals", word, text, at, label) and not self._in("starters", word, text, at, label):
             return False
         return True
 
-    def spans(self, text: str) -> list[tuple[int, int]]:
-        """(begin, end) of the sentences."""
+    def spans(self, text: str, label: str | None = None) -> list[tuple[int, int]]:
+        """(begin, end) of the sentences; ``label`` is the language the text is said to have."""
         n = len(text)
         pairs = brackets(text)
         out: list[tuple[int, int]] = []
@@ -183,7 +230,7 @@ class Rules:
                 word = _WORD.match(text, after)
                 ends = not x or x.isupper() or (after > e and x.isdigit()) or (word is not None and x.islower() and not _lower(word.group()))
             elif sign == ".":
-                ends = self._period(text, s, after)
+                ends = self._period(text, s, after, label)
             else:
                 word = _WORD.match(text, after)
                 x = text[after : after + 1]
@@ -231,9 +278,10 @@ def count(texts: list[str], langs: list[str]) -> Counter:
             nxt = _WORD.match(text, m.end())
             if nxt and nxt.group()[:1].isupper():
                 into[lang, "ordinal", nxt.group()] += 1
+                into[lang, "numbers", ""] += 1
         at = text.find(".")
         while at >= 0:
-            b = max(text.rfind(" ", max(0, at - 40), at), text.rfind("\n", max(0, at - 40), at), max(0, at - 40) - 1) + 1
+            b = _token_begin(text, at)
             m = _LAST.search(text, b, at)
             dot, at = at, text.find(".", at + 1)
             w = m.group() if m else ""
@@ -292,62 +340,91 @@ def _ll(k: float, n: float, p0: float, p1: float) -> float:
 
 
 def learn(stats: DataFrame) -> Rules:
-    """Rules from the counts.  Words that cannot pass are dropped before they reach the driver."""
+    """Rules from the counts, language by language.
+
+    Words reach the driver if they are met at least once or twice in a million
+    words in the role they may have, so their number is bounded by the rate and
+    not by the corpus.
+    """
     stats = stats.persist()
+    spark = stats.sparkSession
     totals = {(r["lang"], r["kind"]): r["n"] for r in stats.where("word = ''").collect()}
     million = "1e6 / greatest(w_all, 1)"
-    base = stats.groupBy("lang").agg(F.max(F.when(F.col("kind") == "all", F.col("n"))).alias("w_all"))
-    per = stats.where("word <> ''").groupBy("lang", "word").pivot("kind", ["dot", "bare", "goes_on", "start", "capital", "ordinal"]).agg(F.sum("n")).na.fill(0).join(base, "lang")
-    # an abbreviation has the period nearly always; a starter is met after sure ends often
-    keep = per.where(f"(dot * {million} >= 2 AND dot >= 2 AND bare <= 3 * dot) OR (start >= 2 AND start * {million} >= 2 AND start * 20 >= capital) OR (ordinal >= 2 AND ordinal * {million} >= 2)")
-    rows = keep.limit(MAX_LEARNED * 10 + 1).collect()
-    if len(rows) > MAX_LEARNED * 10:
-        raise ValueError("too many candidate words to learn from")
-    starters, abbreviations, ordinals = set(), set(), set()
+    base = stats.where("kind = 'all'").select("lang", F.col("n").alias("w_all"))
+    per = stats.where("word <> '' AND kind <> 'then'").groupBy("lang", "word").pivot("kind", ["dot", "bare", "goes_on", "start", "capital", "ordinal"]).agg(F.sum("n")).na.fill(0).join(F.broadcast(base), "lang")
+    # an abbreviation has the period nearly always; a starter is met after sure ends often; a profile is made of common words
+    keep = per.where(f"(dot * {million} >= 2 AND dot >= 2 AND bare <= 3 * dot) OR (start >= 2 AND start * {million} >= 2 AND start * 20 >= capital) OR (ordinal >= 2 AND ordinal * {million} >= 2) OR bare * {million} >= {PROFILE}")
+    rows = keep.collect()
+    learned: dict[str, Lists] = defaultdict(Lists)
     for r in rows:
         words, sure = max(totals.get((r["lang"], "all"), 1), 1), max(totals.get((r["lang"], "sure"), 0), 1)
         if r["start"] >= 2:
             p0, p1 = min(r["capital"] / words, 0.9), r["start"] / sure
             if p1 > p0 and _ll(r["start"], sure, p0, p1) * min(1, 1e6 / words) > STARTER and r["start"] >= 0.05 * max(r["capital"], 1):
-                starters.add((r["lang"], r["word"]))
-    then = stats.where("kind = 'then' AND n >= 2").join(F.broadcast(base), "lang").where(f"n * {million} >= 1").limit(MAX_LEARNED * 20).collect()
-    strange: Counter = Counter()
-    for r in then:
-        w, nxt = r["word"].split(" ", 1)
-        if (r["lang"], nxt) not in starters:
-            strange[r["lang"], w] += r["n"]
+                learned[r["lang"]].starters.add(r["word"])
+    # what follows the candidates' periods and is no starter counts as going on
+    firsts = spark.createDataFrame([(g, w) for g, x in learned.items() for w in sorted(x.starters)], "lang string, next string")
+    asked = spark.createDataFrame([(r["lang"], r["word"]) for r in rows if r["dot"] >= 2], "lang string, w string")
+    then = stats.where("kind = 'then'").select("lang", F.split_part("word", F.lit(" "), F.lit(1)).alias("w"), F.split_part("word", F.lit(" "), F.lit(2)).alias("next"), "n")
+    odd = then.join(F.broadcast(asked), ["lang", "w"], "left_semi").join(F.broadcast(firsts), ["lang", "next"], "left_anti").groupBy("lang", "w").agg(F.sum("n").alias("n"))
+    strange = {(r["lang"], r["w"]): r["n"] for r in odd.collect()}
     for r in rows:
         lang, w, dot, bare = r["lang"], r["word"], r["dot"], r["bare"]
         words, dots = max(totals.get((lang, "all"), 1), 1), totals.get((lang, "dots"), 0)
+        scale = min(1e6 / words, 1.0)
         if dot >= 2:
-            scale = 1e6 / words
             letters = len(w.replace(".", ""))
-            ll = _ll(dot, dot + bare, dots / words, RATE) * min(scale, 1.0)
-            score = ll * math.exp(-letters) * (w.count(".") + 1) * letters ** -(bare * min(scale, 1.0) / 3)
-            goes_on = (r["goes_on"] + strange[lang, w]) / dot
+            ll = _ll(dot, dot + bare, dots / words, RATE) * scale
+            score = ll * math.exp(-letters) * (w.count(".") + 1) * letters ** -(bare * scale / 3)
+            goes_on = (r["goes_on"] + strange.get((lang, w), 0)) / dot
             if score >= ABBREVIATION and goes_on >= GOES_ON:
-                abbreviations.add(w)
-        if r["ordinal"] >= 2 and (lang, w) not in starters and r["ordinal"] * 1.0 >= 0.3 * max(r["capital"], 1):
-            ordinals.add(w)
+                learned[lang].abbreviations.add(w)
+        if r["ordinal"] >= 2 and w not in learned[lang].starters:
+            # a collocation with a number: more frequent after "5." than at the begin of a sentence explains
+            numbers, sure = max(totals.get((lang, "numbers"), 0), 1), max(totals.get((lang, "sure"), 0), 1)
+            p0, p1 = (r["start"] + 0.5) / (sure + 1), r["ordinal"] / numbers
+            if p1 > p0 and _ll(r["ordinal"], numbers, p0, p1) * scale > COLLOCATION:
+                learned[lang].ordinals.add(w)
+    # evidence of a language against what another has learned
+    known = {role: set().union(*(getattr(x, role) for x in learned.values())) for role in ROLES}
+    every = spark.createDataFrame([(w,) for w in sorted(set().union(*known.values()))], "word string")
+    for r in per.join(F.broadcast(every), "word", "left_semi").collect():
+        lang, w, x = r["lang"], r["word"], learned[r["lang"]]
+        for role, met in (("abbreviations", r["dot"] + r["bare"]), ("starters", r["capital"]), ("ordinals", r["capital"])):
+            if lang and lang != MIXED and w in known[role] and w not in getattr(x, role) and met >= EVIDENCE and 1e6 * met / max(totals.get((lang, "all"), 1), 1) >= 2:
+                x.denied.setdefault(role, set()).add(w)
     stats.unpersist()
-    if len(abbreviations) + len(starters) + len(ordinals) > MAX_LEARNED:
-        raise ValueError("learned lists too long to send to the workers")
-    return Rules(abbreviations, {w for _, w in starters}, ordinals)
-
-
-def split(df: DataFrame, key: str, text: str, rules: Rules) -> DataFrame:
-    """``key``, ``sent_no`` from 1, ``begin_at``, ``end_at`` of every sentence."""
+    # words that tell languages apart: how much commoner than in all languages together
+    rate: dict[str, dict[str, float]] = defaultdict(dict)
+    for r in rows:
+        if r["lang"] and r["lang"] != MIXED and r["bare"]:
+            rate[r["word"]][r["lang"]] = 1e6 * r["bare"] / max(totals.get((r["lang"], "all"), 1), 1)
+    n_langs = max(len({g for g, k in totals if k == "all" and g and g != MIXED}), 1)
+    profile = {}
+    for w, of in rate.items():
+        mean = sum(of.values()) / n_langs
+        telling = {g: math.log(x / mean) for g, x in of.items() if x >= PROFILE and math.log(x / mean) > TELLING}
+        if telling and w[:1].isalpha():
+            profile[w] = telling
+    return Rules({g: learned[g] for g in sorted(learned)}, profile)
+
+
+def split(df: DataFrame, key: str, text: str, rules: Rules, lang: str | None = None, name: Callable[[str | None], str | None] = lambda x: x) -> DataFrame:
+    """``key``, ``sent_no`` from 1, ``begin_at``, ``end_at`` of every sentence; ``lang`` names the column of the language as given."""
     kind = df.schema[key].dataType.simpleString()
+    shared = df.sparkSession.sparkContext.broadcast(rules)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rules = shared.value
         for b in batches:
             keys, no, begin, end = [], [], [], []
-            for k, t in zip(b[key], b["_text"]):
-                for i, (x, y) in enumerate(rules.spans(t) if t else []):
+            for k, t, g in zip(b[key], b["_text"], b["_lang"]):
+                for i, (x, y) in enumerate(rules.spans(t, name(g)) if t else []):
                     keys.append(k)
                     no.append(i + 1)
                     begin.append(x)
                     end.append(y)
             yield pd.DataFrame({key: pd.array(keys, dtype=b[key].dtype), "sent_no": pd.array(no, "int32"), "begin_at": pd.array(begin, "int32"), "end_at": pd.array(end, "int32")})
 
-    return df.select(F.col(key), F.col(text).cast("string").alias("_text")).mapInPandas(run, f"{key} {kind}, sent_no int, begin_at int, end_at int")
+    rows = df.select(F.col(key), F.col(text).cast("string").alias("_text"), (F.col(lang) if lang else F.lit(None)).cast("string").alias("_lang"))
+    return rows.mapInPandas(run, f"{key} {kind}, sent_no int, begin_at int, end_at int")

@@ -100,7 +100,7 @@ def test_bare_formula(raw):
 
 @pytest.fixture(scope="module")
 def rules():
-    return sentences.Rules({"т", "д", "рис", "проф", "al", "dr", "fig", "e.g", "etc", "डॉ"}, {"The", "В", "По", "It"}, {"Tag"})
+    return sentences.Rules({"": sentences.Lists({"т", "д", "рис", "проф", "al", "dr", "fig", "e.g", "etc", "डॉ"}, {"The", "В", "По", "It"}, {"Tag"})})
 
 
 @pytest.mark.parametrize(
@@ -137,6 +137,22 @@ def test_learning_and_split(spark):
     assert sentences.learn(sentences.statistics(df.where("block_id < 0"), "content")).abbreviations == set()
 
 
+def test_lists_by_language():
+    en = sentences.Lists({"fig"}, {"The"}, denied={"abbreviations": {"art"}, "ordinals": {"Tag"}})
+    r = sentences.Rules({"de": sentences.Lists({"art"}, {"Der"}, {"Tag"}), "en": en}, {"der": {"de": 3.0}, "the": {"en": 3.0}, "of": {"en": 2.0}})
+    assert [len(r.spans(x)) for x in ("Der Salze in Art. Von der Zelle.", "The flow of this art. Von is the name of it.")] == [1, 2]
+    assert len(r.spans("Am 3. Tag der Messung.")) == 1 and len(r.spans("In the cell of 3. Tag is the name.")) == 2
+    # without a telling word the label decides, without a label any language that knows the word
+    assert [len(r.spans("Xx art. Von yy.", g)) for g in ("de", "en", None)] == [1, 2, 1]
+
+
+def test_collocations_by_log_likelihood(spark):
+    text = "Das war am {0}. Mai in der Zelle. Der Strom stieg auf {0}. Dann fiel er wieder ab. Die Messung endet danach. Dann kam die Nacht sofort. Dann ging es weiter. Dann stieg er wieder. "
+    df = spark.createDataFrame([(i, "".join(text.format(i + k) for k in range(15)), "de") for i in range(20)], "block_id long, content string, language string")
+    r = sentences.learn(sentences.statistics(df, "content", "language"))
+    assert "Mai" in r.lists["de"].ordinals and "Dann" not in r.lists["de"].ordinals
+
+
 def _language_rows():
     base = {
         "en": "The limiting current of the membrane was measured in the cell and the flow is stable.", "de": "Der Grenzstrom der Membran wurde in der Zelle gemessen und die Strömung ist stabil.",
