@@ -9,9 +9,10 @@ from folioflow.functions.text import any_contains, strip
 
 # Substrings that no author's name has.
 NOT_AUTHORS = (
-    "университет university институт institute лаборатория кафедра department факультет faculty министерство профессор professor доцент доктор кандидат аспирант заведующий руководитель научный ректор декан "
-    "федеральное государственное бюджетное учреждение page figure table equation section оппонент рецензент"
-).split() + ["научный руководитель", "ведущая организация"]
+    "университет", "university", "институт", "institute", "лаборатория", "кафедра", "department", "факультет", "faculty", "министерство", "профессор", "professor", "доцент", "доктор",
+    "кандидат", "аспирант", "заведующий", "руководитель", "научный", "ректор", "декан", "федеральное", "государственное", "бюджетное", "учреждение", "page", "figure", "table", "equation",
+    "section", "оппонент", "рецензент", "научный руководитель", "ведущая организация",
+)
 THESIS = "на правах рукописи"
 
 
@@ -19,6 +20,7 @@ def _first(c: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), pattern, group), F.lit(""))
 
 
+# Patterns of names, years and titles below are fixed values.
 def author(c: Column) -> Column:
     """A name as surname and initials, from five ways of writing it."""
     x = F.regexp_replace(F.trim(F.regexp_replace(c, r"\s+", " ")), r"\d+$", "")
@@ -46,13 +48,17 @@ def authors(c: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(kept, author), lambda x: ~any_contains(F.lower(x), ("университет", "university", "институт", "institute"))))
 
 
+def _between(c: Column) -> Column:
+    return F.when(c.cast("int").between(1950, 2030), c)
+
+
 def year(text: Column, created: Column | None = None) -> Column:
     """The last plausible year of the opening, else of a DOI, an acceptance, a receipt, a copyright or the file."""
     head = F.substring(F.coalesce(text, F.lit("")), 1, 5000)
     years = F.filter(F.regexp_extract_all(head, F.lit(r"\b(19[0-9]{2}|20[0-2][0-9]|2030)\b"), F.lit(1)), lambda y: y.cast("int").between(1950, 2030))
-    ways = [F.try_element_at(years, F.lit(-1)), _first(head, r"10\.\d{4}/[^\s]+\.(\d{4})\."), _first(text, r"(?i)Accepted\s*:\s*\d{1,2}\s+[A-Za-z]+\s+(\d{4})"), _first(text, r"(?i)Received\s*:\s*\d{1,2}\s+[A-Za-z]+\s+(\d{4})"), _first(head, r"©\s*(\d{4})")]
+    ways = [F.try_element_at(years, F.lit(-1)), _first(head, r"10\.\d{4}/[^\s]+\.(\d{4})\."), _first(text, r"(?i)Accepted\s*:\s*\d{1,2}\s+[A-Za-z]+\s+(\d{4})"), _first(text, r"(?i)Received\s*:\s*\d{1,2}\s+[A-Za-z]+\s+(\d{4})"), _between(_first(head, r"©\s*(\d{4})"))]
     if created is not None:
-        ways.append(_first(created, r"(19[0-9]{2}|20[0-2][0-9])"))
+        ways.append(_between(_first(created, r"(19[0-9]{2}|20[0-2][0-9])")))
     return F.coalesce(*ways)
 
 
@@ -60,40 +66,68 @@ def lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), strip), lambda x: x != "")
 
 
+# Titles of files that say nothing, and words that no title's line has.
+NO_TITLES = ("на правах рукописи", "title", "untitled")
+NOT_TITLE = "(abstract|keywords|doi|received|revised|accepted)"
+
+
 def article_title(text: Column, meta: Column, source: Column) -> Column:
-    """Title of the file's metadata, of ``\\title{}``, the first line that may be one, or the file's name."""
-    line = F.filter(lines(text), lambda x: (F.length(x) > 20) & (F.length(x) < 200) & ~F.lower(x).rlike("^(abstract|аннотация|keywords|ключевые|doi|удк|http|received|accepted)"))
-    return F.coalesce(F.when(F.length(F.trim(meta)) > 5, F.trim(meta)), _first(text, r"\\title\{([^}]+)\}"), F.try_element_at(line, F.lit(1)), source)
+    """Title of the file's metadata, of ``\\title{}``, the first of 30 lines that may be one, or the file's name."""
+    given = F.regexp_replace(meta, r"\s+", " ")
+    given = F.when((F.length(meta) > 5) & ~F.lower(meta).isin(*NO_TITLES) & (F.length(given) > 10), given)
+    opening = F.transform(F.slice(F.split(F.coalesce(text, F.lit("")), "\n"), 1, 30), strip)
+    line = F.filter(opening, lambda x: (F.length(x) > 20) & (F.length(x) < 200) & ~x.rlike(f"(?iu){NOT_TITLE}"))
+    latex = F.coalesce(text, F.lit("")).rlike(r"\\title\{.*?\}")
+    return F.coalesce(given, F.when(latex, F.regexp_extract(text, r"\\title\{(.*?)\}", 1)), F.try_element_at(line, F.lit(1)), F.replace(source, F.lit("_"), F.lit(" ")))
 
 
-def thesis_author(text: Column) -> Column:
-    """The first full name or name with initials in the lines after the mark of a thesis."""
-    ls = lines(text)
+def _is_thesis(text: Column) -> Column:
+    return F.contains(F.lower(F.coalesce(text, F.lit(""))), F.lit(THESIS))
+
+
+def title(text: Column, meta: Column, source: Column) -> Column:
+    """A thesis's title where there is one, else an article's."""
+    return F.coalesce(F.when(_is_thesis(text), thesis_title(text)), article_title(text, meta, source))
+
+
+def all_authors(text: Column) -> Column:
+    """A thesis's author where there is one, else an article's authors."""
+    of_thesis = authors(F.array(thesis_author(text)))
+    return F.when(_is_thesis(text) & thesis_author(text).isNotNull(), of_thesis).otherwise(article_authors(text))
+
+
+def _after_mark(text: Column, n: int) -> Column:
+    """The ``n`` lines after the mark of a thesis, blank ones included."""
+    ls = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), strip)
     at = F.array_position(F.transform(ls, lambda x: F.contains(F.lower(x), F.lit(THESIS))), F.lit(True)).cast("int")
-    after = F.when(at > 0, F.slice(ls, at + 1, F.lit(14)))
-    return F.try_element_at(F.filter(after, lambda x: x.rlike(r"^[А-ЯЁ][а-яё]+ [А-ЯЁ][а-яё]+ [А-ЯЁ][а-яё]+$|^[А-ЯЁ][а-яё]+ [А-ЯЁ]\. ?[А-ЯЁ]\.$")), F.lit(1))
+    return F.when(at > 0, F.slice(ls, at + 1, F.lit(n)))
+
+
+def thesis_author(text: Column) -> Column:
+    """The first full name or name with initials in the 14 lines after the mark of a thesis."""
+    name, initials = "[А-ЯЁ][а-яё]+", r"[А-ЯЁ]\.(?:[А-ЯЁ]\.)?"
+    pattern = rf"^({name}\s+{name}\s+{name}|{name}\s+{initials}|{initials}\s+{name})$"
+    return F.try_element_at(F.filter(_after_mark(text, 14), lambda x: x.rlike(pattern)), F.lit(1))
 
 
 def thesis_title(text: Column) -> Column:
-    """Lines after the mark of a thesis, from its author to a stop line, as one title of more than 20 characters."""
-    ls = lines(text)
-    at = F.array_position(F.transform(ls, lambda x: F.contains(F.lower(x), F.lit(THESIS))), F.lit(True)).cast("int")
-    after = F.when(at > 0, F.slice(ls, at + 1, F.lit(29)))
-    state = F.struct(F.lit("").alias("t"), F.lit(False).alias("stop"))
-    folded = F.aggregate(
-        after, state,
-        lambda s, x: F.struct(
-            F.when(s.stop | s.stop.isNull() | ~(F.length(x) > 10), s.t).otherwise(F.trim(F.concat(s.t, F.lit(" "), x))).alias("t"),
-            (s.stop | ((s.t != "") & F.lower(x).rlike(r"специальность|диссертация|автореферат|научный руководитель|^\d{4}$|^\d\d\.\d\d\.\d\d"))).alias("stop"),
-        ),
-    )
-    return F.when(F.length(folded.t) > 20, folded.t)
+    """The lines after the mark of a thesis, without names, up to a stop line or a code, as one title of more than 20 characters."""
+    stop = r"(?iu)(диссертаци|автореферат|на соискание|ученой степени|специальность)|^\d{2}\.\d{2}\.\d{2}"
+    after = _after_mark(text, 29)
+    # a line that is a name goes before a stop is looked for, unless it holds a stop word itself
+    name = lambda x: x.rlike(r"^[А-ЯЁ][а-яё]+(\s+[А-ЯЁ][а-яё]+){1,2}$") & ~x.rlike(stop)
+    rows = F.filter(after, lambda x: (x != "") & ~name(x))
+    at = F.array_position(F.transform(rows, lambda x: x.rlike(stop)), F.lit(True)).cast("int")
+    kept = F.when(at > 0, F.slice(rows, F.lit(1), at - 1)).otherwise(rows)
+    whole = F.regexp_replace(F.regexp_replace(F.array_join(kept, " "), r"\s+", " "), r"^[ .;:\-]+|[ .;:\-]+$", "")
+    return F.when(F.length(whole) > 20, whole)
 
 
 def article_authors(text: Column) -> Column:
     """Names of a contribution statement, else names with initials of the opening."""
-    credit = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?is)credit authorship contribution statement(.*?)(?:declaration|acknowledg|references|$)", 1)
-    named = F.transform(F.regexp_extract_all(credit, F.lit(r"(?m)^\s*([A-ZА-ЯЁ][^:\n]{2,49}):"), F.lit(1)), lambda x: F.trim(x))
+    credit = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?is)CRediT authorship contribution statement\s*\n(.*?)(?:\n\n|\z)", 1)
+    parts = F.filter(F.split(credit, "\n"), lambda x: F.contains(x, F.lit(":")))
+    named = F.filter(F.transform(parts, lambda x: F.trim(F.split_part(x, F.lit(":"), F.lit(1)))), lambda x: (x != "") & valid_author(x))
     head = F.substring(F.coalesce(text, F.lit("")), 1, 3000)
-    typed = F.regexp_extract_all(head, F.lit(r"([A-ZА-ЯЁ]\. ?(?:[A-ZА-ЯЁ]\. ?)?[A-ZА-ЯЁ][a-zа-яё]+)"), F.lit(1))
+    typed = F.transform(F.regexp_extract_all(head, F.lit(r"([A-Z]\.(?:[A-Z]\.)?)\s+([A-Z][a-z]+)"), F.lit(0)), lambda x: F.regexp_replace(x, r"\s+", " "))
     return authors(F.when(F.size(named) > 0, named).otherwise(typed))

@@ -12,14 +12,17 @@ WS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\
 # Characters that are spelled otherwise, in order.
 CHARACTERS = (("\uf0b7", "-"), ("\ufeff", ""), ("\u200b", ""), ("\u00a0", " "), ("\uf020", " "), ("…", "..."), ("−", "-"), ("–", "-"), ("—", "-"), ("∙", "·"), ("⋅", "·"), ("§", ""), ("™", ""), ("®", ""))
 # Words that carry no meaning when formulas are linked.
-LINK_STOP = ("для", "при", "как", "или", "что", "это", "the", "and", "with", "from", "где", "между", "под", "над", "без", "также", "если", "его", "был", "for", "are", "this")
+LINK_STOP = (
+    "для", "при", "это", "как", "или", "что", "где", "также", "который", "equation", "formula", "model", "where", "with", "from", "this",
+    "формула", "уравнение", "модель", "глава", "стр", "страница",
+)
 # Substrings that make a question mathematical.
 MATH_TERMS = (
-    "уравнение equation формула formula нернста nernst планка planck пуассона poisson навье navier стокса stokes коэффициент coefficient концентрация concentration поток flux потенциал potential".split()
-    + ["плотность тока", "current density"]
-    + "диссоциация dissociation рекомбинация recombination k_d kd k_r kr k_w kw константа constant вода water ph водородный гидроксил гидроксида ион ion электродиализ electrodialysis мембрана membrane опз".split()
-    + ["область пространственного заряда", "space charge", "space-charge", "дебаев", "debye", "вах", "вольт-ампер", "current-voltage", "overlimiting current", "limiting current"]
-)
+    "уравнение", "equation", "формула", "formula", "нернста", "nernst", "планка", "planck", "пуассона", "poisson", "навье", "navier", "стокса", "stokes", "коэффициент", "coefficient",
+    "концентрация", "concentration", "поток", "flux", "потенциал", "potential", "плотность тока", "current density", "диссоциация", "dissociation", "рекомбинация", "recombination",
+    "k_d", "kd", "k_r", "kr", "k_w", "kw", "константа", "constant", "вода", "water", "ph", "водородный", "гидроксил", "гидроксида", "ион", "ion", "электродиализ", "electrodialysis",
+    "мембрана", "membrane", "опз", "область пространственного заряда", "space charge", "space-charge", "дебаев", "debye", "вах", "вольт-ампер", "current-voltage", "overlimiting current", "limiting current",
+)
 
 
 def strip(c: Column) -> Column:
@@ -78,7 +81,7 @@ def math_score(c: Column) -> Column:
 
 
 def page_of_context(c: Column) -> Column:
-    return F.nullif(F.regexp_extract(F.lower(F.coalesce(c, F.lit(""))), r"(стр\.?|страница|page|p\.)\s*(\d+)", 2), F.lit("")).try_cast("int")
+    return F.nullif(F.regexp_extract(F.lower(F.coalesce(c, F.lit(""))), r"(стр\.?|страница|page)\s*\.?\s*(\d+)", 2), F.lit("")).try_cast("int")
 
 
 def format_latex(c: Column) -> Column:
@@ -104,11 +107,12 @@ def title_flag(c: Column) -> Column:
 
 # Headings that stand alone, and words that make a short line a heading.
 HEADINGS = (
-    "Введение|INTRODUCTION|Аннотация|ABSTRACT|Реферат|Ключевые слова|KEYWORDS|Заключение|CONCLUSION|ВЫВОДЫ|Conclusions|Литература|Список литературы|REFERENCES|БИБЛИОГРАФИЧЕСКИЙ СПИСОК|"
-    "Результаты|RESULTS|Обсуждение|DISCUSSION|Методы|METHODS|Материалы и методы|Теоретическая часть|THEORETICAL|Математическая модель|MATHEMATICAL MODEL|Постановка задачи|Problem statement"
-).split("|")
+    "Введение", "INTRODUCTION", "Аннотация", "ABSTRACT", "Реферат", "Ключевые слова", "KEYWORDS", "Заключение", "CONCLUSION", "ВЫВОДЫ", "Conclusions", "Литература", "Список литературы", "REFERENCES",
+    "БИБЛИОГРАФИЧЕСКИЙ СПИСОК", "Результаты", "RESULTS", "Обсуждение", "DISCUSSION", "Методы", "METHODS", "Материалы и методы", "Теоретическая часть", "THEORETICAL", "Математическая модель", "MATHEMATICAL MODEL",
+    "Постановка задачи", "Problem statement",
+)
 TOPICS = ("модель", "уравнения", "электроконвекция", "результаты", "концентрация", "потенциал", "диффузионный слой", "model", "equations", "electroconvection", "results", "diffusion layer", "mathematical")
-REFERENCE_HEADINGS = ("литература", "список литературы", "references", "библиографический список", "bibliography")
+REFERENCE_HEADINGS = ("литература", "список литературы", "references", "библиографический список")
 
 
 def reference_heading(c: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,8 +12,11 @@ from pyspark.sql.window import Window
 
 from folioflow.functions.formulas import bind, chunk_garbage_flag, normalize, text_of, valid
 from folioflow.functions.text import filled, strip
+from folioflow.operators.blocks import cut_references
+from folioflow.operators.ordering import carried_last, cumulative
 from folioflow.options import Options
 from folioflow.schemas import FORMULA
+from folioflow.session import checkpoint
 
 #: A formula of a chunk.
 CHUNK_FORMULA = FORMULA.replace("variable_list:array<string>,", "")
@@ -91,14 +95,14 @@ def normalized_formulas(formulas: Column, latex: Column, page: Column, source: C
 
 
 def rendered(blocks: DataFrame) -> DataFrame:
-    """Blocks as chunks hold them: ``content`` and ``formulas`` of paragraphs, equations and formulas; other types go.
+    """Blocks as chunks hold them: ``content`` and ``formulas`` of paragraphs, equations and formulas, and section headings; other types go.
 
     Columns that a table of blocks lacks count as null.
     """
     has = lambda n, t="string": (F.col(n) if n in blocks.columns else F.lit(None)).cast(t)
     text = lambda n: F.nullif(strip(text_of(has(n))), F.lit(""))
     equation, bare = F.col("type") == "equation_block", F.col("type").isin("formula", "formula_candidate")
-    kept = blocks.where(equation | bare | F.col("type").isin("paragraph", "section", "abstract"))
+    kept = blocks.where(equation | bare | F.col("type").isin("paragraph", "section"))
     raw = F.when(equation, filled(text("latex"), text("normalized"))).when(bare, filled(text("latex"), text("normalized"), text("content")))
     rows = kept.withColumns({"_raw": raw, "_latex": F.when(equation, _latex(raw)).when(bare & valid(raw), _latex(raw))})
     context, said, meant, label = text("context_before"), text("description"), text("semantic_description"), text("label")
@@ -119,70 +123,79 @@ def rendered(blocks: DataFrame) -> DataFrame:
 
 def split_sentences(text: str, limit: int, overlap: int) -> list[str]:
     """Pieces of whole sentences up to ``limit``; each begins with the end of the one before."""
-    import re
-
     out, now = [], ""
-    for s in re.split(r"(?<=[.!?])\s+", text):
-        if now and len(now) + len(s) + 1 > limit:
+    for x in re.split(r"(?<=[.!?])\s+", text):
+        if now and len(now) + len(x) > limit:
             out.append(now)
-            now = (now[-overlap:] + " " + s).strip()
+            now = f"{now[max(0, len(now) - overlap) :]} {x}"
         else:
-            now = f"{now} {s}".strip()
+            now = f"{now} {x}".strip()
     return [*out, now] if now else out
 
 
 def pack(blocks: DataFrame, options: Options | None = None) -> DataFrame:
-    """(paper_id, section, n, chunk_id, content, pages, formulas) greedily packed up to the limit inside each section.
+    """(paper_id, part, section, n, chunk_id, content, pages, formulas) greedily packed up to the limit inside each section.
 
-    Pieces under the least size stay only if they carry formulas; the pieces of
-    a text over the limit carry all its formulas.
+    ``part`` numbers the sections of a document and ``n`` the chunks of a part.
+    Headings begin a part and are its name, not its text.  Pieces under the
+    least size stay only if they carry formulas; the pieces of a text over the
+    limit carry all its formulas.
 
-    The fold keeps state along a document, which windows can't; it runs over
-    the rows of a document as they arrive sorted in its partition, so only the
-    open chunk is held, never a whole document.
+    A section is the unit of work, so a document of any length is spread over
+    tasks; the fold streams over the sorted rows and holds the open chunk only.
     """
     o = options or Options()
+    names = ["paper_id", "part", "section", "n", "content", "pages", "formulas"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        paper = section = None
+        at = section = None
         parts: list[str] = []
         pages: list[int] = []
         formulas: dict[str, None] = {}
-        n = 0
+        size = n = 0
 
         def flush() -> list[tuple]:
-            nonlocal parts, pages, formulas, n
+            nonlocal parts, pages, formulas, size, n
             text = "\n\n".join(parts)
             made = []
-            says = f"[{','.join(formulas)}]"
             for piece in [text] if len(text) <= o.max_chunk else split_sentences(text, o.max_chunk, o.overlap):
+                piece = piece.strip()
                 if len(piece) >= o.min_chunk or formulas:
-                    made.append((paper, section, n, piece, list(dict.fromkeys(pages)), says))
+                    made.append((*at, section, n, piece, list(dict.fromkeys(pages)), f"[{','.join(formulas)}]"))
                     n += 1
-            parts, pages, formulas = [], [], {}
+            parts, pages, formulas, size = [], [], {}, 0
             return made
 
         rows: list[tuple] = []
         for b in batches:
-            for p, s, t, g, f in zip(b["paper_id"], b["section"], b["content"], b["page"], b["formulas"]):
-                if p != paper:
-                    rows += flush() if parts or formulas else []
-                    paper, section, n = p, s, 0
-                elif s != section or (parts and sum(map(len, parts)) + len(t) > o.max_chunk):
+            for p, k, s, t, g, f in zip(b["paper_id"], b["part"], b["section"], b["content"], b["page"], b["formulas"]):
+                t = t.strip()
+                if (p, k) != at:
                     rows += flush() if parts or formulas else []
-                    section = s
-                parts += [t] if t else []
+                    at, section, n = (p, k), s, 0
+                elif parts and size + len(t) > o.max_chunk:
+                    rows += flush()
+                if t:
+                    size += len(t) + (2 if parts else 0)
+                    parts.append(t)
                 formulas |= dict.fromkeys(f)
                 if g == g and g is not None:
                     pages.append(int(g))
-            yield pd.DataFrame(rows, columns=["paper_id", "section", "n", "content", "pages", "formulas"])
+            yield pd.DataFrame(rows, columns=names)
             rows = []
         if parts or formulas:
-            yield pd.DataFrame(flush(), columns=["paper_id", "section", "n", "content", "pages", "formulas"])
-
-    rows = rendered(blocks.where("paper_id IS NOT NULL")).where("content <> '' OR size(formulas) > 0")
-    rows = rows.select("paper_id", F.coalesce("section", F.lit("")).alias("section"), "content", "page", F.transform("formulas", lambda f: F.to_json(f)).alias("formulas"), "pos", "block_id")
-    ordered = rows.repartition("paper_id").sortWithinPartitions("paper_id", "pos", "block_id").select("paper_id", "section", "content", "page", "formulas")
-    made = ordered.mapInPandas(run, "paper_id string, section string, n int, content string, pages array<int>, formulas string")
+            yield pd.DataFrame(flush(), columns=names)
+
+    rows = blocks.where("paper_id IS NOT NULL")
+    rows = rows if o.include_references else cut_references(rows)
+    heading = F.col("type") == "section"
+    rows = cumulative(rows, "part", heading.cast("int")).withColumn("part", F.col("part").cast("int"))
+    # a heading stands first in its part and names it
+    rows = carried_last(rows, "section", F.when(heading, F.substring(text_of(F.col("content")), 1, 180)))
+    # written, so that the order is found once and the formulas are normalised in a plan of their own
+    rows = rendered(checkpoint(rows.where(~heading))).where("content <> '' OR size(formulas) > 0")
+    rows = rows.select("paper_id", "part", "section", "content", "page", F.transform("formulas", lambda f: F.to_json(f)).alias("formulas"), "pos", "block_id")
+    ordered = rows.repartition("paper_id", "part").sortWithinPartitions("paper_id", "part", "pos", "block_id").select("paper_id", "part", "section", "content", "page", "formulas")
+    made = ordered.mapInPandas(run, "paper_id string, part int, section string, n int, content string, pages array<int>, formulas string")
     made = made.withColumn("formulas", unique_formulas(F.from_json("formulas", f"array<{CHUNK_FORMULA}>")))
     return made.withColumn("chunk_id", chunk_id(F.col("paper_id"), F.col("content"), F.col("section"), F.col("pages")))

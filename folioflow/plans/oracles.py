@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from folioflow.functions.formulas import CLASSES, KEYWORDS, PHENOMENA, SYMBOLS
-from folioflow.functions.text import CHARACTERS, LINK_STOP, MATH_TERMS
+from folioflow.plans.values import (
+    ACRONYMS, ALIASES, CHARACTERS, CLASSES, GARBAGE, HEADINGS, KEYWORDS, LINK_STOP, MATH, MATH_TERMS, NOT_VARIABLES, PHENOMENA, REPAIRS, SOURCE_TRUST, SYMBOLS, TERM_STOP, TOPICS,
+)
 
 
 def _q(s: str) -> str:
@@ -82,16 +83,31 @@ SELECT block_id, s <> '' AND regexp_matches(s, '{_FRAG}') AS fragment,
   length(s) < 2 OR regexp_matches(s, '^\\d{{1,4}}$') OR {_WORDS.format("s", 2)} > 35 OR regexp_matches(s, '^(_|[.,;:]+|NaCl|KCl|CEM|AEM|EDL|SCR|DL|PD|PS)$') AS garbage,
   length(s) < 3 OR regexp_matches(s, '^(\\d+$|CEM_|AEM_|DL_|PS,$|PD$|NaCl$|KCl$|CatD$|NCatD$|RD$|_$|[.,;:]+$)') AS chunk_garbage FROM x""",
     "dedup_consecutive": f"""WITH {BLOCKS}, e AS (SELECT *, {_strip("coalesce(content, '')")} s, {_strip("coalesce(latex, '')")} l FROM b),
-k AS (SELECT * FROM e WHERE s <> '' OR ("type" IN {_FTYPES} AND l <> '')),
-g AS (SELECT block_id, {{'t': "type", 'c': left(coalesce(content, ''), 200), 'l': left(coalesce(latex, ''), 200), 'p': page}} sig, lag({{'t': "type", 'c': left(coalesce(content, ''), 200), 'l': left(coalesce(latex, ''), 200), 'p': page}}) OVER {_ORDER} prev FROM k)
+k AS (SELECT * FROM e WHERE s <> '' OR l <> ''),
+g AS (SELECT block_id, {{'t': "type", 'c': left(s, 200), 'l': left(l, 200), 'p': page}} sig, lag({{'t': "type", 'c': left(s, 200), 'l': left(l, 200), 'p': page}}) OVER {_ORDER} prev FROM k)
 SELECT block_id FROM g WHERE sig IS DISTINCT FROM prev""",
-    "section_forward_fill": f"""WITH {BLOCKS}, x AS (SELECT *, nullif(section, '') own FROM b)
-SELECT block_id, coalesce(own, last_value(CASE WHEN "type" = 'section' THEN coalesce(nullif(content, ''), own) ELSE own END IGNORE NULLS) OVER (PARTITION BY paper_id ORDER BY pos, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) section FROM x""",
-    "front_matter": f"""WITH {BLOCKS} SELECT block_id, coalesce(pos < min(CASE WHEN regexp_matches(lower({_strip("coalesce(content, '')")}), '^(введение|introduction)') THEN pos END) OVER (PARTITION BY paper_id), false) AS "front" FROM b""",
-    "merge_equations": f"""WITH {BLOCKS}, x AS (SELECT *, {_strip("coalesce(content, '')")} s FROM b), y AS (SELECT *, lag("type") OVER w pt, lag(s) OVER w ps, lead("type") OVER w nt, lead(s) OVER w ns FROM x WINDOW w AS {_ORDER})
-SELECT block_id, latex, coalesce(label, CASE WHEN nt = 'formula_label' THEN ns END) AS label, CASE WHEN pt = 'paragraph' THEN ps END AS context_before,
-  CASE WHEN nt = 'paragraph' AND regexp_matches(lower(ns), '^(где|where|здесь|here)') THEN ns END AS description FROM y WHERE "type" = 'formula'""",
-    "references_cutoff": f"""WITH {BLOCKS}, x AS (SELECT *, min(CASE WHEN "type" = 'section' AND lower({_strip("coalesce(content, '')")}) IN ('литература', 'список литературы', 'references', 'библиографический список', 'bibliography') THEN pos END) OVER (PARTITION BY paper_id) cut FROM b)
+    "empty_by_type": f"""WITH b AS (SELECT block_id, any_value("type") k, any_value(content) "content", any_value(latex) latex, any_value(len(formulas)) n FROM blocks GROUP BY block_id),
+x AS (SELECT block_id, k, {_strip("coalesce(content, '')")} <> '' c, {_strip("coalesce(latex, '')")} <> '' l, coalesce(n, 0) > 0 f FROM b)
+SELECT block_id FROM x WHERE CASE WHEN k IN ('equation_block', 'formula', 'formula_candidate') THEN c OR l OR f WHEN k = 'paragraph' THEN c OR f WHEN k = 'section' THEN c ELSE true END""",
+    "section_forward_fill": f"""WITH {BLOCKS}, x AS (SELECT *, nullif(section, '') own, CASE WHEN "type" = 'section' THEN coalesce(nullif(content, ''), nullif(section, ''), '') END named FROM b),
+y AS (SELECT *, nullif(last_value(named IGNORE NULLS) OVER (PARTITION BY paper_id ORDER BY pos, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') before FROM x)
+SELECT block_id, CASE WHEN "type" = 'section' THEN before ELSE coalesce(own, before) END section FROM y""",
+    "front_matter": f"""WITH {BLOCKS}, x AS (SELECT *, row_number() OVER {_ORDER} rn, regexp_matches(lower({_strip("coalesce(content, '')")}), '^(введение|introduction)') hit FROM b),
+y AS (SELECT *, coalesce(rn < min(CASE WHEN hit THEN rn END) OVER (PARTITION BY paper_id), false) f FROM x)
+SELECT block_id, f AS "front", CASE WHEN f THEN coalesce(nullif(section, ''), 'front_matter') ELSE section END section FROM y""",
+    "merge_equations": f"""WITH RECURSIVE {BLOCKS}, x AS (SELECT *, row_number() OVER {_ORDER} rn, "type" IN ('formula', 'formula_candidate', 'formula_fragment') f FROM b),
+y AS (SELECT *, lead("type") OVER w t1, lead("type", 2) OVER w t2, lead("type", 3) OVER w t3, lead(f) OVER w f1 FROM x WINDOW w AS (PARTITION BY paper_id ORDER BY rn)),
+z AS (SELECT *, CASE WHEN "type" = 'paragraph' AND f1 AND t2 = 'formula_label' THEN CASE WHEN t3 = 'paragraph' THEN 4 ELSE 3 END WHEN "type" = 'paragraph' AND f1 THEN 2 ELSE 1 END step FROM y),
+walk AS (SELECT paper_id, rn, step FROM z WHERE rn = 1 UNION ALL SELECT z.paper_id, z.rn, z.step FROM walk JOIN z ON z.paper_id IS NOT DISTINCT FROM walk.paper_id AND z.rn = walk.rn + walk.step),
+m AS (SELECT p.*, k.step FROM walk k JOIN z p ON p.paper_id IS NOT DISTINCT FROM k.paper_id AND p.rn = k.rn),
+r AS (SELECT m.step n, m.content lead_text, m.section lead_section, coalesce(f.block_id, m.block_id) block_id, coalesce(f."type", m."type") k, coalesce(f.latex, CASE WHEN f.block_id IS NULL THEN m.latex END) latex, coalesce(f.content, CASE WHEN f.block_id IS NULL THEN m.content END) "content",
+    CASE WHEN f.block_id IS NULL THEN m.label ELSE f.label END label, CASE WHEN f.block_id IS NULL THEN m.section ELSE f.section END section, l.content label_text, d.content after_text
+  FROM m LEFT JOIN z f ON m.step > 1 AND f.paper_id IS NOT DISTINCT FROM m.paper_id AND f.rn = m.rn + 1 LEFT JOIN z l ON m.step > 2 AND l.paper_id IS NOT DISTINCT FROM m.paper_id AND l.rn = m.rn + 2 LEFT JOIN z d ON m.step > 3 AND d.paper_id IS NOT DISTINCT FROM m.paper_id AND d.rn = m.rn + 3),
+u AS (SELECT *, k IN ('formula', 'formula_candidate', 'formula_fragment') made FROM r)
+SELECT block_id, CASE WHEN made THEN 'equation_block' ELSE k END "type", CASE WHEN made THEN coalesce(nullif(latex, ''), nullif(content, '')) ELSE latex END latex, CASE WHEN made AND n > 2 THEN coalesce(label_text, '') ELSE label END label,
+  CASE WHEN made THEN coalesce(nullif(section, ''), CASE WHEN n > 1 THEN lead_section END) ELSE section END section, CASE WHEN made THEN CASE WHEN n > 1 THEN coalesce(lead_text, '') ELSE '' END END context_before,
+  CASE WHEN made THEN CASE WHEN n > 3 THEN coalesce(after_text, '') ELSE '' END END description, CASE WHEN made THEN CASE WHEN n > 1 THEN left(coalesce(lead_text, ''), 300) ELSE '' END END semantic_description FROM u""",
+    "references_cutoff": f"""WITH {BLOCKS}, x AS (SELECT *, min(CASE WHEN "type" = 'section' AND lower({_strip("coalesce(content, '')")}) IN ('литература', 'список литературы', 'references', 'библиографический список') THEN pos END) OVER (PARTITION BY paper_id) cut FROM b)
 SELECT block_id FROM x WHERE cut IS NULL OR pos < cut""",
     "chunk_ids": f"""WITH {CHUNKS} SELECT chunk_id, coalesce(citation.paper_id, 'unknown') || '_' || left(md5(coalesce(nullif(coalesce(citation.paper_id, 'unknown'), ''), 'unknown') || '|' || coalesce(section, '') || '|' || coalesce(array_to_string(pages, ','), '') || '|' || left(coalesce(content, ''), 500)), 8) made_id FROM c""",
     "context_windows": f"""WITH {CHUNKS} SELECT chunk_id, left(coalesce(lag(content) OVER w, ''), 500) "prev", left(coalesce(lead(content) OVER w, ''), 500) "next" FROM c WINDOW w AS (PARTITION BY source ORDER BY chunk_id)""",
@@ -101,10 +117,10 @@ SELECT id, round(CASE WHEN length(s) < 3 THEN 0.0 ELSE greatest(0.0, least(1.0,
   + CASE WHEN contains(s, chr(92)) THEN 0.2 ELSE 0 END + CASE WHEN {_any("l", KEYWORDS)} THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(s, '{_SYM}') THEN 0.2 ELSE 0 END
   - CASE WHEN {_WORDS.format("s", 3)} > 8 THEN 0.35 ELSE 0 END - CASE WHEN length(s) > 250 THEN 0.2 ELSE 0 END - CASE WHEN regexp_matches(l, '^(рис\\.|рисунок|figure|таблица|table)') THEN 0.5 ELSE 0 END)) END::DOUBLE, 6) score FROM x""",
     "enrich_class": "SELECT id, CASE " + " ".join(f"WHEN {_any('t', k)}{' AND NOT contains(t, ' + _q('нестационар') + ')' if n == '1D_stationary' else ''} THEN {_q(n)}" for k, n in CLASSES) + f" ELSE 'general' END model_class FROM (SELECT id, {_KB_TEXT} t FROM formula_kb)",
-    "enrich_phenomena": "SELECT id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_any('t', k.split('|'))} THEN {_q(n)} END" for n, k in PHENOMENA) + f"], lambda x: x IS NOT NULL), ',') phenomena FROM (SELECT id, {_KB_TEXT} t FROM formula_kb)",
+    "enrich_phenomena": "SELECT id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_any('t', k)} THEN {_q(n)} END" for n, k in PHENOMENA) + f"], lambda x: x IS NOT NULL), ',') phenomena FROM (SELECT id, {_KB_TEXT} t FROM formula_kb)",
     "link_tokens": f"""SELECT id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all({_LINK.format("concat_ws(' ', description, latex, context)")}, '[a-zа-я0-9]+'), lambda t: length(t) >= 3 AND t NOT IN ({", ".join(map(_q, LINK_STOP))})))), ' ') tokens FROM formula_kb""",
     "format_latex": f"""WITH {CHUNKS} SELECT chunk_id, regexp_replace(regexp_replace(content, '(?s)\\\\\\[(.*?)\\\\\\]', '$$\\1$$', 'g'), '(?s)\\\\\\((.*?)\\\\\\)', '$\\1$', 'g') shown FROM c WHERE content IS NOT NULL""",
-    "page_from_context": f"""WITH {BLOCKS}, x AS (SELECT block_id, try_cast(nullif(regexp_extract(lower(content), '(стр\\.?|страница|page|p\\.)\\s*(\\d+)', 2), '') AS INT) page_named FROM b WHERE content IS NOT NULL) SELECT * FROM x WHERE page_named IS NOT NULL""",
+    "page_from_context": f"""WITH {BLOCKS}, x AS (SELECT block_id, try_cast(nullif(regexp_extract(lower(content), '(стр\\.?|страница|page)\\s*\\.?\\s*(\\d+)', 2), '') AS INT) page_named FROM b WHERE content IS NOT NULL) SELECT * FROM x WHERE page_named IS NOT NULL""",
     "citation_normalize": f"""WITH {CHUNKS} SELECT chunk_id, coalesce(nullif(citation.paper_id, ''), nullif(source, '')) paper, try_cast(regexp_extract(coalesce(citation.year, ''), '(\\d{{4}})', 1) AS INT) AS "year", coalesce(nullif(citation.doi, ''), nullif(citation.original_doi, '')) doi FROM c""",
     "kb_lookup": """SELECT id, number, latex FROM formula_kb WHERE id = 'kb_001' UNION ALL (SELECT id, number, latex FROM formula_kb WHERE number = '(1.2)' ORDER BY id LIMIT 1)""",
     "year_extract": r"""WITH x AS (SELECT doc_id, coalesce("text", '') t FROM documents), y AS (SELECT doc_id, t, list_filter(regexp_extract_all(left(t, 5000), '\b(19[0-9]{2}|20[0-2][0-9]|2030)\b', 1), lambda z: CAST(z AS INT) BETWEEN 1950 AND 2030) ys FROM x)
@@ -122,9 +138,6 @@ SELECT qid, id, score, CAST("rank" AS INT) "rank" FROM (SELECT *, row_number() O
 ORACLES["hybrid_weighted"] = f"""WITH {_LISTS}, u AS (SELECT coalesce(la.qid, lb.qid) qid, coalesce(la.id, lb.id) id, round(0.6::DOUBLE / coalesce(la.r, 32) + 0.4::DOUBLE / coalesce(lb.r, 32), 6) score FROM la FULL JOIN lb ON la.qid = lb.qid AND la.id = lb.id)
 SELECT qid, id, score, CAST("rank" AS INT) "rank" FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) "rank" FROM u) WHERE "rank" <= 10"""
 
-from folioflow.functions.formulas import ACRONYMS, ALIASES, GARBAGE, MATH, NOT_VARIABLES, REPAIRS, SOURCE_TRUST, TERM_STOP  # noqa: E402
-from folioflow.functions.text import HEADINGS, TOPICS  # noqa: E402
-
 
 def _re(s: str) -> str:
     return _q(s)
@@ -151,7 +164,7 @@ _ALIAS = "list_sort(list_distinct(flatten([" + ", ".join("CASE WHEN " + _any("t"
 def _alias(english: bool) -> str:
     x = _ALIAS
     for i, (_, ru, en) in enumerate(ALIASES):
-        x = x.replace(f"@{i}", ", ".join(map(_q, (en if english else ru).split("|"))))
+        x = x.replace(f"@{i}", ", ".join(map(_q, en if english else ru)))
     return x
 
 
@@ -165,11 +178,26 @@ _TITLE = f"""(length(s) > 0 AND length(s) <= 220 AND (regexp_matches(s, {_re("(?
   OR regexp_matches(s, {_re(r"^(Глава\s+\d+\.?\s+.+|\d+\.\d+\.\d+\s+[A-ZА-ЯЁ].+|\d+\.\d+\s+[A-ZА-ЯЁ].+|\d+\.\s+[A-ZА-ЯЁ].+|\d+\s+[A-ZА-ЯЁ][^.!?]{5,180}$)")})
   OR (length(s) BETWEEN 8 AND 120 AND NOT ends_with(s, '.') AND regexp_matches(s, '^[A-ZА-ЯЁ]') AND len(regexp_extract_all(s, '[A-Za-zА-Яа-яЁё0-9_]+')) <= 12 AND {_any("lower(s)", TOPICS)})))"""
 ORACLES["section_title_flag"] = f"""WITH {BLOCKS}, x AS (SELECT block_id, {_strip("coalesce(content, '')")} s FROM b) SELECT block_id, {_TITLE} AS is_title FROM x"""
-ORACLES["section_detect"] = f"""WITH {BLOCKS}, x AS (SELECT *, {_strip("coalesce(content, '')")} s FROM b), y AS (SELECT *, CASE WHEN "type" IN {_FTYPES} THEN "type" WHEN {_TITLE} THEN 'section' ELSE 'paragraph' END k FROM x)
-SELECT block_id, k AS "type", last_value(CASE WHEN k = 'section' THEN s END IGNORE NULLS) OVER (PARTITION BY paper_id ORDER BY pos, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) section FROM y"""
-ORACLES["title_extract"] = f"""WITH x AS (SELECT doc_id, coalesce("text", '') t, trim(title) ti, source, list_filter(list_filter(list_transform(string_split(coalesce("text", ''), chr(10)), lambda z: {_strip("z")}), lambda z: z <> ''),
-  lambda z: length(z) > 20 AND length(z) < 200 AND NOT regexp_matches(lower(z), '^(abstract|аннотация|keywords|ключевые|doi|удк|http|received|accepted)')) ls FROM documents)
-SELECT doc_id, coalesce(CASE WHEN length(ti) > 5 THEN ti END, nullif(regexp_extract(t, '\\\\title\\{{([^}}]+)\\}}', 1), ''), ls[1], source) title_found FROM x"""
+ORACLES["section_detect"] = f"""WITH {BLOCKS}, x AS (SELECT *, {_strip("coalesce(content, '')")} s FROM b), y AS (SELECT *, CASE WHEN "type" IN {_FTYPES} THEN "type" WHEN {_TITLE} THEN 'section' ELSE 'paragraph' END k FROM x WHERE "type" IN {_FTYPES} OR s <> ''),
+z AS (SELECT *, last_value(CASE WHEN k = 'section' THEN left(s, 180) END IGNORE NULLS) OVER (PARTITION BY paper_id ORDER BY pos, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) before FROM y)
+SELECT block_id, k AS "type", CASE WHEN k = 'section' THEN left(s, 180) ELSE coalesce(nullif(section, ''), before) END section FROM z"""
+_LINES = f"list_transform(list_slice(string_split(t, chr(10)), 1, 30), lambda z: {_strip('z')})"
+_ARTICLE = f"""coalesce(CASE WHEN length(title) > 5 AND lower(title) NOT IN ('на правах рукописи', 'title', 'untitled') AND length(regexp_replace(title, '\\s+', ' ', 'g')) > 10 THEN regexp_replace(title, '\\s+', ' ', 'g') END,
+  CASE WHEN regexp_matches(t, '\\\\title\\{{.*?\\}}') THEN regexp_extract(t, '\\\\title\\{{(.*?)\\}}', 1) END,
+  list_filter({_LINES}, lambda z: length(z) > 20 AND length(z) < 200 AND NOT regexp_matches(z, '(?i)abstract|keywords|doi|received|revised|accepted'))[1], replace(source, '_', ' '))"""
+ORACLES["title_extract"] = f"""SELECT doc_id, {_ARTICLE} title_found FROM (SELECT doc_id, coalesce("text", '') t, title, source FROM documents)"""
+_HEAD = r"[А-ЯЁA-Z][^.!?]{10,120}"
+_SPLITS = [rf"(?s)^({x}){WS}+(.+)$".replace(r"\s", WS) for x in (rf"Глава\s+\d+\.?\s+{_HEAD}", rf"\d+\.\d+\.\d+\s+{_HEAD}", rf"\d+\.\d+\s+{_HEAD}", rf"\d+\.\s+{_HEAD}")]
+_CASES = lambda g: "CASE " + " ".join(f"""WHEN "type" = 'paragraph' AND {_strip(f"regexp_extract(content, {_q(p)}, 2)")} <> '' AND length({_strip(f"regexp_extract(content, {_q(p)}, 1)")}) < 160 THEN {_strip(f"regexp_extract(content, {_q(p)}, {g})")}""" for p in _SPLITS) + " END"
+ORACLES["split_embedded_sections"] = f"""WITH {BLOCKS}, x AS (SELECT *, {_CASES(1)} t, {_CASES(2)} r FROM b WHERE content IS NOT NULL)
+SELECT block_id, CAST(0 AS INT) sub, CASE WHEN t IS NULL THEN "type" ELSE 'section' END "type", coalesce(t, content) "content", coalesce(t, section) section FROM x UNION ALL SELECT block_id, 1, 'paragraph', r, t FROM x WHERE t IS NOT NULL"""
+ORACLES["merge_paragraphs"] = f"""WITH {BLOCKS}, e AS (SELECT *, {_strip("coalesce(content, '')")} s FROM b WHERE {_strip("coalesce(content, '')")} <> '' OR {_strip("coalesce(latex, '')")} <> ''),
+k AS (SELECT *, CASE WHEN "type" = 'paragraph' AND s <> '' AND regexp_matches(s, '{_FRAG}') THEN 'formula_fragment' ELSE "type" END k FROM e WHERE "type" IN ('paragraph', 'section') OR "type" IN {_FTYPES}),
+p AS (SELECT *, lag(s) OVER w ps, lag(k) OVER w pk FROM k WINDOW w AS {_ORDER}),
+j AS (SELECT *, CASE WHEN k = 'paragraph' AND pk = 'paragraph' AND s <> '' AND ps <> '' AND ((lower(left(s, 1)) = left(s, 1) AND upper(left(s, 1)) <> left(s, 1)) OR regexp_matches(ps, '(,|;|:|и|или)$')
+  OR (NOT regexp_matches(ps, '[.!?:;]$') AND len(list_filter(string_split_regex(s, '{WS}+'), lambda z: z <> '')) > 3)) THEN 0 ELSE 1 END new FROM p),
+r AS (SELECT *, sum(new) OVER (PARTITION BY paper_id ORDER BY pos, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) run FROM j)
+SELECT paper_id, min(pos) pos, arg_min(k, (pos, block_id)) "type", string_agg(s, ' ' ORDER BY pos, block_id) "content", arg_min(section, (pos, block_id)) FILTER (WHERE nullif(section, '') IS NOT NULL) section, count(*) n FROM r GROUP BY paper_id, run"""
 ORACLES["dual_index_fused"] = f"""WITH v AS (SELECT vec_id, embedding, label FROM embeddings WHERE embedding IS NOT NULL), q AS (SELECT vec_id qid, embedding qe, coalesce(title, text, '') query FROM v LEFT JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 0),
 w AS (SELECT qid, qe, round(0.7 - 0.5 * m, 6) wt, round(0.3 + 0.5 * m, 6) wf FROM (SELECT qid, qe, {_math("query")} m FROM q)),
 s AS (SELECT qid, vec_id, wt, wf, CASE WHEN label % 2 = 0 THEN 'text' ELSE 'formula' END side, round(list_inner_product(CAST(qe AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) raw FROM w, v),

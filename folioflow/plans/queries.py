@@ -180,13 +180,17 @@ def page_from_context(s, d):
 
 
 def split_embedded_sections(s, d):
-    return blocks.split_sections(_blocks(s, d).where("content IS NOT NULL")).select("block_id", "sub", "type", "content")
+    return blocks.split_sections(_blocks(s, d).where("content IS NOT NULL")).select("block_id", "sub", "type", "content", "section")
 
 
 def dedup_consecutive(s, d):
     return blocks.drop_repeated(blocks.drop_empty(_blocks(s, d))).select("block_id")
 
 
+def empty_by_type(s, d):
+    return blocks.drop_empty_by_type(_blocks(s, d, "formulas")).select("block_id")
+
+
 def section_detect(s, d):
     return blocks.detect_sections(_blocks(s, d)).select("block_id", "type", "section")
 
@@ -196,15 +200,15 @@ def section_forward_fill(s, d):
 
 
 def front_matter(s, d):
-    return blocks.front_matter(_blocks(s, d)).select("block_id", "front")
+    return blocks.front_matter(_blocks(s, d)).select("block_id", "front", "section")
 
 
 def merge_paragraphs(s, d):
-    return blocks.merge_paragraphs(_blocks(s, d)).select("paper_id", "pos", "type", "content", "n")
+    return blocks.merge_paragraphs(_blocks(s, d)).select("paper_id", "pos", "type", "content", "section", "n")
 
 
 def merge_equations(s, d):
-    return blocks.merge_equations(_blocks(s, d)).select("block_id", "latex", "label", "context_before", "description")
+    return blocks.merge_equations(_blocks(s, d)).select("block_id", "type", "latex", "label", "section", "context_before", "description", "semantic_description")
 
 
 def references_cutoff(s, d):
@@ -230,8 +234,15 @@ def search_text(s, d):
 
 
 def chunk_pack(s, d):
-    b = blocks.cut_references(blocks.forward_fill(blocks.cleaned(_blocks(s, d, "source", "formulas"))))
-    return chunking.pack(b).select("chunk_id", "paper_id", "section", "n", "content", "pages", "formulas")
+    return chunking.pack(blocks.cleaned(_blocks(s, d, "source", "formulas"))).select("chunk_id", "paper_id", "part", "section", "n", "content", "pages", "formulas")
+
+
+def clean_chain(s, d):
+    return blocks.clean_blocks(_blocks(s, d)).select("paper_id", "pos", "block_id", "type", "content", "section", "n")
+
+
+def normalize_chain(s, d):
+    return blocks.normalize_blocks(_blocks(s, d)).select("block_id", "type", "latex", "section")
 
 
 # ------------------------------------------------------------ formulas
@@ -354,6 +365,14 @@ def title_extract(s, d):
     return _docs(s, d).select("doc_id", md.article_title(F.coalesce("text", F.lit("")), F.col("title"), F.col("source")).alias("title_found"))
 
 
+def title_smart(s, d):
+    return _docs(s, d).select("doc_id", md.title(F.coalesce("text", F.lit("")), F.col("title"), F.col("source")).alias("title_found"))
+
+
+def all_authors(s, d):
+    return _docs(s, d).select("doc_id", F.array_join(md.all_authors(F.col("text")), "; ").alias("authors"))
+
+
 def article_authors(s, d):
     return _docs(s, d).select("doc_id", F.array_join(md.article_authors(F.col("text")), "; ").alias("authors"))
 

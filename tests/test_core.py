@@ -97,8 +97,52 @@ def test_blocks(spark):
     assert [r["content"] for r in blocks.merge_paragraphs(b).orderBy("pos").collect()][0] == "Ток растёт при росте потенциала."
     assert blocks.drop_repeated(b).count() == 5 and blocks.cut_references(b).count() == 4
     assert blocks.forward_fill(b).where("section = 'Литература'").count() == 2
-    s = blocks.split_sections(_blocks(spark, [("paragraph", "2.1 Постановка общей задачи. Ток растёт.")])).orderBy("sub").collect()
-    assert [r["type"] for r in s] == ["section", "paragraph"]
+    s = blocks.split_sections(_blocks(spark, [("paragraph", "2.1 Постановка общей задачи переноса\nТок растёт.")])).orderBy("sub").collect()
+    assert [(r["type"], r["content"]) for r in s] == [("section", "2.1 Постановка общей задачи переноса\nТок"), ("paragraph", "растёт.")]
+    d = blocks.detect_sections(_blocks(spark, [("paragraph", "Введение"), ("formula", None), ("paragraph", " "), ("table", "x")])).orderBy("pos").collect()
+    assert [(r["type"], r["section"]) for r in d] == [("section", "Введение"), ("formula", "Введение"), ("paragraph", "Введение")]
+    m = blocks.merge_paragraphs(_blocks(spark, [("paragraph", "Ток и"), ("table", "x"), ("paragraph", "Ещё"), ("paragraph", "OH-"), ("paragraph", "конец.")])).orderBy("pos").collect()
+    assert [(r["type"], r["content"]) for r in m] == [("paragraph", "Ток и Ещё"), ("formula_fragment", "OH-"), ("paragraph", "конец.")]
+
+
+@pytest.mark.parametrize("span", [4096, 2])
+def test_equations(spark, monkeypatch, span):
+    from folioflow.operators import ordering
+
+    monkeypatch.setattr(ordering, "SPAN", max(span, 4))
+    # paragraphs along a chain explain and introduce in turn; a formula without a paragraph stands alone
+    kinds = ["paragraph", "formula", "formula_label", "paragraph", "formula", "formula_label", "paragraph", "formula_candidate", "formula_label", "paragraph", "section", "paragraph", "formula", "formula", "equation_block", "paragraph"]
+    got = {r["pos"]: (r["type"], r["label"], r["context_before"], r["description"]) for r in blocks.merge_equations(_blocks(spark, [(k, f"t{i}") for i, k in enumerate(kinds)])).collect()}
+    assert got == {
+        1: ("equation_block", "t2", "t0", "t3"), 4: ("equation_block", None, "", ""), 5: ("formula_label", None, None, None), 7: ("equation_block", "t8", "t6", "t9"), 10: ("section", None, None, None),
+        12: ("equation_block", None, "t11", ""), 13: ("equation_block", None, "", ""), 14: ("equation_block", None, None, None), 15: ("paragraph", None, None, None),
+    }
+
+
+def test_order_in_buckets(spark, monkeypatch):
+    from folioflow.operators import ordering
+
+    rng = random.Random(6)
+    rows = [(f"p{rng.randrange(3)}", rng.randrange(40), i, rng.choice([None, "a", "b"])) for i in range(120)]
+    df = spark.createDataFrame(rows, "paper_id string, pos int, block_id int, v string")
+    want, n, last = {}, {}, {}
+    for p, _, i, v in sorted(rows, key=lambda r: r[:3]):
+        before = last.get((p, "id"))
+        n[p] = n.get(p, 0) + 1
+        last[p] = v or last.get(p)
+        last[p, "id"] = i
+        want[i] = (n[p], last[p], before)
+    monkeypatch.setattr(ordering, "SPAN", 5)
+    out = ordering.beside(ordering.carried_last(ordering.indexed(df), "last", F.col("v")), {"before": F.lag("block_id").over(ordering.nearby())}, 2)
+    assert {r["block_id"]: (r["rn"], r["last"], r["before"]) for r in out.collect()} == want
+
+
+def test_chains(spark):
+    b = _blocks(spark, [("paragraph", "Введение"), ("paragraph", "Ток растёт и"), ("paragraph", "падает."), ("formula", None), ("paragraph", "1. Математическая модель задачи Ток"), ("paragraph", "1. Математическая модель задачи Ток")]).withColumn("latex", F.when(F.col("pos") == 3, "x = 1"))
+    got = [(r["type"], r["content"], r["section"]) for r in blocks.clean_blocks(b).orderBy("pos").collect()]
+    name = "1. Математическая модель задачи"
+    assert got == [("section", "Введение", "Введение"), ("paragraph", "Ток растёт и падает.", "Введение"), ("formula", "", "Введение"), ("section", name, name), ("paragraph", "Ток", name), ("section", name, name), ("paragraph", "Ток", name)]
+    assert blocks.normalize_blocks(b).where("type = 'equation_block'").count() == 1
     lay = spark.createDataFrame([("p", 1, 0, "a", 0.0, 0.0, 9.0, 10.0), ("p", 1, 1, "b", 5.0, 12.0, 9.0, 20.0), ("p", 1, 2, "c", 5.0, 90.0, 9.0, 99.0)], "paper_id string, page int, pos int, text string, x0 double, y0 double, x1 double, y1 double")
     assert [r["text"] for r in blocks.merge_layout(lay).orderBy("pos").collect()] == ["a b", "c"]
 
@@ -122,9 +166,10 @@ def test_pack_formulas(spark):
         (8, "paragraph", None, None, None, "D", [f("b", "k_d = 4"), f("b", "k_d = 4")]), (9, "equation_block", None, "x", None, "E", [f("e", None)]), (10, "paragraph", "Ток. " * 400, None, None, "F", [f("g", "pH = 7")]),
     ]
     schema = f"paper_id string, pos int, block_id int, type string, content string, latex string, page int, section string, label string, formulas array<{chunking.FORMULA}>"
-    df = spark.createDataFrame([("p", i, i, t, c, x, 1, sec, lab, fs) for i, t, c, x, lab, sec, fs in rows], schema)
+    heads = {sec: i for i, *_, sec, _ in reversed(rows)}
+    df = spark.createDataFrame([("p", 2 * i + 1, i, t, c, x, 1, sec, lab, fs) for i, t, c, x, lab, sec, fs in rows] + [("p", 2 * i, 100 + i, "section", sec, None, 1, None, None, []) for sec, i in heads.items()], schema)
     got: dict = {}
-    for r in chunking.pack(df).orderBy("n").collect():
+    for r in chunking.pack(df).orderBy("part", "n").collect():
         got.setdefault(r["section"], []).append((r["content"], [(x["id"], x["number"], x["latex"]) for x in r["formulas"]]))
     assert {k: got[k] for k in "ACD"} == {
         "A": [("Короткий.", [("a", None, r"\partial C = 1")])], "D": [("", [("b", None, "k_d = 4")])],
