@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioflow.functions import formulas as fx
-from folioflow.functions.text import any_contains, link_text, link_tokens, page_of_context
+from folioflow.functions.text import WS, link_text, link_tokens, page_of_context
 
 
 def upsert(formulas: DataFrame) -> DataFrame:
@@ -25,21 +25,22 @@ def upsert(formulas: DataFrame) -> DataFrame:
 
 
 def text_score(query: Column, kb: dict[str, Column], strict: bool = False) -> Column:
-    """Number 10, a description word 5, a context word 3, each variable 2, latex 4.
+    """Number 10, a word of the description 5, a word of the context 3, each variable named or explained 2, latex 4.
 
-    A question without Latin letters leaves an empty pattern that any latex
+    A question without Latin letters and digits leaves an empty pattern that any latex
     contains; ``strict`` keeps that from counting.
     """
     q = F.lower(query)
-    bare = F.regexp_replace(q, r"[^a-z0-9_\\{}^=+\-*/]", "")
-    words = lambda c: F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+")
-    hit = lambda c: F.exists(words(c), lambda w: (F.length(w) > 3) & F.contains(q, w))
-    latex = F.contains(F.regexp_replace(F.lower(F.coalesce(kb["latex"], F.lit(""))), r"\s+", ""), bare) & (F.coalesce(kb["latex"], F.lit("")) != "")
+    bare = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]", "")
+    words = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), f"{WS}+"), lambda w: w != "")
+    hit = lambda c: F.exists(words(c), lambda w: F.contains(q, w))
+    latex = (F.coalesce(kb["latex"], F.lit("")) != "") & F.contains(bare(kb["latex"]), bare(query))
     if strict:
-        latex = latex & (bare != "")
+        latex = latex & (bare(query) != "")
     number = (F.coalesce(kb["number"], F.lit("")) != "") & F.contains(q, F.lower(kb["number"]))
-    variables = F.size(F.filter(F.map_keys(F.coalesce(kb["variables"], F.create_map().cast("map<string,string>"))), lambda v: F.contains(q, F.lower(v))))
-    parts = [F.when(number, 10).otherwise(0), F.when(hit(kb["description"]), 5).otherwise(0), F.when(hit(kb["context"]), 3).otherwise(0), variables * 2, F.when(latex, 4).otherwise(0)]
+    entries = F.map_entries(F.coalesce(kb["variables"], F.create_map().cast("map<string,string>")))
+    named = F.size(F.filter(entries, lambda e: F.contains(q, F.lower(e.key)) | F.contains(q, F.lower(F.coalesce(e.value, F.lit(""))))))
+    parts = [F.when(number, 10).otherwise(0), F.when(hit(kb["description"]), 5).otherwise(0), F.when(hit(kb["context"]), 3).otherwise(0), named * 2, F.when(latex, 4).otherwise(0)]
     return reduce(lambda a, b: a + b, parts)
 
 
@@ -59,6 +60,22 @@ def small(kb: DataFrame) -> DataFrame:
     return F.broadcast(kb) if kb.limit(MAX_KB_ROWS + 1).count() <= MAX_KB_ROWS else kb
 
 
+def similar(kb: DataFrame, questions: DataFrame, k: int, least: float = 0.0) -> DataFrame:
+    """(qid, id, score, rank): formulas (id, vec) most alike to ``questions (qid, vec)`` by cosine, at least ``least``."""
+    from folioflow.operators.retrieval import dense
+
+    def unit(df: DataFrame, key: str) -> DataFrame:
+        norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+        return df.where("vec IS NOT NULL").select(key, F.transform("vec", lambda x: F.when(norm > 0, (x / norm).cast("float")).otherwise(F.lit(0.0).cast("float"))).alias("vec"))
+
+    return dense(unit(kb, "id"), unit(questions, "qid"), k).where(F.col("score") >= least)
+
+
+def merge_similar(kb: DataFrame, new: DataFrame, threshold: float) -> DataFrame:
+    """(qid, id): for each new formula the entry that it is merged into, by cosine of at least ``threshold``, or null where it is an entry of its own."""
+    return new.select("qid").join(similar(kb, new, 1, threshold).select("qid", "id"), "qid", "left")
+
+
 def by_id(kb: DataFrame, value: str) -> DataFrame:
     return kb.where(F.col("id") == value).orderBy("id").limit(1)
 
@@ -89,22 +106,31 @@ def enrich(kb: DataFrame) -> DataFrame:
 def link(chunks: DataFrame, kb: DataFrame, least: float = 4.0, top: int = 5) -> DataFrame:
     """(chunk_id, id, link_score, reasons, rank): formulas that fit a chunk, by six additive signals.
 
-    ``chunks``: chunk_id, content, section, pages.  The curated knowledge base is
-    small (checked) and broadcast, and each chunk is scored against it as it is
-    scanned, without a shuffle of the chunks before the ranking.
+    ``chunks``: chunk_id, content, section, pages and, where there are, citation
+    and search_text.  Words and pages of both sides meet by equi-joins and each
+    signal is summed per pair before the shuffle; only the formulas' numbers,
+    which are looked for inside the text, are set against each chunk.
     """
-    text = F.concat_ws(" ", "content", "section")
-    c = chunks.select("chunk_id", F.array_distinct(link_tokens(text)).alias("ct"), link_text(text).alias("ctext"), F.array_distinct(link_tokens(F.col("section"))).alias("st"), F.coalesce("pages", F.array().cast("array<int>")).alias("cp"))
-    words = F.concat_ws(" ", "id", "number", "latex", "description", "context", F.concat_ws(" ", F.map_keys("variables")), F.concat_ws(" ", F.map_values("variables")))
-    k = kb.select(
-        "id", "number", F.coalesce("page", page_of_context(F.col("context"))).alias("fp"), F.array_distinct(link_tokens(words)).alias("kt"), F.array_distinct(link_tokens(F.col("description"))).alias("dt"),
-        F.array_distinct(link_tokens(F.col("latex"))).alias("lt"), F.array_distinct(link_tokens(F.col("context"))).alias("xt"),
-    )
-    pairs = c.crossJoin(small(k))
-    n = lambda a, b: F.size(F.array_intersect(a, b))
-    common, sec, des, lat = n("kt", "ct"), n("xt", "st"), n("dt", "ct"), n("lt", "ct")
-    numbered = (F.coalesce("number", F.lit("")) != "") & F.contains("ctext", F.lower("number"))
-    same, near = F.array_contains("cp", F.col("fp")), F.exists("cp", lambda p: F.abs(p - F.col("fp")) <= 1)
+    some = lambda df, n, t="string": (F.col(n) if n in df.columns else F.lit(None)).cast(t)
+    cited = F.to_json("citation", {"ignoreNullFields": "false"}) if "citation" in chunks.columns else F.lit(None)
+    text = F.concat_ws(" ", "content", "section", cited, some(chunks, "search_text"))
+    c = chunks.select("chunk_id", link_text(text).alias("text"), F.array_distinct(link_tokens(text)).alias("all"), F.array_distinct(link_tokens(F.col("section"))).alias("sec"), F.array_distinct(F.coalesce("pages", F.array().cast("array<int>"))).alias("pages"))
+    words = F.concat_ws(" ", "id", "number", "latex", "description", some(kb, "semantic_description"), "context", some(kb, "section"), F.concat_ws(" ", F.map_keys("variables")), F.concat_ws(" ", F.map_values("variables")))
+    page = F.coalesce(F.nullif("page", F.lit(0)), page_of_context(F.col("context")))
+    k = kb.select("id", F.lower("number").alias("number"), page.alias("page"), *[F.array_distinct(link_tokens(x)).alias(n) for n, x in (("key", words), ("des", F.col("description")), ("lat", F.col("latex")), ("con", F.col("context")))])
+    signals = ("common", "sec", "des", "lat", "numbered", "same", "near")
+    row = lambda **x: [x.get(n, F.lit(0)).cast("int").alias(n) for n in signals]
+    has = lambda n: F.array_contains(n, F.col("w")).cast("int")
+    of = k.select("id", F.explode(F.array_distinct(F.concat("key", "des", "lat"))).alias("w"), "key", "des", "lat").select("id", "w", *row(common=has("key"), des=has("des"), lat=has("lat")))
+    by_word = c.select("chunk_id", F.explode("all").alias("w")).join(small(of), "w").select("chunk_id", "id", *signals)
+    by_section = c.select("chunk_id", F.explode("sec").alias("w")).join(small(k.select("id", F.explode("con").alias("w"))), "w").select("chunk_id", "id", *row(sec=F.lit(1)))
+    pages = k.where("page IS NOT NULL AND page <> 0").select("id", F.explode(F.array(*[F.struct((F.col("page") + i).alias("p"), F.lit(i).alias("off")) for i in (-1, 0, 1)])).alias("x")).select("id", "x.p", "x.off")
+    by_page = c.select("chunk_id", F.explode("pages").alias("p")).join(small(pages), "p").select("chunk_id", "id", *row(same=F.col("off") == 0, near=F.lit(1)))
+    numbers = k.where("number <> ''").select("id", "number")
+    by_number = c.select("chunk_id", "text").join(small(numbers), F.contains("text", "number")).select("chunk_id", "id", *row(numbered=F.lit(1)))
+    pairs = reduce(DataFrame.unionByName, (by_word, by_section, by_page, by_number)).groupBy("chunk_id", "id").agg(*[(F.max(n) if n in ("numbered", "same", "near") else F.sum(n)).alias(n) for n in signals])
+    common, sec, des, lat = (F.col(n) for n in signals[:4])
+    numbered, same, near = (F.col(n) > 0 for n in signals[4:])
     parts = [F.least(common * 0.8, F.lit(8.0)), F.when(numbered, 5.0).otherwise(0.0), F.when(same, 6.0).when(near, 2.5).otherwise(0.0), F.least(sec * 1.0, F.lit(4.0)), F.least(des * 0.7, F.lit(5.0)), F.least(lat * 0.6, F.lit(3.0))]
     why = F.concat_ws(
         ",", F.when(common > 0, F.concat(F.lit("keyword_overlap:"), common)), F.when(numbered, F.lit("formula_number")), F.when(same, F.lit("same_page")).when(near, F.lit("near_page")),

@@ -203,3 +203,40 @@ w AS (SELECT qid, qe, round(0.7 - 0.5 * m, 6) wt, round(0.3 + 0.5 * m, 6) wf FRO
 s AS (SELECT qid, vec_id, wt, wf, CASE WHEN label % 2 = 0 THEN 'text' ELSE 'formula' END side, round(list_inner_product(CAST(qe AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) raw FROM w, v),
 k AS (SELECT *, row_number() OVER (PARTITION BY qid, side ORDER BY raw DESC, vec_id) r FROM s), u AS (SELECT qid, vec_id, side, round(raw * CASE side WHEN 'text' THEN wt ELSE wf END, 9) score FROM k WHERE r <= 30 AND raw > 0)
 SELECT qid, vec_id, side, score, CAST("rank" AS INT) AS "rank" FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id, side) AS "rank" FROM u) WHERE "rank" <= 10"""
+_LT = lambda x: f"""list_distinct(list_filter(regexp_extract_all({_LINK.format(x)}, '[a-zа-я0-9]+'), lambda t: length(t) >= 3 AND t NOT IN ({", ".join(map(_q, LINK_STOP))})))"""
+_CTEXT = "concat_ws(' ', content, section, CAST(to_json(citation) AS VARCHAR))"
+ORACLES["link_formulas"] = f"""WITH {CHUNKS}, cc AS (SELECT chunk_id, {_strip(f"regexp_replace({_LINK.format(_CTEXT)}, '{WS}+', ' ', 'g')")} t, {_LT(_CTEXT)} ct, {_LT("section")} st, coalesce(pages, []) cp FROM c WHERE content IS NOT NULL),
+k AS (SELECT id, lower(number) num, coalesce(nullif(page, 0), try_cast(nullif(regexp_extract(lower(coalesce(context, '')), '(стр\\.?|страница|page)\\s*\\.?\\s*(\\d+)', 2), '') AS INT)) fp,
+  {_LT("concat_ws(' ', id, number, latex, description, context, array_to_string(map_keys(variables), ' '), array_to_string(map_values(variables), ' '))")} kt, {_LT("description")} dt, {_LT("latex")} lt, {_LT("context")} xt FROM formula_kb),
+p AS (SELECT chunk_id, id, len(list_intersect(kt, ct)) a, len(list_intersect(xt, st)) s, len(list_intersect(dt, ct)) e, len(list_intersect(lt, ct)) l, coalesce(num, '') <> '' AND contains(t, num) nn,
+  coalesce(list_contains(cp, fp), false) sp, len(list_filter(cp, lambda z: abs(z - fp) <= 1)) > 0 np FROM cc, k),
+z AS (SELECT chunk_id, id, round((least(a * 0.8::DOUBLE, 8.0::DOUBLE) + CASE WHEN nn THEN 5.0::DOUBLE ELSE 0 END + CASE WHEN sp THEN 6.0::DOUBLE WHEN np THEN 2.5::DOUBLE ELSE 0 END + least(s * 1.0::DOUBLE, 4.0::DOUBLE) + least(e * 0.7::DOUBLE, 5.0::DOUBLE) + least(l * 0.6::DOUBLE, 3.0::DOUBLE)), 3) link_score,
+  concat_ws(',', CASE WHEN a > 0 THEN 'keyword_overlap:' || a END, CASE WHEN nn THEN 'formula_number' END, CASE WHEN sp THEN 'same_page' WHEN np THEN 'near_page' END, CASE WHEN s > 0 THEN 'section_overlap:' || s END, CASE WHEN e > 0 THEN 'description_overlap:' || e END, CASE WHEN l > 0 THEN 'latex_overlap:' || l END) reasons FROM p)
+SELECT chunk_id, id, link_score, reasons, CAST(r AS INT) AS "rank" FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY link_score DESC, id) r FROM z WHERE link_score >= 4) WHERE r <= 5"""
+_QS = "q AS (SELECT doc_id qid, coalesce(title, text, '') query FROM documents WHERE doc_id % 100 = 0)"
+_ANYWORD = lambda c: f"len(list_filter(string_split_regex(lower(coalesce({c}, '')), '{WS}+'), lambda w: w <> '' AND contains(lower(query), w))) > 0"
+ORACLES["kb_text_search"] = f"""WITH {_QS}, s AS (SELECT qid, id, CASE WHEN coalesce(number, '') <> '' AND contains(lower(query), lower(number)) THEN 10 ELSE 0 END + CASE WHEN {_ANYWORD("description")} THEN 5 ELSE 0 END + CASE WHEN {_ANYWORD("context")} THEN 3 ELSE 0 END
+  + 2 * len(list_filter(map_entries(coalesce(variables, MAP {{}})), lambda e: contains(lower(query), lower(e.key)) OR contains(lower(query), lower(coalesce(e.value, '')))))
+  + CASE WHEN coalesce(latex, '') <> '' AND contains(regexp_replace(lower(latex), '[^a-z0-9]', '', 'g'), regexp_replace(lower(query), '[^a-z0-9]', '', 'g')) THEN 4 ELSE 0 END score FROM q, formula_kb)
+SELECT qid, id, CAST(score AS BIGINT) score, CAST(r AS INT) AS "rank" FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) r FROM s WHERE score > 0) WHERE r <= 5"""
+_TOKQ = TOK.format("query")
+ORACLES["rerank_topk"] = f"""WITH {BM25}, {HITS}, m AS (SELECT h.qid, h.doc_id id, list_distinct({TOK.format("q.query")}) a, {TOK.format("d.text")} b FROM h JOIN q USING (qid) JOIN documents d ON d.doc_id = h.doc_id WHERE "rank" <= 30 AND score > 0),
+z AS (SELECT qid, id, round(CASE WHEN len(a) > 0 THEN len(list_intersect(a, b))::DOUBLE / len(a) ELSE 0 END, 6) score FROM m)
+SELECT qid, id, score, CAST(r AS INT) AS "rank" FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) r FROM z) WHERE r <= 5"""
+ORACLES["dense_dedup_by_chunk"] = f"""WITH u AS ({ORACLES["dual_index_fused"]}), b AS (SELECT qid, vec_id // 10 AS chunk, max(score) score FROM u GROUP BY ALL)
+SELECT qid, CAST(chunk AS BIGINT) chunk, score, CAST(r AS INT) AS "rank" FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk) r FROM b) WHERE r <= 10"""
+ORACLES["latex_blocks"] = f"""WITH {CHUNKS}, x AS (SELECT chunk_id, replace(replace(replace(replace(regexp_replace(translate(content, chr(61690) || chr(61691) || chr(61673) || chr(61674) || chr(61675) || chr(61676), ''), '\\(cid:\\d+\\)', '', 'g'), chr(160), ' '), chr(61472), ' '), chr(8203), ''), chr(65279), '') t FROM c WHERE content IS NOT NULL),
+f AS (SELECT chunk_id, unnest(flatten([regexp_extract_all(t, '(?s)\\$\\$(.*?)\\$\\$', 1), regexp_extract_all(t, '\\$(.*?)\\$', 1), regexp_extract_all(t, '(?s)\\\\\\[(.*?)\\\\\\]', 1), regexp_extract_all(t, '(?s)\\\\begin\\{{equation\\}}(.*?)\\\\end\\{{equation\\}}', 1),
+  regexp_extract_all(t, '(?s)\\\\begin\\{{align\\}}(.*?)\\\\end\\{{align\\}}', 1), regexp_extract_all(t, '(?s)\\\\begin\\{{multline\\}}(.*?)\\\\end\\{{multline\\}}', 1)])) v, generate_subscripts(flatten([regexp_extract_all(t, '(?s)\\$\\$(.*?)\\$\\$', 1), regexp_extract_all(t, '\\$(.*?)\\$', 1), regexp_extract_all(t, '(?s)\\\\\\[(.*?)\\\\\\]', 1), regexp_extract_all(t, '(?s)\\\\begin\\{{equation\\}}(.*?)\\\\end\\{{equation\\}}', 1),
+  regexp_extract_all(t, '(?s)\\\\begin\\{{align\\}}(.*?)\\\\end\\{{align\\}}', 1), regexp_extract_all(t, '(?s)\\\\begin\\{{multline\\}}(.*?)\\\\end\\{{multline\\}}', 1)]), 1) i FROM x),
+g AS (SELECT chunk_id, {_strip("v")} latex, i, regexp_replace({_strip("v")}, '\\s+', '', 'g') k FROM f)
+SELECT chunk_id, latex FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id, k ORDER BY i) r FROM g WHERE k <> '') WHERE r = 1"""
+ORACLES["kb_similar"] = """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) e FROM embeddings WHERE embedding IS NOT NULL), s AS (SELECT q.vec_id qid, v.vec_id id, list_cosine_similarity(q.e, v.e) c FROM v q, v WHERE q.vec_id % 100 = 0 AND v.vec_id % 100 <> 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(c, 6) DESC, id) r FROM s) SELECT qid, id, round(c, 4) score, CAST(r AS INT) AS "rank" FROM k WHERE r <= 5 AND c >= 0"""
+ORACLES["search_text"] = """WITH b AS (SELECT block_id, any_value(content) "content", any_value(formulas) fs FROM blocks GROUP BY block_id HAVING len(any_value(formulas)) > 0),
+f AS (SELECT block_id, unnest(fs) f, generate_subscripts(fs, 1) i FROM b),
+k AS (SELECT *, lower(regexp_replace(coalesce(nullif(f.id, ''), nullif(f.latex, ''), nullif(f.description, ''), nullif(f.raw, '')), '\\s+', '', 'g')) k FROM f),
+u AS (SELECT block_id, i, f FROM (SELECT *, row_number() OVER (PARTITION BY block_id, k ORDER BY i) r FROM k WHERE k IS NOT NULL) WHERE r = 1),
+l AS (SELECT block_id, i, list_concat([f.description, f.semantic_description, f.latex], flatten(list_transform(list_sort(map_keys(coalesce(f.variables, MAP {}))), lambda n: [n, f.variables[n]]))) s FROM u),
+t AS (SELECT block_id, list(s ORDER BY i) s FROM l GROUP BY block_id)
+SELECT b.block_id, array_to_string(list_filter(list_concat([content], coalesce(flatten(t.s), [])), lambda z: z IS NOT NULL AND z <> ''), chr(10)) search_text FROM b LEFT JOIN t USING (block_id)"""

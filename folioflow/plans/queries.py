@@ -320,6 +320,12 @@ def kb_text_search(s, d):
     return kb.search(_kb(s, d), q)
 
 
+def kb_similar(s, d):
+    """Vectors divisible by 100 against all others of the table, as new formulas against a base."""
+    v = _vectors(s, d)
+    return kb.similar(v.where("id % 100 <> 0"), v.where("id % 100 = 0").select(F.col("id").alias("qid"), "vec"), 5, 0.0).select("qid", "id", F.round("score", 4).alias("score"), "rank")
+
+
 def kb_lookup(s, d):
     return kb.by_id(_kb(s, d), "kb_001").unionByName(kb.by_number(_kb(s, d), "(1.2)")).select("id", "number", "latex")
 
@@ -346,7 +352,7 @@ def query_terms(s, d):
 
 
 def link_formulas(s, d):
-    return kb.link(_chunks(s, d, "content", "section", "pages").where("content IS NOT NULL"), _kb(s, d)).select("chunk_id", "id", "link_score", "reasons", "rank")
+    return kb.link(_chunks(s, d, "content", "section", "pages", "citation").where("content IS NOT NULL"), _kb(s, d)).select("chunk_id", "id", "link_score", "reasons", "rank")
 
 
 # ------------------------------------------------------------ metadata
