@@ -4,7 +4,7 @@ A text is read into a tree: the page, its nodes (candidate headings, list
 items, code, formulas) and, inside them, inline nodes.  The hidden state of the
 page is its dialect, that of a node what produced it; parent-child potentials
 connect them and each node emits its surface form.  Potentials are learned from
-labelled pages (:func:`labelled_pages`), and sum-product messages sent upward
+labelled pages (:func:`labelled_pages`, written by rule), and sum-product messages sent upward
 and downward give the marginal of every node, which decides what it is: ``#``
 before a line is a heading in one dialect, a list item in another and nothing
 in plain text.
@@ -26,7 +26,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DIALECTS = ("plain", "html", "markdown", "wiki", "latex")
+DIALECTS = ("plain", "html", "markdown", "wiki", "latex", "bare", "wrapped")
+#: What the page of a text, and what a field that holds one formula may be.
+OF_TEXT, OF_FORMULA = DIALECTS[:5], DIALECTS[5:]
 KINDS = ("text", "inline", "heading", "list_item", "code", "formula")
 
 _TOKENS = re.compile(
@@ -136,7 +138,7 @@ def parse(text: str) -> list[Node]:
         if base in _OUTER:
             top.append(node)
             parent = node
-        elif parent is not None and m.start() <= parent.end + 400 and "\n" not in text[parent.end : m.start()]:
+        elif parent is not None and "\n" not in text[parent.end : m.start()]:
             parent.children.append(node)
         else:
             top.append(node)
@@ -147,10 +149,16 @@ def parse(text: str) -> list[Node]:
 # ---------------------------------------------------------------- labelled pages
 
 _VOCAB = "flow cell ion layer membrane поток слой режим мембрана опыт Strom Zelle Schicht courant canal flujo 电流 溶液".split()
+_WRAPS = (
+    "$@$", "$$@$$", "\\(@\\)", "\\[@\\]", "\\begin{equation}@\\end{equation}", "\\begin{align*}@\\end{align*}", "<math>@</math>", "<b>@</b>", "<i>@</i><br/>", "<span id='f'>@</span>", "<p>@</p>", "{{math|@}}",
+    "@&nbsp;", "&#160;@", "@<sup>1</sup>", "@<!-- n -->",
+)
+_WRAPPING = dict.fromkeys(("dollar", "dollars", "brackets", "parens", "tex_env", "math_tag", "wiki_math"), "formula") | dict.fromkeys(("tag", "entity", "comment"), "inline")
+_BARE = (r"\frac{\partial y_{n}}{\partial z}", r"\nabla \cdot \vec{u}", "a_{n}^2 < b_n", r"\sum_{i=1}^{n} w_i \varepsilon", r"\left( x, y \right) \; \quad z", r"\mathrm{K} \approx 2\,\text{m}", r"\alpha_n * \beta_n & c", r"\sqrt{n} \le \Delta", "p = q")
 _FORMULAS = (r"j = -D \frac{\partial C}{\partial x}", r"Re = \frac{V H}{\nu}", r"k_{d} = 2 \cdot 10^{-6} C_{w}", "x^2 + y")
 
 
-def labelled_pages(n: int = 600, seed: int = 7) -> Iterator[tuple[str, str, list[str]]]:
+def labelled_pages(n: int = 840, seed: int = 7) -> Iterator[tuple[str, str, list[str]]]:
     """Pages written by rule, with the dialect and the kind of each node in order.
 
     They stand for hand-labelled pages: every construct of the five dialects
@@ -166,14 +174,14 @@ def labelled_pages(n: int = 600, seed: int = 7) -> Iterator[tuple[str, str, list
             form = rng.choice(list(inline))
             kind, pattern = inline[form]
             parts.append(pattern.format(w=words(1), n=rng.randint(1, 99), f=rng.choice(_FORMULAS)))
-            labels += [kind] * (2 if "</" in pattern and form in ("b", "a", "em", "sup", "span") else 1)
+            labels += [kind] * (2 if "</" in pattern and dialect == "html" and form in ("b", "i", "a", "em", "sup", "span") else 1)
             parts.append(words(3))
         return " ".join(parts) + ".", labels
 
     inline = {
         "plain": {},
         "html": {
-            "b": ("inline", "<b>{w}</b>"), "a": ("inline", '<a href="/{n}">{w}</a>'), "em": ("inline", "<em>{w}</em>"),
+            "b": ("inline", "<b>{w}</b>"), "i": ("inline", "<i>{w}</i>"), "nl": ("inline", "{w}<br>"), "num": ("inline", "{w}&#160;{n}"), "a": ("inline", '<a href="/{n}">{w}</a>'), "em": ("inline", "<em>{w}</em>"),
             "ent": ("inline", "{w}&nbsp;{n}"), "sup": ("inline", "{w}<sup>{n}</sup>"), "com": ("inline", "{w}<!-- p. {n} -->"),
             "span": ("inline", "<SPAN>{w}</SPAN>"), "math": ("formula", "<math>{f}</math>"), "par": ("formula", r"\({f}\)"), "br": ("formula", r"\[{f}\]"),
         },
@@ -195,14 +203,28 @@ def labelled_pages(n: int = 600, seed: int = 7) -> Iterator[tuple[str, str, list
         kind = rng.choice(("heading", "list", "code", "formula", "text", "text", "text"))
         title, f = words(2), rng.choice(_FORMULAS)
         k = rng.randint(1, 4)
-        code = "a <- seq(0, 5)\nif (h < 2) x[k] = y * 3;"
+        code = f"for k in range({k}):\n    if v[k] < {k}: total += v[k] * 2"
         if dialect == "plain":
             odd = rng.choice((
-                ("{w} is 3 < x < 9, and x > 7 {w}.", []), ("run # 525 cost $ 461 per cycle, or 6 with tax", []), ("the product c_max*tau_0 equals 7 [1, 2]", []),
-                ("inputs A & B; note * marks the outlier", []), ("{w}\n- 91 -\n{w}", ["text"]), ("{w} {w}\n12. {w} {w}", ["text"]), ("{w}\n* {w}\n{w}", ["text"]), ("{w}\n\n- 7 -\n{w}", ["text"]),
-                ("{w}\n- {w} {w}\n{w}", ["text"]), ("costs $5 and 7$ more", []), ("{w}\n5) {w}\n{w}", ["text"]), ("- 12 -\n{w}", ["text"]), ("{w}\n# 5 {w}\n{w}", ["text"]),
+                "{w} is 3 < y < 9, and y > 7 {w}.", "lot # 27 at $ 88 a piece, 9 in sum", "the term u_max*v_0 is 7 [1, 2]", "parts K & M; the * is a footnote", "{w}\n- 91 -\n{w}", "{w} {w}\n12. {w} {w}", "{w}\n* {w}\n{w}",
+                "{w}\n\n- 7 -\n{w}", "{w}\n- {w} {w}\n{w}", "costs $5 and 7$ more", "{w}\n5) {w}\n{w}", "- 12 -\n{w}", "{w}\n# 5 {w}\n{w}",
             ))
-            return odd[0].replace("{w}", words(2)), odd[1]
+            # whatever looks like a node in plain text is text
+            text = odd.replace("{w}", words(2))
+            return text, ["text"] * len(list(_flat(parse(text))))
+        if dialect == "bare":
+            # formulas by themselves: their commands and signs are no markup
+            text = " + ".join(rng.choice(_BARE).replace("n", str(rng.randint(1, 9))) for _ in range(rng.randint(1, 3)))
+            return text, ["text"] * len(list(_flat(parse(text))))
+        if dialect == "wrapped":
+            # a formula inside what its source put around it; the formula's own commands and signs are no markup
+            inner = " + ".join(rng.choice(_BARE).replace("n", str(rng.randint(1, 9))) for _ in range(rng.randint(1, 2)))
+            text = rng.choice(_WRAPS).replace("@", inner)
+            return text, [_WRAPPING.get(x.form.split(":")[0], "text") for x, _ in _flat(parse(text))]
+        if kind == "text" and dialect in ("html", "latex") and rng.random() < 0.3:
+            # signs at the begin of a line mean nothing where tags or commands mark lists and headings
+            text = rng.choice(("{w}\n- 91 -\n{w}", "{w} {w}\n12. {w} {w}", "{w}\n* {w}\n{w}", "{w}\n- {w} {w}\n{w}", "{w}\n# 5 {w}\n{w}", "{w}\n5) {w}\n{w}")).replace("{w}", words(2))
+            return text, ["text"] * len(list(_flat(parse(text))))
         if kind == "text":
             s, labels = sentence(inline[dialect])
             if dialect == "html" and rng.random() < 0.7:
@@ -217,7 +239,7 @@ def labelled_pages(n: int = 600, seed: int = 7) -> Iterator[tuple[str, str, list
                 return rng.choice((f"== {title} ==", f"==== {title} ====")), ["heading"]
             return rng.choice((f"\\section{{{title}}}", f"\\subsection*{{{title}}}")), ["heading"]
         if kind == "list":
-            items = [words(2) + f" (AB-{rng.randint(1, 99)})" for _ in range(k)]
+            items = [words(2) + f" (no. {rng.randint(1, 99)})" for _ in range(k)]
             if dialect == "html":
                 tag = rng.choice(("ul", "ol"))
                 end = rng.choice(("</li>", ""))
@@ -245,8 +267,10 @@ def labelled_pages(n: int = 600, seed: int = 7) -> Iterator[tuple[str, str, list
 
     for i in range(n):
         dialect = DIALECTS[i % len(DIALECTS)]
-        blocks = [block(dialect) for _ in range(rng.randint(1, 5))]
-        yield "\n\n".join(b for b, _ in blocks), dialect, [x for _, ls in blocks for x in ls]
+        blocks = [block(dialect) for _ in range(1 if dialect in OF_FORMULA else rng.randint(1, 5))]
+        text, labels = "\n\n".join(b for b, _ in blocks), [x for _, ls in blocks for x in ls]
+        # in plain text nodes may also come about where two pieces meet
+        yield text, dialect, ["text"] * len(list(_flat(parse(text)))) if dialect == "plain" else labels
 
 
 # ---------------------------------------------------------------- the model
@@ -274,7 +298,7 @@ class TreeModel:
             page[DIALECTS.index(dialect)] += 1
             nodes = list(_flat(parse(text)))
             if len(nodes) != len(labels):
-                continue
+                raise ValueError(f"labels do not fit the nodes of {text!r}")
             of = {id(node): state(dialect, kind) for (node, _), kind in zip(nodes, labels)}
             for node, parent in nodes:
                 z = of[id(node)]
@@ -292,10 +316,10 @@ class TreeModel:
         self.inner = np.log(inner / inner.sum(1, keepdims=True))
         self.cache: dict[tuple, list[int]] = {}
 
-    def marginals(self, nodes: list[Node]) -> list[tuple[Node, np.ndarray]]:
-        """Posterior of each node's state by one upward and one downward pass."""
+    def marginals(self, nodes: list[Node], among: tuple[str, ...] = OF_TEXT) -> list[tuple[Node, np.ndarray]]:
+        """Posterior of each node's state by one upward and one downward pass; the page is one of the dialects ``among``."""
         up_leaf, up_node = [], []
-        root = self.page.copy()
+        root = self.page + np.array([0.0 if d in among else -1e9 for d in DIALECTS])
         for x in nodes:
             own = self.forms.get(x.form, self.unknown).copy()
             messages = []
@@ -317,13 +341,13 @@ class TreeModel:
                 out.append((y, _normal(e + _lse((belief - m)[:, None] + self.inner, 0))))
         return out
 
-    def label(self, nodes: list[Node]) -> list[str]:
+    def label(self, nodes: list[Node], among: tuple[str, ...] = OF_TEXT) -> list[str]:
         """The kind of each node in order of text."""
-        key = tuple((x.form, tuple(y.form for y in x.children)) for x in nodes)
+        key = (among, *((x.form, tuple(y.form for y in x.children)) for x in nodes))
         if key not in self.cache:
             if len(self.cache) > 20_000:
                 self.cache.clear()
-            kinds = [int(p.reshape(len(DIALECTS), len(KINDS)).sum(0).argmax()) for _, p in self.marginals(nodes)]
+            kinds = [int(p.reshape(len(DIALECTS), len(KINDS)).sum(0).argmax()) for _, p in self.marginals(nodes, among)]
             self.cache[key] = kinds
         return [KINDS[i] for i in self.cache[key]]
 
@@ -373,6 +397,12 @@ def bare_formula(raw: str) -> str:
     return x.strip()
 
 
+def marked_formula(raw: str) -> bool:
+    """Whether a raw formula has markup, by the marginals of its nodes."""
+    nodes = parse(raw)
+    return bool(nodes) and any(k != "text" for k in model().label(nodes, OF_FORMULA))
+
+
 def convert(text: str) -> tuple[list[str], bool, str]:
     """Kinds of the structural elements in order, whether there is markup, clean text."""
     if not text:
@@ -437,11 +467,14 @@ def clean(df: DataFrame, key: str = "chunk_id", text: str = "content") -> DataFr
 
 
 def formulas(blocks: DataFrame) -> DataFrame:
-    """``id``, ``raw`` and ``bare`` of each formula of ``blocks.formulas``, once per id."""
+    """``id``, ``raw`` and ``bare`` of each formula of ``blocks.formulas``, once per id.
+
+    The model tells whether anything of the raw formula is markup; only then it is taken off.
+    """
     rows = blocks.select(F.explode("formulas").alias("f")).select("f.id", "f.raw").where("id IS NOT NULL AND raw IS NOT NULL").dropDuplicates(["id"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(bare=[bare_formula(r) for r in b["raw"]])
+            yield b.assign(bare=[bare_formula(r) if marked_formula(r) else r.strip() for r in b["raw"]])
 
     return rows.mapInPandas(run, "id string, raw string, bare string")
