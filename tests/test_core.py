@@ -227,3 +227,45 @@ def test_streaming(spark, tmp_path):
     q = ingest.ingest(ingest.parquet_stream(spark, str(tmp_path / "in"), src.schema, "at"), lambda d: d.select("content"), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination()
     assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "out")).select("content").collect()) == ["a", "b"]
+
+
+def test_files_to_answers(spark, tmp_path):
+    from folioflow.operators import indexing
+
+    (tmp_path / "in").mkdir()
+    text = "The limiting current of the membrane grows with the flow. " * 9
+    (tmp_path / "in" / "a.pdf").write_bytes(text.encode())
+    (tmp_path / "in" / "b.pdf").write_bytes(b"bad")
+
+    def parser(data, path):
+        if data == b"bad":
+            raise ValueError("no file")
+        return [(1, 0, "Membranes and limiting currents in cells 2019", 0.0, 0.0, 9.0, 9.0), (1, 1, data.decode().strip(), 0.0, 90.0, 9.0, 99.0), (1, 2, "j_i = -D_i C_i", 0.0, 190.0, 9.0, 199.0)]
+
+    q = spark.createDataFrame([("q", "limiting current of the membrane")], "qid string, query string")
+    for _ in range(2):
+        index = indexing.index_directory(spark, str(tmp_path / "in"), str(tmp_path / "out"), parser=parser)
+        rows = index.chunks.collect()
+        assert len(rows) == 1 and rows[0]["year"] == "2019" and rows[0]["title"].startswith("Membranes") and [f["latex"] for f in rows[0]["formulas"]] == ["j_i = -D_i C_i"]
+        assert [r["error"] for r in spark.read.parquet(str(tmp_path / "out" / "failed")).collect()] == ["ValueError: no file"]
+    # in an index of one document every idf is negative, so the lexical list is empty
+    for mode, n in (("dense", 1), ("bm25", 0), ("weighted", 1), ("rrf", 1)):
+        assert index.search(q, 3, mode).count() == n
+    assert "limiting current" in index.answers(q).first()["answer"]
+
+
+def test_ready_chunks_to_index(spark, tmp_path):
+    from folioflow.operators import indexing
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x_chunks.json").write_text(json.dumps([{"content": "Ток растёт.", "citation": {"title": "Т", "authors": ["А"], "year": "2020"}}]))
+    (tmp_path / "in" / "y_chunks.json").write_text("[")
+    index = indexing.index_ready_chunks(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    q = spark.createDataFrame([("q", "ток")], "qid string, query string")
+    assert index.search(q, 3, "dense").count() == 1 and spark.read.parquet(str(tmp_path / "out" / "failed")).count() == 1
+
+
+def test_similar_formulas(spark):
+    base = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 2.0])], "id string, vec array<float>")
+    new = spark.createDataFrame([("n", [0.1, 3.0]), ("m", [1.0, 1.0])], "qid string, vec array<float>")
+    assert {(r["qid"], r["id"]) for r in kb.merge_similar(base, new, 0.88).collect()} == {("n", "b"), ("m", None)}
