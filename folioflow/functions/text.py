@@ -68,8 +68,7 @@ def link_tokens(c: Column) -> Column:
 
 def search_tokens(c: Column) -> Column:
     """Tokens of the lexical index; accented Latin letters part words."""
-    x = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-zа-яё0-9_+\-*/=∂∇]+", " ")
-    return F.filter(F.split(F.trim(x), " "), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^a-zа-яё0-9_+\-*/=∂∇]+"), "")
 
 
 def math_score(c: Column) -> Column:

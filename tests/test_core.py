@@ -1,7 +1,9 @@
 """The retrieval engine's operators on hand-worked cases."""
 
 import json
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -269,3 +271,74 @@ def test_similar_formulas(spark):
     base = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 2.0])], "id string, vec array<float>")
     new = spark.createDataFrame([("n", [0.1, 3.0]), ("m", [1.0, 1.0])], "qid string, vec array<float>")
     assert {(r["qid"], r["id"]) for r in kb.merge_similar(base, new, 0.88).collect()} == {("n", "b"), ("m", None)}
+
+
+def _shuffled(df):
+    """Rows that each shuffle of an executed plan has written."""
+    df.collect()
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        kind = p.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(p.plan())
+        else:
+            todo += [p.children().apply(i) for i in range(p.children().size())]
+        if kind == "ShuffleExchangeExec":
+            out.append(p.metrics().apply("shuffleRecordsWritten").value())
+    return out
+
+
+def _many(spark, n=400):
+    docs = spark.createDataFrame([(i, f"common word code{i % 50} " + "filler " * (i % 7)) for i in range(n)], "doc_id long, text string").repartition(4).persist()
+    return docs, spark.createDataFrame([(i, f"common code{i} common") for i in range(40)], "qid long, query string").persist()
+
+
+def test_bm25_shuffles_no_pairs(spark):
+    docs, q = _many(spark)
+    hits = retrieval.bm25(retrieval.lexical_index(docs, "doc_id", F.col("text")), q, 3)
+    assert sum(_shuffled(hits)) <= 40 * 3 * 4 * 2  # 16,000 pairs of question and document share a word
+
+
+def _brute(docs, questions, k):
+    """docs: (id, text) as Okapi's formula says it, an id that comes twice is one document to rank."""
+    texts = [(i, t.split()) for i, t in docs]
+    n, mean = len(texts), sum(len(t) for _, t in texts) / len(texts)
+    df = Counter(w for _, t in texts for w in set(t))
+    raw = {w: math.log(n - c + 0.5) - math.log(c + 0.5) for w, c in df.items()}
+    floor = 0.25 * sum(raw.values()) / len(raw)
+    out = []
+    for qid, query in questions:
+        score = Counter()
+        for i, t in texts:
+            for w in query.split():
+                if tf := t.count(w):
+                    score[i] += (raw[w] if raw[w] >= 0 else floor) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / mean))
+        best = sorted((-round(x, 6), i) for i, x in score.items() if round(x, 6) > 0)[:k]
+        out += [(qid, i, -x, r) for r, (x, i) in enumerate(best, 1)]
+    return sorted(out)
+
+
+def test_bm25_blocks_rounds_and_saved(spark, tmp_path, monkeypatch):
+    docs, q = _many(spark)
+    want = _brute([tuple(r) for r in docs.collect()], [tuple(r) for r in q.collect()], 5)
+    index = retrieval.lexical_index(docs, "doc_id", F.col("text"))
+    got = lambda i: sorted((r["qid"], r["id"], r["score"], r["rank"]) for r in retrieval.bm25(i, q, 5).collect())
+    assert got(index) == want and len(want) == 200
+    monkeypatch.setattr(retrieval, "MAX_ASKED", 30)  # three rounds
+    assert got(index) == want
+    index.save(str(tmp_path / "i"))
+    assert got(retrieval.LexicalIndex.load(spark, str(tmp_path / "i"))) == want
+
+
+def test_bm25_ids_twice_and_nothing(spark):
+    rows = [(1, "a b"), (1, "a c d"), (2, "a x y z"), (3, "e f"), (4, "g h i"), (5, "j k"), (6, ""), (7, "l m")]
+    docs, q = spark.createDataFrame(rows, "doc_id long, text string"), [(1, "a b"), (2, "m"), (3, "nowhere")]
+    index = retrieval.lexical_index(docs, "doc_id", F.col("text"))
+    hits = retrieval.bm25(index, spark.createDataFrame(q, "qid long, query string"), 5).collect()
+    assert sorted((r["qid"], r["id"], r["score"], r["rank"]) for r in hits) == _brute(rows, q, 5)
+    assert retrieval.bm25(index, spark.createDataFrame([], "qid long, query string"), 5).count() == 0
+    empty = retrieval.lexical_index(docs.where("false"), "doc_id", F.col("text"))
+    assert retrieval.bm25(empty, spark.createDataFrame(q, "qid long, query string"), 5).count() == 0
