@@ -139,9 +139,8 @@ def hyde_multi_query_rrf(s, d):
     """The question and a hypothetical answer (the document's first sentence) searched side by side."""
     q = _docs(s, d).where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), F.coalesce("title", "text", F.lit("")).alias("query"), F.regexp_extract(F.coalesce("text", F.lit("")), r"^([^.!?]*)", 1).alias("h"))
     parts = retrieval.hypothetical(q, F.col("h"))
-    index = _index(s, d)
-    lists = [retrieval.bm25(index, parts.where(F.col("part") == i).select("qid", "query"), 3 * K) for i in (0, 1)]
-    return retrieval.rrf(*lists, K)
+    hits = retrieval.bm25(_index(s, d), parts.select(F.struct("qid", "part").alias("qid"), "query"), 3 * K)
+    return retrieval.fuse(hits.select("qid.qid", "id", "rank"), K)
 
 
 # ------------------------------------------------------------ text

@@ -12,6 +12,7 @@ from folioflow.functions import formulas as fx
 from folioflow.functions import metadata as md
 from folioflow.functions import text as tx
 from folioflow.operators import answer, blocks, chunking, kb, retrieval
+from folioflow.plans import queries
 from folioflow.sources import readers
 from folioflow.streaming import ingest
 
@@ -360,3 +361,19 @@ def test_rerank_shuffles_documents_hit_only(spark, monkeypatch):
         assert rows(retrieval.rerank(hits, q, docs, 1)) == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", ["hyde_multi_query_rrf"])
+def test_batches_shuffle_no_pairs(spark, tmp_path, name):
+    """20 questions share a word with each of 2,000 documents."""
+    t = F.concat(F.lit("common word code"), F.col("doc_id").cast("string"), F.lit(". More text."))
+    docs = spark.range(1, 2001).select(F.col("id").alias("doc_id"), F.lit(2020).alias("year"), F.lit("src").alias("source"))
+    docs.withColumn("text", t).withColumn("title", F.concat(F.lit("common code"), F.col("doc_id"))).coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    df = queries.queries()[name](spark, str(tmp_path))
+    assert 0 < sum(_shuffled(df)) < 12_000
+    got = {r["qid"]: r.asDict() for r in df.collect() if r.asDict().get("rank", 1) == 1}
+    assert set(got) == set(range(100, 2001, 100))
+    for q, r in got.items():
+        assert r.get("doc_id", q) == q and r.get("id", q) == q
+        assert r.get("answer", f"common word code{q}.") == f"common word code{q}."
+        assert r.get("context", "[1] ").startswith("[1] ") and f"common code{q}\n" in r.get("context", f"common code{q}\n")
