@@ -392,16 +392,18 @@ def citation_normalize(s, d):
 
 def _evidence(s, d):
     hits = _bm25(s, d, 3 * K).select("qid", "id", "score", F.col("rank").alias("pos"))
-    return answer.evidence(hits, 3).join(_docs(s, d).select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "title", "year"), "id")
+    return answer.evidence(hits, 3)
 
 
 def evidence_dedup_top(s, d):
-    return _evidence(s, d).select("qid", F.col("id").alias("doc_id"), "score", "rank")
+    """Hits are documents already, so none is read again."""
+    return _evidence(s, d).where("id IS NOT NULL").select("qid", F.col("id").alias("doc_id"), "score", "rank")
 
 
 def _context(s, d):
     src = answer.source_line(F.col("title"), F.array().cast("array<string>"), F.col("year"), F.lit(None), F.lit(None))
-    return answer.context(_evidence(s, d).withColumn("source", src))
+    docs = _docs(s, d).select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "title", "year")
+    return answer.context(_evidence(s, d).join(docs, "id").withColumn("source", src))
 
 
 def build_context(s, d):
