@@ -403,7 +403,7 @@ def evidence_dedup_top(s, d):
 def _context(s, d):
     src = answer.source_line(F.col("title"), F.array().cast("array<string>"), F.col("year"), F.lit(None), F.lit(None))
     docs = _docs(s, d).select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "title", "year")
-    return answer.context(_evidence(s, d).join(docs, "id").withColumn("source", src))
+    return answer.context(retrieval.with_documents(_evidence(s, d), docs).withColumn("source", src))
 
 
 def build_context(s, d):
