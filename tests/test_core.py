@@ -363,7 +363,7 @@ def test_rerank_shuffles_documents_hit_only(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("name", ["evidence_dedup_top", "build_context", "hyde_multi_query_rrf"])
+@pytest.mark.parametrize("name", ["evidence_dedup_top", "build_context", "answer_batch", "hyde_multi_query_rrf"])
 def test_batches_shuffle_no_pairs(spark, tmp_path, name):
     """20 questions share a word with each of 2,000 documents."""
     t = F.concat(F.lit("common word code"), F.col("doc_id").cast("string"), F.lit(". More text."))
