@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 _L = r"(?:[^\W\d_]|[\u0300-\u036F\u0900-\u0903\u093A-\u094F])"
 _WORD = re.compile(_L + r"+(?:[.'’\-]" + _L + r"+)*|\d+(?:[.,–\-]\d+)*|[%°]")
 _LAST = re.compile(_L + r"+(?:[.'’\-]" + _L + r"+)*\Z|\d+(?:[.,–\-]\d+)*\Z|[^\w\s]\Z")
-#: A candidate end: closing signs, then what may follow.
-_END = re.compile(r"(?:[.!?…]+|[。！？｡।॥]+|\n[ \t]*\n)")
+#: A candidate end: closing signs, then what may follow.  Patterns begin with a set of signs, so that all others are passed over fast.
+_END = re.compile(r"[.!?…。！？｡।॥\n](?:(?<=[.!?…])[.!?…]*|(?<=[。！？｡।॥])[。！？｡।॥]*|(?<=\n)[ \t]*\n)")
 _OPEN = {"«": "»", "“": "”", "(": ")", "[": "]", "{": "}", "《": "》", "「": "」", "『": "』", "（": "）", "【": "】", "‹": "›"}
 _CLOSERS = "»”“\"')]}》」』）】›"
 # Dunning's reference rate of a period after an abbreviation, the least score of one,
@@ -72,7 +72,18 @@ def brackets(text: str) -> list[tuple[int, int]]:
 
 
 def _token_begin(text: str, at: int) -> int:
-    return max(text.rfind(" ", 0, at), text.rfind("\n", 0, at)) + 1
+    b = text.rfind(" ", 0, at) + 1
+    return max(text.rfind("\n", b, at) + 1, b)
+
+
+def _before(text: str, at: int) -> tuple[int, str]:
+    """Place and text of the word or sign that ends at ``at``; the text is empty if there is none."""
+    b = _token_begin(text, at)
+    token = text[b:at]
+    if token.isalpha():
+        return b, token
+    p = _LAST.search(text, b, at)
+    return (p.start(), p.group()) if p else (b, "")
 
 
 def _lower(word: str) -> bool:
@@ -136,9 +147,7 @@ class Rules:
         word = m.group() if m else ""
         tight = after == at + 1
         # the word before the period: from its last sign backwards to a blank
-        b = _token_begin(text, at)
-        p = _LAST.search(text, b, at)
-        prev = p.group() if p else ""
+        b, prev = _before(text, at)
         if not nxt:
             return True
         if not prev and nxt.isdigit():
@@ -149,7 +158,7 @@ class Rules:
             return False
         caseless = bool(word) and word[0].isalpha() and not word[0].isupper() and not word[0].islower()
         follows_initial = len(word) == 1 and word.isupper() and text[m.end() : m.end() + 1] == "."
-        before = text[max(0, p.start() - 3) : p.start()].rstrip() if p else ""
+        before = text[max(0, b - 3) : b].rstrip() if prev else ""
         numbered = before[-1:].isdigit() or before[-1:] in "%"
         if len(prev) == 1 and prev.isupper():
             if tight and word[:1].isupper():
@@ -263,14 +272,14 @@ class Rules:
 # ---------------------------------------------------------------- learning
 
 #: Runs of capitals are codes such as NR-12 and no words.
-_CAPITALS = re.compile(r"\b[A-ZА-ЯЁІЇЄҐ]{2,}\b")
+_CAPITALS = re.compile(r"[A-ZА-ЯЁІЇЄҐ](?<!\w.)[A-ZА-ЯЁІЇЄҐ]+\b")
 _PLAIN = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
-_ORDINAL = re.compile(r"(?<![\w.,])\d+\.\s+(?=[^\W\d_a-z])")
+_ORDINAL = re.compile(r"\d(?<![\w.,].)\d*\.\s+(?=[^\W\d_a-z])")
 
 
 def count(texts: list[str], langs: list[str]) -> Counter:
     """Counts of a batch: (language, kind, word).  Words are tallied per text in one go; only periods are looked at singly."""
-    into: Counter = Counter()
+    into: dict[tuple[str, str, str], int] = defaultdict(int)
     met: dict[str, Counter] = {}
     for text, lang in zip(texts, langs):
         met.setdefault(lang, Counter()).update(_PLAIN.findall(_CAPITALS.sub(" ", text)))
@@ -281,10 +290,7 @@ def count(texts: list[str], langs: list[str]) -> Counter:
                 into[lang, "numbers", ""] += 1
         at = text.find(".")
         while at >= 0:
-            b = _token_begin(text, at)
-            m = _LAST.search(text, b, at)
-            dot, at = at, text.find(".", at + 1)
-            w = m.group() if m else ""
+            dot, at, w = at, text.find(".", at + 1), _before(text, at)[1]
             if not w[:1].isalpha():
                 continue
             low = w.lower()
@@ -303,6 +309,7 @@ def count(texts: list[str], langs: list[str]) -> Counter:
             if len(low) > 4 and _lower(w) and word[:1].isalpha() and not _lower(word):
                 into[lang, "sure", ""] += 1
                 into[lang, "start", word] += 1
+    dotted = [(lang, w, n) for (lang, kind, w), n in into.items() if kind == "dot"]
     for lang, c in met.items():
         into[lang, "all", ""] += sum(c.values())
         for w, n in c.items():
@@ -311,10 +318,10 @@ def count(texts: list[str], langs: list[str]) -> Counter:
                 into[lang, "bare", low] += n
             if w[0].isupper() and len(w) < 20:
                 into[lang, "capital", w] += n
-    for (lang, kind, w), n in list(into.items()):
-        if kind == "dot" and (lang, "bare", w) in into:
+    for lang, w, n in dotted:
+        if (lang, "bare", w) in into:
             into[lang, "bare", w] = max(0, into[lang, "bare", w] - n)
-    return into
+    return Counter(into)
 
 
 def statistics(df: DataFrame, text: str, lang: str | None = None, name: Callable[[str | None], str | None] = lambda x: x) -> DataFrame:
